@@ -40,9 +40,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """The column as one array of strings with 64-bit offsets, null as the empty text."""
+    """The column as one array of strings with 64-bit offsets from 0 on, null as the empty text.
+
+    Arrow's ``ascii_lower`` loses bytes of a slice whose first offset isn't 0, so the offsets are rebased here.
+    """
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(column):
+        return pa.array([], pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = (column.buffers()[2] or pa.py_buffer(b"")).slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets - offsets[0]), data)
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
