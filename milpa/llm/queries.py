@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milpa.llm import lm, neardup
+from milpa.llm import lm, neardup, substrings
 from milpa.llm._shared import table
 
 
@@ -12,9 +12,13 @@ def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(table(spark, sf_dir, "documents"), length=400)
+
+
 def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_backoff_automaton": op9_backoff_automaton, "op3_superminhash": op3_superminhash}
+QUERIES = {"op7_difference_cover": op7_difference_cover, "op9_backoff_automaton": op9_backoff_automaton, "op3_superminhash": op3_superminhash}
 ORACLE_SQL: dict[str, str] = {}
