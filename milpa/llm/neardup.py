@@ -8,11 +8,11 @@ the work stops, after two or three levels for most texts.
 Banding only proposes. With the production parameters (32 bands of 4) a pair at similarity 0.8 is missed with probability
 (1 - 0.8^4)^32 = 5e-8. Every link is confirmed on the full sets of shingles.
 
-No bucket is expanded into its pairs. First each member of a bucket is compared with the bucket's smallest document only, and the
-confirmed links are grouped. Only buckets that then still hold several components are looked at again, and there a pair of members of
-different components is made only if the pair could reach the threshold: shingles that no other candidate has can't be shared, so a
-document with ``n`` shingles of which ``s`` occur elsewhere reaches partners of at most ``s (1 + t) / t - n`` shingles. That bound is
-exact, so no link is lost to it.
+No bucket is expanded into its pairs. First each member of a bucket is compared with the bucket's most central document, its middle ``m``,
+only, and the confirmed links are grouped. Where documents around one middle are then still in different components, those outside the
+largest component are paired with others, but only if the pair could reach the threshold: of what ``x`` and ``y`` share, at most
+``min(|x & m|, |y & m|)`` is in the middle, and outside it at most the smaller number of their shingles that occur in any other
+candidate. That bound is exact, so no link is lost to it, and it leaves few pairs in groups of copies that were changed independently.
 """
 
 from __future__ import annotations
@@ -118,11 +118,11 @@ def _full_sets(width: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs (a, b) also the sizes of what both full sets hold and of what either holds."""
     a, b = sets.selectExpr("id as a", "shingles as x"), sets.selectExpr("id as b", "shingles as y")
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("any")).where(100 * F.col("both") >= percent * F.col("any")).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("any"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -138,27 +138,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = reliable(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
     distinct = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
     places = distinct.select("id", "n", F.explode("bands").alias("bucket"))
-    pivots = places.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").drop("last")
-    tried = reliable(places.join(pivots, "bucket").where("id > a").selectExpr("a", "id as b").distinct())
-
-    wanted = tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct()
-    sets = reliable(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]))
-    links = reliable(_confirmed(tried, sets, percent))
+    shared = places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    live = reliable(places.join(shared, "bucket"))
+    # a bucket's middle: the member whose buckets hold most members, as the minima of a group's common text are the commonest
+    central = live.groupBy("id").agg(F.sum("members").alias("weight"))
+    middle = live.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("m"))
+    starred = live.join(middle, "bucket")
+    tried = starred.where("id != m").select(F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b")).distinct()
+
+    sets = reliable(docs.join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]))
+    met = reliable(_met(tried, sets))
+    linked = f"100 * both >= {percent} * any"
+    links = met.where(linked).select("a", "b")
     first = reliable(components(links))
 
-    # what is left to try: members of one bucket that are still in different components
-    grouped = places.join(pivots.select("bucket"), "bucket", "left_semi").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    open_ = grouped.join(mixed, "bucket", "left_semi").select("bucket", "id", "n", "component")
-    candidates = sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
+    # what is left to try: documents around one middle that are in different components
+    around = starred.select("m", "id", "n").distinct().join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = around.groupBy("m").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("m")
+    around = reliable(around.join(mixed, "m", "left_semi").select("m", "id", "n", "component"))
+    candidates = sets.join(around.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
     common = candidates.groupBy("shingle").agg(F.min("id").alias("one"), F.max("id").alias("other")).where("one < other").select("shingle")
-    reach = candidates.join(common, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("s"))
-    # a link needs both >= t / (1 + t) * (n + m), and both <= s
-    reach = open_.select("id", "n").distinct().join(reach, "id").select("id", F.floor(F.col("s") * (100 + percent) / percent - F.col("n") + 1e-6).cast("long").alias("reach")).where(F.col("reach") * 100 >= F.col("n") * percent)
-    able = reliable(open_.join(reach, "id"))
-    x, y = able.selectExpr("bucket", "id as a", "n as na", "component as ca", "reach as ra"), able.selectExpr("bucket", "id as b", "n as nb", "component as cb", "reach as rb")
-    more = x.join(y, "bucket").where(f"a < b and ca != cb and nb <= ra and na <= rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    late = _confirmed(more, sets, percent)
+    elsewhere = candidates.join(common, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("s"))
+    with_middle = met.selectExpr("a as id", "b as m", "both").union(met.selectExpr("b as id", "a as m", "both"))
+    around = around.join(elsewhere, "id").join(with_middle, ["id", "m"], "left").selectExpr("m", "id", "n", "component", "coalesce(both, n) as i", "s - coalesce(both, n) as o")
+    around = reliable(around.where(f"{100 + percent} * (i + o) >= {percent} * (n + n * {percent} / 100)"))
+    largest = around.groupBy("m", "component").count().groupBy("m").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    x, y = (around.selectExpr("m", *(f"{c} as {c}{k}" for c in ("id", "n", "component", "i", "o"))) for k in "xy")
+    x = x.join(largest, "m").where("componentx != main").drop("main")
+    able = f"componentx != componenty and {100 + percent} * (least(ix, iy) + least(ox, oy)) >= {percent} * (nx + ny)"
+    more = x.join(y, "m").where(able).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+    late = _met(more, sets).where(linked).select("a", "b")
 
     groups = components(links.union(late)).withColumnRenamed("node", "id")
     named = distinct.select("set_key", "id").join(groups, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
