@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from milpa.llm import lm, neardup, quality, substrings
+from milpa.llm import decontam, lm, neardup, pieces, quality, substrings
 from milpa.llm._shared import table
 
 
+def tokenizer(name: str, folder: str | None = None) -> str:
+    """The path of a public tokenizer's file, in ``folder`` or where the installed package has it."""
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -16,6 +25,14 @@ def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.Unigram.load(tokenizer("piece_bpe_32k.model")))
+
+
+def op5_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"), length=400)
 
@@ -24,5 +41,5 @@ def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_cotraining": op1_cotraining, "op7_difference_cover": op7_difference_cover, "op9_backoff_automaton": op9_backoff_automaton, "op3_superminhash": op3_superminhash}
+QUERIES = {"op4_sentencepiece": op4_sentencepiece, "op5_pigeonhole": op5_pigeonhole, "op1_cotraining": op1_cotraining, "op7_difference_cover": op7_difference_cover, "op9_backoff_automaton": op9_backoff_automaton, "op3_superminhash": op3_superminhash}
 ORACLE_SQL: dict[str, str] = {}
