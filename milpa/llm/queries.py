@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from milpa.llm import decontam, lm, neardup, pieces, quality, substrings
+from milpa.llm import chat, decontam, lm, neardup, pieces, quality, substrings
 from milpa.llm._shared import table
 
 
@@ -41,5 +42,11 @@ def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_sentencepiece": op4_sentencepiece, "op5_pigeonhole": op5_pigeonhole, "op1_cotraining": op1_cotraining, "op7_difference_cover": op7_difference_cover, "op9_backoff_automaton": op9_backoff_automaton, "op3_superminhash": op3_superminhash}
+def op10_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role").withColumn("text", F.lit(said))
+    return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
+
+
+QUERIES = {"op10_schema_fingerprint": op10_schema_fingerprint, "op4_sentencepiece": op4_sentencepiece, "op5_pigeonhole": op5_pigeonhole, "op1_cotraining": op1_cotraining, "op7_difference_cover": op7_difference_cover, "op9_backoff_automaton": op9_backoff_automaton, "op3_superminhash": op3_superminhash}
 ORACLE_SQL: dict[str, str] = {}
