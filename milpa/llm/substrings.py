@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from milpa.llm._shared import U64, bytes_of, mix, reliable, slices, texts_of
 
@@ -261,7 +262,8 @@ def _merged(batches):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_key", F.xxhash64("text"))
+    """Adds a hash of the text, which tells apart rows that share a ``doc_id`` but not the text."""
+    return docs.withColumn("text_key", F.hash("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -273,17 +275,18 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     if length < COVER or length % 2:
         raise ValueError(f"length must be even and at least {COVER}")
     docs = docs.select(F.col("doc_id").cast("long"), "text", "text_key")
-    found = docs.where(F.octet_length("text") >= length).mapInArrow(_find_contexts(length), "doc_id long, text_key long, lo long, hi long, off int, anchor long, content long")
+    found = docs.where(F.octet_length("text") >= length).mapInArrow(_find_contexts(length), "doc_id long, text_key int, lo long, hi long, off int, anchor long, content long")
     counted = found.groupBy("anchor", "content").agg(F.count("*").alias("n"))
-    anchors = counted.groupBy("anchor").agg(F.sum("n").alias("times"), F.count("*").alias("kinds")).where("times > 1")
-    kept = reliable(found.join(counted.join(anchors, "anchor"), ["anchor", "content"]).select("doc_id", "text_key", "lo", "hi", "anchor", "content", (F.col("n") == 1).alias("single"), (F.col("kinds") > 1).alias("mixed")))
+    per_anchor = Window.partitionBy("anchor")  # over counted contexts, not over occurrences
+    counted = counted.select("*", F.sum("n").over(per_anchor).alias("times"), F.count("*").over(per_anchor).alias("kinds")).where("times > 1")
+    kept = reliable(found.join(counted, ["anchor", "content"]).select("doc_id", "text_key", "lo", "hi", "anchor", "content", (F.col("n") == 1).alias("single"), (F.col("kinds") > 1).alias("mixed")))
 
     whole = kept.where("not single").selectExpr("doc_id", "text_key", "lo", f"hi + {length} as stop")
     one = kept.where("mixed and not single").groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "text_key", "lo", "hi")).alias("o")).selectExpr("o.*", "anchor", "false as single")
     unsure = kept.where("mixed and single").select("doc_id", "text_key", "lo", "hi", "anchor", "single").union(one)
     cut = unsure.join(docs, ["doc_id", "text_key"]).select("doc_id", "text_key", "lo", "anchor", "single", F.expr(f"substring(cast(text as binary), cast(lo + 1 as int), cast(hi - lo + {length} as int))").alias("content_bytes"))
-    resolved = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length), "doc_id long, text_key long, lo long, stop long")
-    return whole.union(resolved).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "stop")).alias("found")).mapInArrow(_merged, "doc_id long, text_key long, spans array<struct<lo: long, stop: long>>")
+    resolved = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length), "doc_id long, text_key int, lo long, stop long")
+    return whole.union(resolved).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "stop")).alias("found")).mapInArrow(_merged, "doc_id long, text_key int, spans array<struct<lo: long, stop: long>>")
 
 
 def without_spans(text: str | None, spans: list[dict] | None) -> bytes:
