@@ -239,6 +239,16 @@ class QualityModel:
             meta = self.meta_rows(metadata(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(self.quality.probability(content, meta)), pa.array(self.toxic.probability(content, meta))], names=["doc_id", "quality_score", "toxic_score"])
 
+    def accepting(self, quality_at: float, toxic_at: float):
+        def run(batches):
+            for batch in slices(batches, "text"):
+                content = self.content_rows(*measures(texts_of(batch.column("text"))))
+                meta = self.meta_rows(metadata(batch))
+                good = (self.quality.probability(content, meta) >= quality_at) & (self.toxic.probability(content, meta) < toxic_at)
+                yield batch.filter(pa.array(good))
+
+        return run
+
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_pool: int = 4000) -> QualityModel | None:
     """Fit on bounded samples; None without labels. Where a document has several labels, the worse counts."""
@@ -279,3 +289,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000,
         return docs.select("doc_id", F.lit(None).cast("double").alias("quality_score"), F.lit(None).cast("double").alias("toxic_score"), F.lit(True).alias("kept"))
     scored = docs.mapInArrow(model.score, "doc_id long, quality_score double, toxic_score double")
     return scored.withColumn("kept", (F.col("quality_score") >= quality_at) & (F.col("toxic_score") < toxic_at))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_pool: int = 4000, quality_at: float = 0.4, toxic_at: float = 0.4) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`score_quality` would keep; decided where they are, without a shuffle."""
+    model = train(docs, labels, most_labelled, most_pool)
+    return docs if model is None else docs.mapInArrow(model.accepting(quality_at, toxic_at), docs.schema)

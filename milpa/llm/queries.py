@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from milpa.llm import chat, decontam, lm, neardup, pieces, quality, substrings
+from milpa.llm import chat, decontam, lm, media, neardup, pages, pieces, quality, substrings
 from milpa.llm._shared import table
 
 
@@ -34,10 +34,19 @@ def op5_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"), length=400)
 
 
+def op8_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read(media.store(table(spark, sf_dir, "documents")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("clips").cast("long").alias("n_clips"))
+
+
 def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -48,5 +57,11 @@ def op10_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
 
 
-QUERIES = {"op10_schema_fingerprint": op10_schema_fingerprint, "op4_sentencepiece": op4_sentencepiece, "op5_pigeonhole": op5_pigeonhole, "op1_cotraining": op1_cotraining, "op7_difference_cover": op7_difference_cover, "op9_backoff_automaton": op9_backoff_automaton, "op3_superminhash": op3_superminhash}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op6_host_consensus": op6_host_consensus, "op8_avi_mjpeg": op8_avi_mjpeg, "op10_schema_fingerprint": op10_schema_fingerprint, "op4_sentencepiece": op4_sentencepiece, "op5_pigeonhole": op5_pigeonhole, "op1_cotraining": op1_cotraining, "op7_difference_cover": op7_difference_cover, "op9_backoff_automaton": op9_backoff_automaton, "op3_superminhash": op3_superminhash}
 ORACLE_SQL: dict[str, str] = {}

@@ -314,11 +314,11 @@ def _digests(batches):
 
 
 def _texts(batches):
-    names = None
     for batch in slices(batches, "text"):
         names = [x for x in batch.schema.names if x != "spans"]
-        kept = []
+        kept, left = [], []
         for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            left.append(True)
             if spans:  # ends that cut a character are moved inward
                 data = t.encode()
                 inner = []
@@ -330,8 +330,9 @@ def _texts(batches):
                         stop -= 1
                     inner.append({"lo": lo, "stop": stop})
                 t = without_spans(t, inner).decode()
+                left[-1] = bool(t.strip())
             kept.append(t)
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if x == "text" else batch.column(x) for x in names], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if x == "text" else batch.column(x) for x in names], names=names).filter(pa.array(left, pa.bool_()))
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -346,5 +347,8 @@ def removal_digests(docs: DataFrame, length: int = 400) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``docs`` with its own columns, repeated bytes cut out of ``text``; a character cut in half stays whole. Null texts stay null."""
+    """``docs`` with its own columns, repeated bytes cut out of ``text``; a character cut in half stays whole.
+
+    Null texts stay null. A row of which nothing but white space is left is dropped.
+    """
     return _with_spans(docs, length).mapInArrow(_texts, docs.schema)
