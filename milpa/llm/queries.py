@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from milpa.llm import chat, decontam, lm, media, neardup, pages, pieces, quality, substrings
+from milpa.llm import chat, decontam, lm, media, neardup, pages, pieces, quality, substrings, tokenbin
 from milpa.llm._shared import table
 
 
@@ -22,6 +22,10 @@ def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.written_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -63,5 +67,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op6_host_consensus": op6_host_consensus, "op8_avi_mjpeg": op8_avi_mjpeg, "op10_schema_fingerprint": op10_schema_fingerprint, "op4_sentencepiece": op4_sentencepiece, "op5_pigeonhole": op5_pigeonhole, "op1_cotraining": op1_cotraining, "op7_difference_cover": op7_difference_cover, "op9_backoff_automaton": op9_backoff_automaton, "op3_superminhash": op3_superminhash}
+QUERIES = {"op2_context_mixing": op2_context_mixing, "pipeline": pipeline, "op6_host_consensus": op6_host_consensus, "op8_avi_mjpeg": op8_avi_mjpeg, "op10_schema_fingerprint": op10_schema_fingerprint, "op4_sentencepiece": op4_sentencepiece, "op5_pigeonhole": op5_pigeonhole, "op1_cotraining": op1_cotraining, "op7_difference_cover": op7_difference_cover, "op9_backoff_automaton": op9_backoff_automaton, "op3_superminhash": op3_superminhash}
 ORACLE_SQL: dict[str, str] = {}
