@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from milpa.llm._shared import slices, texts_of
 
 MARK, UNKNOWN_COST = "▁", 10.0
-KEPT_UNITS = 2_000_000
+KEPT_UNITS = 400_000
 _UNITS = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -85,7 +85,7 @@ class Unigram:
         if len(self.of_byte) != 256:
             raise ValueError("the model has no byte fallback")
         self.output = [p.replace(MARK, " ").encode() if k == "normal" else bytes([int(p[3:5], 16)]) if k == "byte" else b"" for p, _, k in pieces]
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> Unigram:
@@ -125,15 +125,15 @@ class Unigram:
             n = back[n]
         return out[::-1]
 
-    def unit(self, unit: str) -> np.ndarray:
-        """Ids of a unit whose spaces are still spaces; literal markers become bytes."""
+    def unit(self, unit: str) -> bytes:
+        """Ids (32-bit) of a unit whose spaces are still spaces; literal markers become bytes."""
         ids = self.known.get(unit)
         if ids is None:
             parts = unit.split(MARK)
             out = self.viterbi(parts[0].replace(" ", MARK))
             for part in parts[1:]:
                 out += [self.of_byte[b] for b in MARK.encode()] + self.viterbi(part.replace(" ", MARK))
-            ids = np.array(out, np.int32)
+            ids = np.array(out, np.int32).tobytes()
             if len(self.known) >= KEPT_UNITS:
                 self.known.clear()
             self.known[unit] = ids
@@ -151,7 +151,7 @@ class Unigram:
             ends = np.cumsum([0] + [len(x) for x in units])
             coded, prefix = pa.array([u for x in units for u in x], pa.large_string()).dictionary_encode(), ""
         ids = [self.unit(prefix + u) for u in coded.dictionary.to_pylist()]
-        return gathered(np.concatenate([*ids, np.zeros(0, np.int32)]), np.cumsum([0] + [len(x) for x in ids]), coded.indices.to_numpy().astype(np.int64), ends)
+        return gathered(np.frombuffer(b"".join(ids), np.int32), np.cumsum([0] + [len(x) // 4 for x in ids]), coded.indices.to_numpy().astype(np.int64), ends)
 
     def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         if not hasattr(self, "flat"):
@@ -170,7 +170,7 @@ def gathered(flat: np.ndarray, cuts: np.ndarray, picks: np.ndarray, ends: np.nda
 
 def _encode(model: Unigram):
     def run(batches):
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text"):
             ids, ends = model.encode_all(texts_of(batch.column("text")))
             out = {x: batch.column(x) for x in batch.schema.names}
             out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))

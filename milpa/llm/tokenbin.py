@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from milpa.llm._shared import slices, texts_of
 from milpa.llm.pieces import gathered
 
-BLOCK, GROUP_IDS, SLOTS, MAGIC = 4096, 1 << 22, 4096, b"CMR1"
+BLOCK, GROUP_IDS, SLOTS, MAGIC, KEPT_WORDS = 4096, 1 << 22, 4096, b"CMR1", 400_000
 WORD, TOP, LOWEST, ALL = 16, np.uint64(32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
 CLASSES, TOTAL = 18, 4096
 GROUPS = "file int, seq int, doc_ids array<long>, doc_tokens array<long>, blocks array<binary>"
@@ -230,13 +230,13 @@ def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.n
     present, place = np.unique(key[~np.repeat(odd, np.diff(ends))], return_inverse=True)
     names = coded.dictionary.take(pa.array(present // 2)).to_pylist() if len(present) else []
     names = [w if f else " " + w for w, f in zip(names, (present % 2).tolist(), strict=True)]
-    if len(known) > 2_000_000:
+    if len(known) > KEPT_WORDS:
         known.clear()
     new = [w for w in names if w not in known]
-    known.update(zip(new, (np.array(e.ids, np.int32) for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+    known.update(zip(new, (np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
     ids = [known[w] for w in names]
     sizes = np.where(odd, 0, np.diff(ends))
-    flat, cuts = gathered(np.concatenate([*ids, np.zeros(0, np.int32)]), np.cumsum([0] + [len(x) for x in ids]), place, np.concatenate([[0], np.cumsum(sizes)]))
+    flat, cuts = gathered(np.frombuffer(b"".join(ids), np.int32), np.cumsum([0] + [len(x) // 4 for x in ids]), place, np.concatenate([[0], np.cumsum(sizes)]))
     whole = {int(i): np.array(e.ids, np.int32) for i, e in zip(np.flatnonzero(odd), tokenizer.encode_batch([texts[int(i)].as_py() for i in np.flatnonzero(odd)], add_special_tokens=False), strict=True)}
     stop = np.array([end], np.int32)
     parts = [x for i in range(len(texts)) for x in (whole.get(i, flat[cuts[i] : cuts[i + 1]]), stop)]
