@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from milpa.llm._shared import slices, texts_of
 from milpa.llm.pieces import gathered
 
-BLOCK, GROUP_IDS, SLOTS, MAGIC, KEPT_WORDS = 4096, 1 << 22, 4096, b"CMR1", 400_000
+BLOCK, GROUP_IDS, SLOTS, MAGIC, KEPT_WORDS = 2048, 1 << 22, 1024, b"CMR1", 400_000
 WORD, TOP, LOWEST, ALL = 16, np.uint64(32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
 CLASSES, TOTAL = 18, 4096
 GROUPS = "file int, seq int, doc_ids array<long>, doc_tokens array<long>, blocks array<binary>"
@@ -43,7 +43,7 @@ class Coder:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, ALL, np.uint64)
         self.decoding = words is not None
         self.words = words if self.decoding else np.zeros((lanes, capacity), np.uint16)
-        self.at = np.zeros(lanes, np.int64)
+        self.at, self.every = np.zeros(lanes, np.int64), np.arange(lanes)
         self.code = np.zeros(lanes, np.uint64)
         if self.decoding:
             for _ in range(3):
@@ -54,31 +54,36 @@ class Coder:
         self.at[lanes] += 1
         return out.astype(np.uint64)
 
-    def target(self, lanes: np.ndarray, total: np.ndarray | int) -> np.ndarray:
+    def target(self, lanes: np.ndarray | slice, total: np.ndarray | int) -> np.ndarray:
         """Where in ``0 .. total - 1`` the code of each lane points."""
-        step = self.range[lanes] // np.uint64(1) // np.asarray(total, np.uint64)
-        return np.minimum((self.code[lanes] - self.low[lanes] & ALL) // step, np.asarray(total, np.uint64) - np.uint64(1)).astype(np.int64)
+        total = np.asarray(total, np.uint64)
+        step = self.range[lanes] // total
+        return np.minimum((self.code[lanes] - self.low[lanes] & ALL) // step, total - np.uint64(1)).astype(np.int32)
 
-    def narrow(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
+    def narrow(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
         step = self.range[lanes] // np.asarray(total, np.uint64)
-        self.low[lanes] += step * start.astype(np.uint64)
-        self.range[lanes] = step * size.astype(np.uint64)
+        low = self.low[lanes] + step * start.astype(np.uint64)
+        width = step * size.astype(np.uint64)
+        self.low[lanes], self.range[lanes] = low, width
+        if isinstance(lanes, slice):
+            lanes = self.every[lanes]
         while True:
-            low, width = self.low[lanes], self.range[lanes]
             settled = (low ^ (low + width - np.uint64(1))) >> TOP == 0
             tight = ~settled & (width < LOWEST)
-            out = settled | tight
-            if not out.any():
+            out = np.flatnonzero(settled | tight)
+            if not len(out):
                 return
+            lanes, low, width, tight = lanes[out], low[out], width[out], tight[out]
             if tight.any():
                 width = np.where(tight, (~low + np.uint64(1)) & (LOWEST - np.uint64(1)), width)
-            lanes, low, width = lanes[out], low[out], width[out]
             if self.decoding:
                 self.code[lanes] = (self.code[lanes] << np.uint64(WORD) | self._next(lanes)) & ALL
             else:
-                self.words[lanes, self.at[lanes]] = (low >> TOP).astype(np.uint16)
-                self.at[lanes] += 1
-            self.low[lanes], self.range[lanes] = low << np.uint64(WORD) & ALL, width << np.uint64(WORD)
+                at = self.at[lanes]
+                self.words[lanes, at] = (low >> TOP).astype(np.uint16)
+                self.at[lanes] = at + 1
+            low, width = low << np.uint64(WORD) & ALL, width << np.uint64(WORD)
+            self.low[lanes], self.range[lanes] = low, width
 
     def finish(self) -> None:
         lanes = np.arange(len(self.low))
@@ -87,74 +92,91 @@ class Coder:
             self.at += 1
 
 
+#: Confidence after a wrong (first four) and a right prediction.
+_SURER = np.array([0, 0, 0, 1, 1, 2, 3, 3], np.int32)
+
+
 class Mixer:
-    """The adaptive state of all lanes, and one id of every live lane at a time, coded or decoded."""
+    """The adaptive state of all lanes, and one id of every live lane at a time, coded or decoded.
+
+    A prediction is one number, ``id | confidence << 16``. Both outcome probabilities of a context are in 4096ths: that order 2 holds, and,
+    if not, that order 1 does.
+    """
 
     def __init__(self, lanes: int):
-        self.id1, self.id2 = np.zeros((lanes, SLOTS), np.uint16), np.zeros((lanes, SLOTS), np.uint16)
-        self.sure1, self.sure2 = np.zeros((lanes, SLOTS), np.uint8), np.zeros((lanes, SLOTS), np.uint8)
-        self.by_sure, self.by_past = np.full((lanes, 32, 2), TOTAL // 2, np.int32), np.full((lanes, 9, 2), TOTAL // 2, np.int32)
+        self.guess1, self.guess2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
+        self.by_sure = [np.full(lanes * 32, TOTAL // 2, np.int32) for _ in range(2)]
+        self.by_past = [np.full(lanes * 9, TOTAL // 2, np.int32) for _ in range(2)]
         self.weight = np.full(lanes, 8, np.int32)
-        self.classes = np.ones((lanes, CLASSES), np.int64)
-        self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.past = np.zeros(lanes, np.int64)
+        self.classes = np.ones((lanes, CLASSES), np.int32)
+        self.before1, self.before2, self.past = (np.zeros(lanes, np.int32) for _ in range(3))
+        self.first = [np.arange(lanes, dtype=np.int64) * k for k in (SLOTS, 32, 9)]
 
     def step(self, coder: Coder, n: int, ids: np.ndarray | None) -> np.ndarray:
         """Lanes ``0 .. n - 1``; gives their ids, which are ``ids`` when coding."""
-        lanes = np.arange(n)
-        p1, p2 = self.before1[:n], self.before2[:n]
-        slot1, slot2 = (p1 * 40503 >> 3) & SLOTS - 1, (p1 * 0x9E3B + p2 * 0x85EB7 >> 5) & SLOTS - 1
-        guess1, guess2 = self.id1[lanes, slot1].astype(np.int64), self.id2[lanes, slot2].astype(np.int64)
-        sure1, sure2 = self.sure1[lanes, slot1], self.sure2[lanes, slot2]
-        context, past = sure2.astype(np.int64) * 8 + sure1 * 2 + (guess1 == guess2), self.past[:n]
-        a, b, w = self.by_sure[lanes, context], self.by_past[lanes, past], self.weight[:n, None]
-        mixed = (a * w + b * (16 - w)) >> 4
-        first = np.clip(mixed[:, 0], 1, TOTAL - 2)
-        second = np.clip((TOTAL - first) * mixed[:, 1] // TOTAL, 1, TOTAL - first - 1)
+        live = slice(0, n)
+        p1, p2, past, w = self.before1[live], self.before2[live], self.past[live], self.weight[live]
+        at1 = self.first[0][live] + ((p1 * 40503 & 0x7FFFFFFF) >> 3 & SLOTS - 1)
+        at2 = self.first[0][live] + (((p1 * 0x6E3B) ^ (p2 * 0x5EB7)) >> 5 & SLOTS - 1)
+        known1, known2 = self.guess1.take(at1), self.guess2.take(at2)
+        guess1, guess2, sure1, sure2 = known1 & 0xFFFF, known2 & 0xFFFF, known1 >> 16, known2 >> 16
+        context, recent = self.first[1][live] + (sure2 * 8 + sure1 * 2 + (guess1 == guess2)), self.first[2][live] + past
+        a0, a1, b0, b1 = self.by_sure[0].take(context), self.by_sure[1].take(context), self.by_past[0].take(recent), self.by_past[1].take(recent)
+        first = np.minimum(np.maximum(b0 + ((a0 - b0) * w >> 4), 1), TOTAL - 2)
+        rest = TOTAL - first
+        second = np.minimum(np.maximum(rest * (b1 + ((a1 - b1) * w >> 4)) >> 12, 1), rest - 1)
         if ids is None:
-            t = coder.target(lanes, TOTAL)
-            kind = (t >= first).astype(np.int64) + (t >= first + second)
+            t = coder.target(live, TOTAL)
+            hit2 = t < first
+            hit1 = ~hit2 & (t < first + second)
+            out = np.where(hit2, guess2, guess1)
         else:
-            kind = np.where(ids == guess2, 0, np.where(ids == guess1, 1, 2))
-        start = np.where(kind == 0, 0, np.where(kind == 1, first, first + second))
-        coder.narrow(lanes, start, np.where(kind == 0, first, np.where(kind == 1, second, TOTAL - first - second)), TOTAL)
-
-        out = np.where(kind == 0, guess2, guess1) if ids is None else ids.astype(np.int64)
-        literal = np.flatnonzero(kind == 2)
+            hit2 = ids == guess2
+            hit1 = ~hit2 & (ids == guess1)
+            out = ids
+        other = ~(hit2 | hit1)
+        coder.narrow(live, np.where(hit2, 0, np.where(hit1, first, first + second)), np.where(hit2, first, np.where(hit1, second, rest - second)), TOTAL)
+        literal = np.flatnonzero(other)
         if len(literal):
-            self._literal(coder, literal, out, ids is None)
-
-        hit0, hit1 = kind == 0, kind == 1
-        self.weight[:n] = np.clip(self.weight[:n] + np.where((a[:, 0] > b[:, 0]) == hit0, 1, -1), 1, 15)
-        for table, at, held in ((self.by_sure, context, a), (self.by_past, past, b)):
-            held = held.copy()
-            held[:, 0] += np.where(hit0, TOTAL - held[:, 0], -held[:, 0]) >> 4
-            held[:, 1] = np.where(hit0, held[:, 1], held[:, 1] + (np.where(hit1, TOTAL - held[:, 1], -held[:, 1]) >> 4))
-            table[lanes, at] = held
-        for ident, sure, slot, guess, s in ((self.id1, self.sure1, slot1, guess1, sure1), (self.id2, self.sure2, slot2, guess2, sure2)):
+            out = self._literal(coder, literal, out, ids is None)
+
+        self.weight[live] = np.minimum(np.maximum(w + np.where((a0 > b0) == hit2, 1, -1), 1), 15)
+        goal, goal1, open_ = hit2.astype(np.int32) << 12, hit1.astype(np.int32) << 12, ~hit2
+        self.by_sure[0].put(context, a0 + (goal - a0 >> 4))
+        self.by_past[0].put(recent, b0 + (goal - b0 >> 4))
+        self.by_sure[1].put(context, a1 + (goal1 - a1 >> 4) * open_)
+        self.by_past[1].put(recent, b1 + (goal1 - b1 >> 4) * open_)
+        for table, at, guess, sure in ((self.guess1, at1, guess1, sure1), (self.guess2, at2, guess2, sure2)):
             right = guess == out
-            ident[lanes, slot] = np.where(right | (s > 1), guess, out)
-            sure[lanes, slot] = np.where(right, np.minimum(s + 1, 3), np.where(s > 1, s - 2, 0))
-        self.before2[:n], self.before1[:n], self.past[:n] = p1.copy(), out, past % 3 * 3 + kind
+            table.put(at, np.where(right | (sure > 1), guess, out) | _SURER.take(right * 4 + sure) << 16)
+        self.before2[live], self.past[live] = p1, past % 3 * 3 + np.where(hit2, 0, np.where(hit1, 1, 2))
+        self.before1[live] = out
         return out
 
-    def _literal(self, coder: Coder, lanes: np.ndarray, out: np.ndarray, decoding: bool) -> None:
+    def _literal(self, coder: Coder, lanes: np.ndarray, out: np.ndarray, decoding: bool) -> np.ndarray:
         counts = self.classes[lanes]
         ends = np.cumsum(counts, axis=1)
         total = ends[:, -1]
-        size = (ends <= coder.target(lanes, total)[:, None]).sum(1) if decoding else np.frexp(out[lanes].astype(np.float64))[1]
         row = np.arange(len(lanes))
-        coder.narrow(lanes, ends[row, size] - counts[row, size], counts[row, size], total)
-        counts[row, size] += 24
-        grown = total > 1 << 13
-        if grown.any():
+        if decoding:
+            size = (ends <= coder.target(lanes, total)[:, None]).sum(1)
+        else:
+            value = out[lanes]
+            size = np.frexp(value.astype(np.float32))[1]
+        end, own = ends[row, size], counts[row, size]
+        coder.narrow(lanes, end - own, own, total)
+        counts[row, size] = own + 24
+        grown = np.flatnonzero(total > 1 << 13)
+        if len(grown):
             counts[grown] = (counts[grown] + 1) >> 1
         self.classes[lanes] = counts
         span = np.left_shift(1, np.maximum(size - 1, 0))
-        rest = coder.target(lanes, span) if decoding else out[lanes] - np.where(size > 0, span, 0)
-        coder.narrow(lanes, rest, np.ones(len(lanes), np.int64), span)
+        rest = coder.target(lanes, span) if decoding else value - np.where(size > 0, span, 0)
+        coder.narrow(lanes, rest, np.ones(len(lanes), np.int32), span)
         if decoding:
+            out = out.copy()
             out[lanes] = np.where(size > 0, span + rest, 0)
+        return out
 
 
 def pack(ids: np.ndarray) -> list[bytes]:
@@ -162,13 +184,14 @@ def pack(ids: np.ndarray) -> list[bytes]:
     n = -(-len(ids) // BLOCK)
     if not n:
         return []
-    table = np.zeros((n, BLOCK), np.int64)
+    table = np.zeros((n, BLOCK), np.int32)
     table.ravel()[: len(ids)] = ids
+    table = np.ascontiguousarray(table.T)
     coder, mixer = Coder(n, 3 * min(BLOCK, len(ids)) + 8), Mixer(n)
     last = len(ids) - (n - 1) * BLOCK
     for t in range(min(BLOCK, len(ids))):
         live = n if t < last else n - 1
-        mixer.step(coder, live, table[:live, t])
+        mixer.step(coder, live, table[t, :live])
     coder.finish()
     out = []
     for i in range(n):
@@ -189,10 +212,11 @@ def unpack(blocks: list[bytes]) -> np.ndarray:
     words = np.zeros((len(blocks), max(h[2] for h in heads) // 2 + 4), np.uint16)
     for i, b in enumerate(blocks):
         words[i, : heads[i][2] // 2] = np.frombuffer(b, "<u2", offset=16)
-    coder, mixer, out = Coder(len(blocks), 0, words), Mixer(len(blocks)), np.zeros((len(blocks), int(sizes.max())), np.int64)
-    for t in range(out.shape[1]):
+    coder, mixer, out = Coder(len(blocks), 0, words), Mixer(len(blocks)), np.zeros((int(sizes.max()), len(blocks)), np.int32)
+    for t in range(len(out)):
         live = int((sizes > t).sum())
-        out[:live, t] = mixer.step(coder, live, None)
+        out[t, :live] = mixer.step(coder, live, None)
+    out = np.ascontiguousarray(out.T)
     for i, h in enumerate(heads):
         if zlib.crc32(out[i, : h[0]].astype("<u4").tobytes()) != h[1]:
             raise ValueError("checksum differs")
