@@ -80,7 +80,7 @@ def record_paths(record: Column, known: list[str]) -> Column:
     """Sorted field paths of a JSON record, to two levels, of those that any mapping knows; further fields don't disturb."""
 
     def of_key(k: Column) -> Column:
-        inside = lambda path, sign: F.transform(F.json_object_keys(F.get_json_object(record, path)), lambda s: F.concat(k, F.lit(sign), s))
+        inside = lambda path, sign: F.transform(F.json_object_keys(F.call_function("get_json_object", record, path)), lambda s: F.concat(k, F.lit(sign), s))
         at = F.concat(F.lit("$['"), k, F.lit("']"))
         return F.coalesce(inside(F.concat(at, F.lit("[0]")), "[]."), inside(at, "."), F.array(k))
 

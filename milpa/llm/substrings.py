@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from milpa.llm._shared import U64, bytes_of, mix, reliable, slices, texts_of
 
-COVER, BUFFER, BUCKET, GROUP_BYTES = 64, 1 << 20, 1 << 16, 8 << 20
+COVER, BUFFER, BUCKET, GROUP_BYTES, SPANS = 64, 1 << 20, 1 << 16, 8 << 20, "_repeated_spans"
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -299,14 +299,14 @@ def without_spans(text: str | None, spans: list[dict] | None) -> bytes:
 
 def _digests(batches):
     for batch in slices(batches, "text"):
-        kept = [without_spans(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        kept = [without_spans(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column(SPANS).to_pylist(), strict=True)]
         n = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 n,
                 pa.array([a - len(k) for a, k in zip(n.to_pylist(), kept, strict=True)], pa.int64()),
-                pa.array([len(s or []) for s in batch.column("spans").to_pylist()], pa.int64()),
+                pa.array([len(s or []) for s in batch.column(SPANS).to_pylist()], pa.int64()),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
             ],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
@@ -315,9 +315,9 @@ def _digests(batches):
 
 def _texts(batches):
     for batch in slices(batches, "text"):
-        names = [x for x in batch.schema.names if x != "spans"]
+        names = [x for x in batch.schema.names if x != SPANS]
         kept, left = [], []
-        for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for t, spans in zip(batch.column("text").to_pylist(), batch.column(SPANS).to_pylist(), strict=True):
             left.append(True)
             if spans:  # ends that cut a character are moved inward
                 data = t.encode()
@@ -336,14 +336,15 @@ def _texts(batches):
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    docs = keyed(docs)
-    spans = repeated_spans(docs, length).withColumnRenamed("doc_id", "span_doc").withColumnRenamed("text_key", "span_key")
-    return docs.join(spans, (F.col("doc_id") == F.col("span_doc")) & (F.col("text_key") == F.col("span_key")), "left").drop("span_doc", "span_key", "text_key")
+    """``docs`` with a column ``SPANS``, under a name that no table is likely to have."""
+    texts = keyed(docs.select("doc_id", "text"))
+    spans = repeated_spans(texts, length).select(F.col("doc_id").alias("_span_doc"), F.col("text_key").alias("_span_key"), F.col("spans").alias(SPANS))
+    return docs.join(spans, (docs["doc_id"] == F.col("_span_doc")) & (F.hash(docs["text"]) == F.col("_span_key")), "left").drop("_span_doc", "_span_key")
 
 
 def removal_digests(docs: DataFrame, length: int = 400) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` after all repeated bytes are gone."""
-    return _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), length).select("doc_id", "text", "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), length).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
