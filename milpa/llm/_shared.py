@@ -78,7 +78,7 @@ def hashes_of(words: pa.Array) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.large_binary()).to_pylist()), U64, len(words))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``column`` holds about ``most`` bytes in each; one longer text is a batch of its own."""
     for batch in batches:
         if not batch.num_rows:

@@ -174,7 +174,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _partition_words(parts: int):
     def run(batches):
         keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             tokens, _ = tokens_of(texts_of(batch.column("text")))
             own, times = np.unique(word_keys(tokens), return_counts=True)
             keys, inverse = np.unique(np.concatenate([keys, own]), return_inverse=True)

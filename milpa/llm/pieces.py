@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from milpa.llm._shared import slices, texts_of
 
 MARK, UNKNOWN_COST = "▁", 10.0
-KEPT_UNITS = 400_000
+KEPT_UNITS = 200_000
 _UNITS = re.compile(r" +[^ ]*|[^ ]+")
 
 

@@ -179,7 +179,7 @@ class CoTrained:
 
 def co_train(content: Rows, meta: Rows, sizes: tuple[int, int], target: np.ndarray, labelled: np.ndarray, rounds: int = 3, sure: float = 0.97, per_round: int = 400) -> CoTrained:
     """Co-training of two views of the same rows; ``target`` counts where ``labelled``, the other rows are the pool."""
-    known = np.flatnonzero(labelled)
+    known = np.random.default_rng(0).permutation(np.flatnonzero(labelled))
     held, learn = known[::4], np.setdiff1d(known, known[::4])
     content = content.only(telling(content.take(learn), target[learn], sizes[0]))  # weights of all others stay 0
     views = content, meta
@@ -224,7 +224,7 @@ class QualityModel:
 
     def content_rows(self, m: np.ndarray, owner: np.ndarray, slot: np.ndarray) -> Rows:
         n = m.shape[1]
-        bins = [2 * WORD_SLOTS + i * BINS + np.searchsorted(self.edges[i], m[i], "right") for i in range(len(m))]
+        bins = [2 * WORD_SLOTS + i * BINS + np.searchsorted(self.edges[i], m[i], "left") for i in range(len(m))]
         row = np.concatenate([owner, np.tile(np.arange(n), len(m))])
         item = np.concatenate([slot, *bins])
         order = np.argsort(row, kind="stable")

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from milpa.llm._shared import slices, texts_of
 from milpa.llm.pieces import gathered
 
-BLOCK, GROUP_IDS, SLOTS, MAGIC, KEPT_WORDS = 2048, 1 << 22, 1024, b"CMR1", 400_000
+BLOCK, GROUP_IDS, SLOTS, MAGIC, KEPT_WORDS = 2048, 1 << 22, 1024, b"CMR1", 200_000
 WORD, TOP, LOWEST, ALL = 16, np.uint64(32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
 CLASSES, TOTAL = 18, 4096
 GROUPS = "file int, seq int, doc_ids array<long>, doc_tokens array<long>, blocks array<binary>"
