@@ -42,8 +42,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = pieces.Unigram.load(tokenizer("piece_bpe_32k.model"))
-    coded = pieces.decode(pieces.encode(docs, model), model)
-    return coded.withColumn("n_pieces", F.size("ids").cast("long")).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+    return pieces.coded(docs, model).withColumn("n_pieces", F.size("ids").cast("long"))
 
 
 STAGES = [("quality", drop_poor), ("near_duplicates", drop_near_copies), ("repeats", cut_repeats), ("benchmark", drop_leaks), ("pieces", to_pieces)]

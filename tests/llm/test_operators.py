@@ -293,6 +293,8 @@ def test_pieces_round_trip(docs, model, empty):
     got = pieces.round_trip(docs, model).collect()
     assert len(got) == len(TEXTS) + 1 and all(r["round_trip"] for r in got)
     assert pieces.round_trip(empty, model).count() == 0
+    apart = pieces.decode(pieces.encode(docs, model), model).collect()
+    assert all(r["decoded"] == (TEXTS[r["doc_id"]] or "") for r in apart)
 
 
 def test_viterbi_against_all_paths():
