@@ -233,7 +233,7 @@ def _tokenizer(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return tokenizer, {}
+    return tokenizer, [{}, {}]
 
 
 def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +254,13 @@ def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.n
     present, place = np.unique(key[~np.repeat(odd, np.diff(ends))], return_inverse=True)
     names = coded.dictionary.take(pa.array(present // 2)).to_pylist() if len(present) else []
     names = [w if f else " " + w for w, f in zip(names, (present % 2).tolist(), strict=True)]
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    new = [w for w in names if w not in known]
-    known.update(zip(new, (np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-    ids = [known[w] for w in names]
+    recent, older = known  # words of two generations, so that frequent ones are kept when the younger is full
+    if len(recent) > KEPT_WORDS:
+        known[:] = recent, older = {}, recent
+    recent.update((w, older[w]) for w in names if w not in recent and w in older)
+    new = [w for w in names if w not in recent]
+    recent.update(zip(new, (np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+    ids = [recent[w] for w in names]
     sizes = np.where(odd, 0, np.diff(ends))
     flat, cuts = gathered(np.frombuffer(b"".join(ids), np.int32), np.cumsum([0] + [len(x) // 4 for x in ids]), place, np.concatenate([[0], np.cumsum(sizes)]))
     whole = {int(i): np.array(e.ids, np.int32) for i, e in zip(np.flatnonzero(odd), tokenizer.encode_batch([texts[int(i)].as_py() for i in np.flatnonzero(odd)], add_special_tokens=False), strict=True)}
@@ -276,7 +278,7 @@ def _write(path: str, end: int):
 
     def run(batches):
         docs, counts, ids, seq = [], [], [], 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             flat, cuts = encode_texts(texts_of(batch.column("text")), path, end)
             docs += batch.column("doc_id").to_pylist()
             counts += np.diff(cuts).tolist()
