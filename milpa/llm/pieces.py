@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from milpa.llm._shared import slices, texts_of
 
 MARK, UNKNOWN_COST = "▁", 10.0
-KEPT_UNITS = 200_000
+KEPT_UNITS = 400_000
 _UNITS = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -85,7 +85,8 @@ class Unigram:
         if len(self.of_byte) != 256:
             raise ValueError("the model has no byte fallback")
         self.output = [p.replace(MARK, " ").encode() if k == "normal" else bytes([int(p[3:5], 16)]) if k == "byte" else b"" for p, _, k in pieces]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # two generations, so that frequent units are kept when the younger is full
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> Unigram:
@@ -128,15 +129,18 @@ class Unigram:
     def unit(self, unit: str) -> bytes:
         """Ids (32-bit) of a unit whose spaces are still spaces; literal markers become bytes."""
         ids = self.known.get(unit)
+        if ids is not None:
+            return ids
+        ids = self.older.get(unit)
         if ids is None:
             parts = unit.split(MARK)
             out = self.viterbi(parts[0].replace(" ", MARK))
             for part in parts[1:]:
                 out += [self.of_byte[b] for b in MARK.encode()] + self.viterbi(part.replace(" ", MARK))
             ids = np.array(out, np.int32).tobytes()
-            if len(self.known) >= KEPT_UNITS:
-                self.known.clear()
-            self.known[unit] = ids
+        if len(self.known) >= KEPT_UNITS:
+            self.known, self.older = {}, self.known
+        self.known[unit] = ids
         return ids
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +211,7 @@ def decode(encoded: DataFrame, model: Unigram) -> DataFrame:
 
 def _coded(model: Unigram):
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             texts = texts_of(batch.column("text"))
             ids, ends = model.encode_all(texts)
             same = [a == b for a, b in zip(model.decode_all(ids, ends), texts.to_pylist(), strict=True)]
