@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from milpa.llm._shared import slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|textarea|iframe|svg|title|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -28,6 +28,7 @@ _OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments complementary contentinfo cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 _SPACE = re.compile(r"\s+")
 
 
@@ -38,11 +39,23 @@ class Page:
         self.paths, self.parents, self.tags, self.out = ["body"], [-1], ["body"], [False]
         self.blocks: list[tuple[int, str, float]] = []  # container or block element, text, share of it in links
         stack, text, linked, in_link = [0], [], 0, 0
+        inline: list[tuple[str, int, bool]] = []  # open inline elements: tag, blocks open around it, whether it is left out
+        left_out, opened = 0, dict.fromkeys(_INLINE, 0)
+
+        def close_inline(tag: str | None = None) -> None:
+            nonlocal left_out
+            while inline and (tag or inline[-1][1] > len(stack)):
+                name, _, out = inline.pop()
+                opened[name] -= 1
+                left_out -= out
+                if name == tag:
+                    break
+
         for m in _TOKEN.finditer(html or ""):
             tag = m[2]
             if tag is None:
                 whole = m[0]
-                if m[1] is None and whole[0] != "<" or whole == "<":
+                if not left_out and (m[1] is None and whole[0] != "<" or whole == "<"):
                     text.append(whole)
                     linked += len(whole) if in_link else 0
                 continue
@@ -53,9 +66,15 @@ class Page:
                 continue
             if tag in ("html", "body"):
                 continue
-            if tag in _INLINE and (closing or not self._named_out(m[3])):
+            if tag in _INLINE:
                 if tag == "a":
                     in_link = 0 if closing else 1
+                if closing and opened[tag]:
+                    close_inline(tag)
+                elif not closing and not _SELF_CLOSED.search(m[3]):
+                    inline.append((tag, len(stack), self._named_out(m[3])))
+                    opened[tag] += 1
+                    left_out += inline[-1][2]
                 continue
             self._flush(stack[-1], text, linked)
             text, linked = [], 0
@@ -64,17 +83,19 @@ class Page:
                     while self.tags[stack.pop()] != tag:
                         pass
                     in_link = 0
+                    close_inline()
                 continue
-            if self.tags[stack[-1]] == "p" and tag not in _INLINE or self.tags[stack[-1]] in _CLOSES.get(tag, ()):
+            if self.tags[stack[-1]] == "p" or self.tags[stack[-1]] in _CLOSES.get(tag, ()):
                 stack.pop()
-            self._open(tag, m[3], stack)
+                close_inline()
+            self._open(tag, m[3], stack, left_out > 0)
         self._flush(stack[-1], text, linked)
 
     @staticmethod
     def _named_out(attributes: str) -> bool:
         return bool(attributes) and any(w in _OUT_WORDS for a in _ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z]+", (a[2] or a[3] or a[4] or "").lower()))
 
-    def _open(self, tag: str, attributes: str, stack: list[int]) -> None:
+    def _open(self, tag: str, attributes: str, stack: list[int], left_out: bool) -> None:
         name = tag
         if attributes:
             named = {a[1].lower(): (a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(attributes)}
@@ -82,7 +103,7 @@ class Page:
             if first:
                 name += "." + re.sub(r"\d+", "N", first[0].lower())
         parent = stack[-1]
-        self.out.append(self.out[parent] or tag in _OUT or self._named_out(attributes))
+        self.out.append(self.out[parent] or left_out or tag in _OUT or self._named_out(attributes))
         self.paths.append(f"{self.paths[parent]}>{name}")
         self.parents.append(parent)
         self.tags.append(tag)

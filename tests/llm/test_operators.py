@@ -408,6 +408,23 @@ def test_broken_markup():
     assert pages.Page("a < b").text("body") == "a < b"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>Text <span class=share>x</span> more text</p>", "Text more text"),
+        ("<div class=body><span class=ad>x</span><p>one</p><p>two</p></div>", "one\ntwo"),
+        ("<p>a <a class='related' href=/>b <i>c</i> d</a> e <b>f <span id=ad>g</b> h</p>", "a e f h"),
+        ("<p>a <span class=ad>b <span>c</span> d</span> e</p>", "a e"),
+        ("<p>a <span class=ad>b<p>c <span class=byline>d</p>e", "a\nc\ne"),
+        ("<span class=ad>a<p>b</p>c</span>d", "d"),
+        ("<p>a <span class=share /> b</p>", "a b"),
+        ("<p>a <svg viewBox='0 > 1'/> b</p><p>c</p><svg><text>d</text></svg><p>e", "a b\nc\ne"),
+    ],
+)
+def test_inline_elements_left_out_end_at_their_tag(html, text):
+    assert pages.Page(html).text("body") == text
+
+
 # ---- media --------------------------------------------------------------------------------------------------------------------
 def test_media_round_trip(docs, empty):
     got = media.read(media.store(docs))
