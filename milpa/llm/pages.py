@@ -1,8 +1,10 @@
 """Main text of web pages by consensus of their host.
 
-Each page's containers are scored by the text of their paragraphs, less link text, fading with depth. The best container votes for its
-generalised path (tags with their first class, digits as N) among all pages of its host; votes are counted in Spark. Every page is then
-extracted again from the containers at its host's winning path, or, where it has none, from its own best one. Menus, headers, footers,
+Each page's containers are scored by the text of their paragraphs, less link text, fading with depth. The best container is widened to the
+article around it, or else to its parents as long as what stands beside it is low in links, and votes for its generalised path (tags with
+their first class, digits as N) among all pages of its host; votes are counted in Spark. Every page is then extracted again from the
+containers at its host's winning path, or, where it has none, from its own. Where the host's path holds but a small part of the text of the
+page's own path, both are taken. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
 """
 
@@ -28,6 +30,8 @@ _OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments complementary contentinfo cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: A host's path with less than a quarter of the text of the page's own is not trusted alone, if the latter has this many characters.
+_LEAST_PART, _LEAST_OWN = 0.25, 250
 _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 _SPACE = re.compile(r"\s+")
 
@@ -117,7 +121,7 @@ class Page:
                 self.blocks.append((node, clean, min(1.0, linked / len(whole))))
 
     def best(self) -> tuple[str, float] | None:
-        """Path and score of the best container; of equal ones the outermost, first."""
+        """Path of the best container, widened, and its score; of equal ones the outermost, first."""
         score: dict[int, float] = {}
         for node, text, link in self.blocks:
             worth = len(text) * (1 - link)
@@ -129,15 +133,50 @@ class Page:
         if not score:
             return None
         node = max(score, key=lambda n: (score[n], -n))
-        return self.paths[node], score[node]
-
-    def text(self, path: str | None) -> str:
-        """Blocks inside the elements at ``path``, joined by line breaks."""
-        if path is None:
-            return ""
-        inside = [p == path for p in self.paths]
+        return self.paths[self._widened(node)], score[node]
+
+    def _widened(self, node: int) -> int:
+        """The article around ``node``, or the outermost parent up to which all other text is low in links; only what adds text counts."""
+        around = node
+        while around >= 0 and self.tags[around] != "article":
+            around = self.parents[around]
+        if around >= 0:
+            return around
+        whole, linked = [0.0] * len(self.tags), [0.0] * len(self.tags)
+        for n, text, link in self.blocks:
+            whole[n] += len(text)
+            linked[n] += len(text) * link
+        same: dict[tuple[int, str], list[float]] = {}  # text and links of the elements at one path in one parent
+        for n in range(len(self.tags) - 1, 0, -1):
+            p = self.parents[n]
+            of = same.setdefault((p, self.paths[n]), [0.0, 0.0])
+            for total, k in ((whole, 0), (linked, 1)):
+                total[p] += total[n]
+                of[k] += total[n]
+        widest = node
+        while node > 0 and self.tags[node] != "main":
+            p = self.parents[node]
+            mine = same[p, self.paths[node]]
+            more, links = whole[p] - mine[0], linked[p] - mine[1]
+            if links > 0.5 * more:
+                break
+            widest, node = p if more >= 1 else widest, p
+        return widest
+
+    def _inside(self, paths: tuple[str, ...]) -> list[bool]:
+        inside = [p in paths for p in self.paths]
         for n in range(1, len(inside)):
             inside[n] |= inside[self.parents[n]]
+        return inside
+
+    def unlinked(self, path: str) -> float:
+        """Characters inside the elements at ``path`` that are not in links."""
+        inside = self._inside((path,))
+        return sum(len(text) * (1 - link) for node, text, link in self.blocks if inside[node])
+
+    def text(self, *paths: str | None) -> str:
+        """Blocks inside the elements at any of ``paths``, joined by line breaks."""
+        inside = self._inside(paths)
         return "\n".join(text for node, text, _ in self.blocks if inside[node])
 
 
@@ -156,11 +195,16 @@ def _extract(batches):
         texts, used = [], []
         for html, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True):
             page = Page(html)
+            best = page.best()
+            own = best and best[0]
             if path not in page.paths:
-                own = page.best()
-                path = own and own[0]
-            texts.append(page.text(path))
-            used.append(path)
+                path = own
+            if own != path and (much := page.unlinked(own) if own else 0) >= _LEAST_OWN and page.unlinked(path) < _LEAST_PART * much:
+                texts.append(page.text(path, own))
+                used.append(own)
+            else:
+                texts.append(page.text(path))
+                used.append(path)
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())], names=["page_id", "url", "text", "n_chars", "path"])
 
 

@@ -425,6 +425,31 @@ def test_inline_elements_left_out_end_at_their_tag(html, text):
     assert pages.Page(html).text("body") == text
 
 
+@pytest.mark.parametrize(
+    ("html", "path", "text"),
+    [
+        ("<article><section class=a><p>{a}</p></section><section class=b><p>{b}</p></section></article><div>{c}</div>", "body>article", "{a}\n{b}"),
+        ("<article><h1>{c}</h1><p class=lead>{c}</p><div class=body><p>{a}</p></div><ul><li><a href=/>{c}</a></ul></article>", "body>article", "{c}\n{c}\n{a}\n{c}"),
+        ("<div class=page><h1>{c}</h1><div class=text>{a}</div><div class=text>{b}</div></div><div class=x><a href=/>{b}</a></div>", "body>div.page", "{c}\n{a}\n{b}"),
+        ("<main><div class=a>{a}</div><div class=b>{b}</div></main><p>{c}</p>", "body>main", "{a}\n{b}"),
+        ("<div class=post>{a}</div><div class=post>{b}</div>", "body>div.post", "{a}\n{b}"),
+        ("<div><div class=list><a href=/>{b}</a></div><div class=text>{a}</div></div>", "body>div>div.text", "{a}"),
+    ],
+)
+def test_best_container_is_widened(html, path, text):
+    said = {"a": "first " * 60 + "end", "b": "second " * 34 + "end", "c": "third part"}
+    page = pages.Page(html.format(**said))
+    assert page.best()[0] == path and page.text(path) == text.format(**said)
+
+
+def test_host_path_with_little_text_is_not_trusted_alone(spark):
+    story, long = "<div class=story><p>" + "word " * 80 + "</p></div>", "longer " * 90 + "end"
+    rows = [(i, "http://h/", story) for i in range(3)] + [(3, "http://h/", f"<nav><div class=story>no</div></nav><main><div class=story>stub</div></main><div class=story>few</div><main><p>{long}</p></main>")]
+    got = {r["page_id"]: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0]["path"] == "body>div.story" and got[0]["text"] == ("word " * 80).strip()
+    assert got[3]["text"] == f"stub\nfew\n{long}" and got[3]["path"] == "body>main"
+
+
 # ---- media --------------------------------------------------------------------------------------------------------------------
 def test_media_round_trip(docs, empty):
     got = media.read(media.store(docs))
