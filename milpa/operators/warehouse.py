@@ -104,12 +104,23 @@ def indicator_facts(df: DataFrame, kind: str, source_key: int) -> DataFrame:
     )
 
 
-def enforce(df: DataFrame, schema: T.StructType | str, allowed: Mapping[str, Sequence[str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(rows that fit, rejects with reasons)``: casts that fail and values outside the allowed ones are reasons."""
+def enforce(df: DataFrame, schema: T.StructType | str, allowed: Mapping[str, Sequence[str] | DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(rows that fit, rejects with reasons)``: casts that fail and values outside the allowed ones are reasons.
+
+    Allowed values are a list, or the first column of a table, which is joined.
+    """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     checks = [F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f"{f.name}: type")) for f in schema.fields]
-    checks += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), F.lit(f"{c}: value")) for c, values in (allowed or {}).items()]
-    marked = df.withColumn("reasons", F.array_compact(F.array(*checks)))
+    joined = []
+    for c, values in (allowed or {}).items():
+        if isinstance(values, DataFrame):
+            joined.append(f"_allowed_{c}")
+            df = df.join(values.select(F.col(values.columns[0]).alias(joined[-1])).distinct(), F.col(c) == F.col(joined[-1]), "left")
+            unknown = F.col(joined[-1]).isNull()
+        else:
+            unknown = ~F.col(c).isin(*values)
+        checks.append(F.when(F.col(c).isNotNull() & unknown, F.lit(f"{c}: value")))
+    marked = df.withColumn("reasons", F.array_compact(F.array(*checks))).drop(*joined)
     return marked.where("size(reasons) = 0").select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields)), marked.where("size(reasons) > 0")
 
 

@@ -106,6 +106,14 @@ def t13_expand_acronyms(spark, d):
     return read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.expand_acronyms(F.col("text"), {"that": "one", "mit": "two"}).alias("expanded"))
 
 
+_ENDS = r"(^|$|[^\p{L}\p{N}_])"
+
+
+@query(rf"SELECT doc_id, text || CASE WHEN regexp_matches(text, '(?i){_ENDS}that{_ENDS}') THEN ' (one)' ELSE '' END || CASE WHEN regexp_matches(text, '(?i){_ENDS}mit{_ENDS}') THEN ' (two)' ELSE '' END AS expanded FROM documents")
+def t13_expand_acronyms_all_languages(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.expand_acronyms(F.col("text"), {"that": "one", "mit": "two"}).alias("expanded"))
+
+
 # ---- posts --------------------------------------------------------------------------------------------------------------------
 def dumps(spark: SparkSession, d: str) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
@@ -128,7 +136,15 @@ def p2_fields(spark, d):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 < 6 THEN 2021 + doc_id % 7 END AS y, CASE doc_id % 3 WHEN 0 THEN 'violencia familiar' WHEN 1 THEN 'violencia sexual' ELSE 'otra' END || CASE WHEN doc_id % 7 = 6 THEN ' 2027' ELSE '' END AS topic FROM documents WHERE doc_id % 7 < 6 OR doc_id % 3 = 2")
 def p3_parse_name(spark, d):
-    docs = read(spark, d, "documents").where("doc_id % 7 < 6 or doc_id % 3 = 2")
+    return parsed_names(read(spark, d, "documents").where("doc_id % 7 < 6 or doc_id % 3 = 2"))
+
+
+@query()
+def p3_parse_name_all(spark, d):
+    return parsed_names(read(spark, d, "documents"))
+
+
+def parsed_names(docs: DataFrame) -> DataFrame:
     kind = F.when(F.col("doc_id") % 3 == 0, "familiar").when(F.col("doc_id") % 3 == 1, "Sexual").otherwise("otra")
     n = posts.parse_name(F.concat(F.lit("violencia "), kind, F.lit(" "), (2021 + F.col("doc_id") % 7).cast("string"), F.lit(".txt")))
     return docs.select("doc_id", n["year"].cast("long").alias("y"), n["topic"].alias("topic"))
@@ -424,6 +440,16 @@ def r7_preserved(spark, d):
     return review.preserved(chunks(spark, d), "src4", {k: p for k, p in list(WANTED.items())[::2]}).withColumn("times", F.col("times").cast("long"))
 
 
+@query("SELECT documento, chunk_id, pattern FROM (" + " UNION ALL ".join(f"SELECT documento, chunk_id, '{k}' AS pattern FROM {CHUNKS} WHERE regexp_matches(texto, '(?i){p}')" for k, p in WANTED.items()) + ")")
+def r6_residual_all_patterns(spark, d):
+    return review.residual(chunks(spark, d), WANTED)
+
+
+@query("SELECT documento, pattern, times, times > 0 AS ok FROM (" + " UNION ALL ".join(f"SELECT documento, '{k}' AS pattern, len(regexp_extract_all(t, '(?i){p}')) AS times FROM (SELECT documento, string_agg(texto, chr(10) ORDER BY chunk_id) AS t FROM {CHUNKS} WHERE documento = 'src4' GROUP BY 1)" for k, p in WANTED.items()) + ")")
+def r7_preserved_all_patterns(spark, d):
+    return review.preserved(chunks(spark, d), "src4", WANTED).withColumn("times", F.col("times").cast("long"))
+
+
 @query(f"SELECT b.documento, b.chunk_id, length({STRIP('b.texto')}) AS before, length({STRIP('a.texto')}) AS after FROM {CHUNKS} b JOIN {SCRUBBED} a USING (documento, chunk_id) WHERE {STRIP('b.texto')} <> {STRIP('a.texto')}")
 def r8_diff(spark, d):
     out = review.diff(chunks(spark, d), scrubbed(spark, d))
@@ -601,7 +627,7 @@ def l7_indicator_facts(spark, d):
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'value: type' ELSE NULL END AS a, CASE WHEN event_type = 'error' THEN 'event_type: value' END AS b FROM events WHERE event_id % 5 = 0 OR event_type = 'error'")
 def l8_enforce(spark, d):
     raw = read(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_id") % 5 == 0, "x").otherwise(F.col("value").cast("string")).alias("value"), "event_type")
-    types = [r[0] for r in read(spark, d, "events").where("event_type != 'error'").select("event_type").distinct().limit(100).collect()]
+    types = read(spark, d, "events").where("event_type != 'error'").select("event_type")
     _, bad = warehouse.enforce(raw, "event_id long, value double, event_type string", {"event_type": types})
     has = lambda x: F.when(F.array_contains("reasons", x), F.lit(x))
     return bad.select(F.col("event_id").cast("long").alias("event_id"), has("value: type").alias("a"), has("event_type: value").alias("b"))

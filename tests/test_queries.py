@@ -59,3 +59,27 @@ def test_no_cartesian_product_in_star_joins(spark):
 def test_filters_reach_the_scan(spark):
     plan = plans.q4_count(spark, str(SF))._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan
+
+
+@pytest.mark.parametrize("name", ["p3_parse_name_all", "t13_expand_acronyms_all_languages"])
+def test_every_document_has_a_row(spark, name):
+    assert plans.QUERIES[name](spark, str(SF)).count() == plans.read(spark, str(SF), "documents").count()
+
+
+def test_names_of_all_documents(spark):
+    known, topics = ("violencia familiar", "violencia sexual", "otra"), ("familiar 2027", "sexual 2027", "otra 2027")
+    for r in plans.p3_parse_name_all(spark, str(SF)).collect():
+        year, kind = 2021 + r["doc_id"] % 7, r["doc_id"] % 3
+        assert (r["y"], r["topic"]) == ((year, known[kind]) if year < 2027 else (None, topics[kind]))
+
+
+@pytest.mark.parametrize("name", ["r6_residual_all_patterns", "r7_preserved_all_patterns"])
+def test_every_pattern_is_sought(spark, name):
+    assert {r[0] for r in plans.QUERIES[name](spark, str(SF)).select("pattern").distinct().collect()} == set(plans.WANTED)
+
+
+def test_more_than_a_hundred_event_types_are_allowed(spark, tmp_path):
+    rows = [(i, float(i), f"type{i % 250}") for i in range(1, 500)] + [(1001, 1.0, "error"), (1002, 1.0, None)]
+    spark.createDataFrame(rows, "event_id long, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: (r["a"], r["b"]) for r in plans.QUERIES["l8_enforce"](spark, str(tmp_path)).collect()}
+    assert got == {i: ("value: type", None) for i in range(5, 500, 5)} | {1001: (None, "event_type: value")}
