@@ -2,8 +2,9 @@
 
 1. ``quality``: a co-trained classifier drops documents that it finds poor or toxic.
 2. ``near_duplicates``: of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest ``doc_id`` stays.
-3. ``repeats``: strings of 256 bytes (about 40 words) that occur more than once are cut out; ``n_chars`` follows; documents of which
-   nothing is left go.
+   Rows without a ``doc_id`` go, and of rows that share one any single row stays, whatever their texts.
+3. ``repeats``: strings of 256 bytes, and of 51 words however short, that occur more than once are cut out; ``n_chars`` follows;
+   documents of which nothing is left go.
 4. ``benchmark``: documents in which a test item occurs, up to one edit in twenty characters, go.
 5. ``pieces``: texts become SentencePiece ids; decoding must give the text back.
 """
@@ -20,7 +21,7 @@ from milpa.llm import decontam, neardup, pieces, quality, substrings
 from milpa.llm._shared import table
 from milpa.llm.queries import tokenizer
 
-REPEAT_BYTES, EDIT_RATE = 256, 0.05
+REPEAT_BYTES, REPEAT_WORDS, EDIT_RATE = 256, 51, 0.05
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(docs, REPEAT_BYTES).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return substrings.remove_repeats(docs, REPEAT_BYTES, REPEAT_WORDS).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

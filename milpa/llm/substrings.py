@@ -261,14 +261,42 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(runs, pa.list_(pa.struct([("lo", pa.int64()), ("stop", pa.int64())])))], names=["doc_id", "text_key", "spans"])
 
 
+def _short_windows(words: int, length: int):
+    """Windows of ``words`` words that have fewer than ``length`` bytes, from the first byte of the first word to the last of the last."""
+
+    def run(batches):
+        for batch in slices(batches, "text", BUFFER // 2):
+            data, ends = bytes_of(texts_of(batch.column("text")))
+            inside = np.zeros(len(data) + 1, bool)
+            inside[:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+            edge = np.zeros(len(data) + 1, bool)
+            edge[ends] = True
+            first = np.flatnonzero(inside & (edge | ~np.roll(inside, 1)))
+            stop = np.flatnonzero(inside[:-1] & (edge[1:] | ~inside[1:])) + 1
+            n = max(0, len(first) - words + 1)
+            text = np.searchsorted(ends, first, "right") - 1
+            found = np.flatnonzero((text[:n] == text[len(first) - n :]) & (stop[len(first) - n :] - first[:n] < length))
+            lo, hi, text, raw = first[found], stop[found + words - 1], text[found], data.tobytes()
+            hashes = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True))
+            base = ends[text]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(text)), batch.column("text_key").take(pa.array(text)), pa.array(lo - base, pa.int64()), pa.array(hi - base, pa.int64()), pa.array(np.frombuffer(hashes, np.int64))],
+                names=["doc_id", "text_key", "lo", "stop", "window"],
+            )
+
+    return run
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds a hash of the text, which tells apart rows that share a ``doc_id`` but not the text."""
     return docs.withColumn("text_key", F.hash("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
     """``doc_id, text_key, spans``: the maximal runs of bytes that repeated strings of ``length`` bytes cover; documents without are left out.
 
+    With ``words``, so do repeated strings of that many words between white space that are shorter than ``length`` bytes.
+
     Takes ``docs(doc_id, text, text_key)`` from :func:`keyed`. Strings that overlap or lie in the same document count; a row that
     repeats makes all its windows repeated. Null, empty and shorter texts have no spans. ``length`` is an even number of 64 or more.
     """
@@ -286,7 +314,12 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     unsure = kept.where("mixed and single").select("doc_id", "text_key", "lo", "hi", "anchor", "single").union(one)
     cut = unsure.join(docs, ["doc_id", "text_key"]).select("doc_id", "text_key", "lo", "anchor", "single", F.expr(f"substring(cast(text as binary), cast(lo + 1 as int), cast(hi - lo + {length} as int))").alias("content_bytes"))
     resolved = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length), "doc_id long, text_key int, lo long, stop long")
-    return whole.union(resolved).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "stop")).alias("found")).mapInArrow(_merged, "doc_id long, text_key int, spans array<struct<lo: long, stop: long>>")
+    covered = whole.union(resolved)
+    if words:
+        short = docs.where("text is not null").mapInArrow(_short_windows(words, length), "doc_id long, text_key int, lo long, stop long, window long")
+        again = short.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+        covered = covered.union(short.join(again, "window", "left_semi").select("doc_id", "text_key", "lo", "stop"))
+    return covered.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "stop")).alias("found")).mapInArrow(_merged, "doc_id long, text_key int, spans array<struct<lo: long, stop: long>>")
 
 
 def without_spans(text: str | None, spans: list[dict] | None) -> bytes:
@@ -335,10 +368,10 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if x == "text" else batch.column(x) for x in names], names=names).filter(pa.array(left, pa.bool_()))
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, words: int | None = None) -> DataFrame:
     """``docs`` with a column ``SPANS``, under a name that no table is likely to have."""
     texts = keyed(docs.select("doc_id", "text"))
-    spans = repeated_spans(texts, length).select(F.col("doc_id").alias("_span_doc"), F.col("text_key").alias("_span_key"), F.col("spans").alias(SPANS))
+    spans = repeated_spans(texts, length, words).select(F.col("doc_id").alias("_span_doc"), F.col("text_key").alias("_span_key"), F.col("spans").alias(SPANS))
     return docs.join(spans, (docs["doc_id"] == F.col("_span_doc")) & (F.hash(docs["text"]) == F.col("_span_key")), "left").drop("_span_doc", "_span_key")
 
 
@@ -347,9 +380,11 @@ def removal_digests(docs: DataFrame, length: int = 400) -> DataFrame:
     return _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), length).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
     """``docs`` with its own columns, repeated bytes cut out of ``text``; a character cut in half stays whole.
 
+    With ``words``, repeated passages of that many words are cut out too where they have fewer than ``length`` bytes.
+
     Null texts stay null. A row of which nothing but white space is left is dropped.
     """
-    return _with_spans(docs, length).mapInArrow(_texts, docs.schema)
+    return _with_spans(docs, length, words).mapInArrow(_texts, docs.schema)

@@ -43,3 +43,14 @@ def test_stages_return_the_columns_of_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
         assert stage(spark, docs.where("false"), folder).count() == 0
+
+
+def test_repeats_of_over_fifty_short_words_go(spark):
+    words = [f"{i:x}".replace("0", "q") for i in range(16, 400)]
+    passage, parts = " ".join(words[:51]), " ".join(words[100:150])
+    texts = [f"eins é {passage} two", f"  {passage}\nthree", f"four {parts} five", f"six {parts} seven", " ".join(["a"] * 60) + " end", None, "", passage[:-1]]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    left = {0: "eins é  two", 1: "  \nthree", 2: texts[2], 3: texts[3], 4: " end", 7: texts[7]}
+    assert len(passage) < 256 and {i: got[i] for i in left} == {i: (t, len(t)) for i, t in left.items()}
