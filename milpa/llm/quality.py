@@ -1,12 +1,13 @@
 """Quality and toxicity by co-training: a text-content view and a page-metadata view teach each other, then score all documents.
 
 The content view sees hashed words and binned text measures, the metadata view language, source and the stated length. In every round
-each view is fitted and calibrated, and hands the other view the pseudo-labels it is surest of among unlabelled documents; a view whose
-calibrated probabilities stay moderate has none to give. In the end a small logistic model on documents kept back for calibration
-weighs both calibrated views.
+each view is fitted and calibrated on the driver, scores every document on the executors, and hands the other view the pseudo-labels
+it is surest of; a view whose calibrated probabilities stay moderate has none to give. In the end a small logistic model on labelled
+documents kept back for calibration weighs both calibrated views.
 
-Fitting happens on the driver on bounded samples (``most_labelled`` labelled and ``most_pool`` unlabelled documents, those with the
-least hashes of their ids; features are made on the executors). Scoring covers every document.
+What comes to the driver is bounded by parameters: features of ``most_labelled`` labelled documents, dealt out evenly over language and
+class so that rare classes are whole, and of ``per_round`` pseudo-labels a target, view and class in each round, the surest of all
+documents. Only the slots of words that tell the classes apart are sent. Everything else covers every document.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from milpa.llm._shared import U64, bytes_of, hashes_of, slices, texts_of, words_of
+from milpa.llm._shared import U64, bytes_of, hashes_of, reliable, slices, texts_of, words_of
 
 WORD_SLOTS, BEGIN_BYTES, BINS = 1 << 16, 5, 12
 MEASURES = ("words", "upper", "symbols", "digits", "word length", "distinct words", "top word", "repeated lines", "line breaks", "punctuation")
+TARGETS, LABELS = ("quality", "toxic"), ("doc_id", "quality", "toxic", "weight", "held")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -93,12 +96,12 @@ def _sample_features(batches):
         slot, cuts = slot[order], np.searchsorted(owner[order], np.arange(batch.num_rows + 1))
         yield pa.RecordBatch.from_arrays(
             [
-                *(batch.column(c) for c in ("doc_id", "quality", "toxic")),
+                *(batch.column(c) for c in LABELS),
                 pa.array(m.T.tolist(), pa.list_(pa.float64())),
                 pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(slot, pa.int32())),
                 pa.array(metadata(batch), pa.list_(pa.string())),
             ],
-            names=["doc_id", "quality", "toxic", "measures", "slots", "meta"],
+            names=[*LABELS, "measures", "slots", "meta"],
         )
 
 
@@ -111,24 +114,33 @@ class Rows:
 
     @classmethod
     def of(cls, lists: list[np.ndarray]) -> Rows:
-        return cls(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum([0] + [len(x) for x in lists]))
+        return cls(np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int32), np.cumsum([0] + [len(x) for x in lists]))
+
+    @classmethod
+    def from_arrow(cls, lists: pa.ChunkedArray | pa.Array) -> Rows:
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        cuts = lists.offsets.to_numpy().astype(np.int64)
+        return cls(lists.flatten().to_numpy().astype(np.int32), cuts - cuts[0])
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         return _per_text(weights[self.items], self.cuts)
 
     def take(self, rows: np.ndarray) -> Rows:
-        return Rows.of([self.items[self.cuts[i] : self.cuts[i + 1]] for i in rows])
+        sizes = (self.cuts[1:] - self.cuts[:-1])[rows]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        return Rows(self.items[np.repeat(self.cuts[rows] - cuts[:-1], sizes) + np.arange(cuts[-1])], cuts)
 
-    def only(self, chosen: np.ndarray) -> Rows:
-        held = chosen[self.items]
-        return Rows(self.items[held], np.concatenate([[0], np.cumsum(held)])[self.cuts])
+    def then(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.items, other.items]), np.concatenate([self.cuts, self.cuts[-1] + other.cuts[1:]]))
 
 
-def telling(rows: Rows, target: np.ndarray, size: int, least: float = 4.5) -> np.ndarray:
-    """Features whose shares in both classes differ by ``least`` standard errors; the many others only add noise to long texts."""
-    row, n = np.repeat(np.arange(len(target)), np.diff(rows.cuts)), np.array([(target == 0).sum(), (target == 1).sum()])
-    share = np.stack([np.bincount(rows.items[target[row] == y], minlength=size) for y in (0, 1)])
-    p = np.clip(share.sum(0) / max(1, n.sum()), 1e-9, 1 - 1e-9)
+def telling(held: np.ndarray, holders: np.ndarray, n: int, least: float = 4.5) -> np.ndarray:
+    """Features whose shares in both classes differ by ``least`` standard errors; the many others only add noise to long texts.
+
+    ``held`` counts documents with the feature, ``holders`` those among them of class 1; class 1 has ``n[1]`` documents, class 0 ``n[0]``.
+    """
+    share = np.stack([held - holders, holders])
+    p = np.clip(held / max(1, sum(n)), 1e-9, 1 - 1e-9)
     return np.abs(share[0] / max(1, n[0]) - share[1] / max(1, n[1])) >= least * np.sqrt(p * (1 - p) * (1 / max(1, n[0]) + 1 / max(1, n[1])))
 
 
@@ -148,150 +160,247 @@ def fit(rows: Rows, target: np.ndarray, size: int, steps: int = 160, decay: floa
     return w
 
 
-def calibrate(scores: np.ndarray, target: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Platt scaling of one or more score columns by Newton's method, with a small ridge."""
+def calibrate(scores: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 40) -> np.ndarray:
+    """Platt scaling of one or more score columns by Newton's method, with a small ridge; ``weight`` undoes how rows were drawn."""
     x = np.column_stack([scores, np.ones(len(target))])
     w = np.zeros(x.shape[1])
     goal = np.where(target > 0, (target.sum() + 1) / (target.sum() + 2), 1 / (len(target) - target.sum() + 2))
     for _ in range(steps):
         p = _sigmoid(x @ w)
-        h = x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - goal) + 1e-3 * w)
+        h = x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(len(w))
+        w -= np.linalg.solve(h, x.T @ (weight * (p - goal)) + 1e-3 * w)
     return w
 
 
 @dataclass
-class CoTrained:
-    """What scoring needs of one target: weights and calibration of both views, and how they combine."""
-
-    content: np.ndarray
-    meta: np.ndarray
-    content_scale: np.ndarray
-    meta_scale: np.ndarray
-    blend: np.ndarray
-    taught: list[tuple[int, int]] = field(default_factory=list)
-
-    def probability(self, content: Rows, meta: Rows) -> np.ndarray:
-        a = (content.times(self.content) + self.content[-1]) * self.content_scale[0] + self.content_scale[1]
-        b = (meta.times(self.meta) + self.meta[-1]) * self.meta_scale[0] + self.meta_scale[1]
-        return _sigmoid(np.column_stack([a, b, np.ones(len(a))]) @ self.blend)
-
-
-def co_train(content: Rows, meta: Rows, sizes: tuple[int, int], target: np.ndarray, labelled: np.ndarray, rounds: int = 3, sure: float = 0.97, per_round: int = 400) -> CoTrained:
-    """Co-training of two views of the same rows; ``target`` counts where ``labelled``, the other rows are the pool."""
-    known = np.random.default_rng(0).permutation(np.flatnonzero(labelled))
-    held, learn = known[::4], np.setdiff1d(known, known[::4])
-    content = content.only(telling(content.take(learn), target[learn], sizes[0]))  # weights of all others stay 0
-    views = content, meta
-    pool = np.flatnonzero(~labelled)
-    own: list[dict[int, float]] = [{}, {}]
-    taught = []
-
-    def fitted(k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.concatenate([learn, np.array(sorted(own[k]), np.int64)])
-        goal = np.concatenate([target[learn], [own[k][i] for i in sorted(own[k])]])
-        w = fit(views[k].take(rows), goal, sizes[k])
-        return w, calibrate(views[k].take(held).times(w) + w[-1], target[held])
+class View:
+    """One view's classifier of one target: a weight a feature and the bias, and how its scores become probabilities."""
 
-    for _ in range(rounds):
-        new = []
-        for k in (0, 1):
-            w, scale = fitted(k)
-            p = _sigmoid((views[k].take(pool).times(w) + w[-1]) * scale[0] + scale[1])
-            picks = {}
-            for yes in (0, 1):
-                q = p if yes else 1 - p
-                best = np.argsort(-q, kind="stable")[:per_round]
-                picks |= {int(pool[i]): float(yes) for i in best if q[i] >= sure}
-            new.append(picks)
-        for k in (0, 1):
-            own[k] |= {i: y for i, y in new[1 - k].items() if i not in own[k]}
-        taught.append((len(new[0]), len(new[1])))
-        if not any(new):
-            break
-    (w0, s0), (w1, s1) = fitted(0), fitted(1)
-    a = (content.take(held).times(w0) + w0[-1]) * s0[0] + s0[1]
-    b = (meta.take(held).times(w1) + w1[-1]) * s1[0] + s1[1]
-    return CoTrained(w0, w1, s0, s1, calibrate(np.column_stack([a, b]), target[held]), taught)
+    weights: np.ndarray
+    scale: np.ndarray
+
+    def logit(self, rows: Rows) -> np.ndarray:
+        return (rows.times(self.weights) + self.weights[-1]) * self.scale[0] + self.scale[1]
+
+
+@dataclass
+class Lessons:
+    """What one target's views learn from: labelled rows of both views, which of them calibrate, and pseudo-labelled rows by view."""
+
+    rows: tuple[Rows, Rows]
+    target: np.ndarray
+    weight: np.ndarray
+    held: np.ndarray
+    sizes: tuple[int, int]
+    taught: list[Rows | None] = field(default_factory=lambda: [None, None])
+    goals: list[np.ndarray] = field(default_factory=lambda: [np.zeros(0), np.zeros(0)])
+    told: list[set[int]] = field(default_factory=lambda: [set(), set()])
+
+    def fitted(self, k: int) -> View:
+        learn, held = np.flatnonzero(~self.held), np.flatnonzero(self.held)
+        rows, goal = self.rows[k].take(learn), self.target[learn]
+        if self.taught[k] is not None:
+            rows, goal = rows.then(self.taught[k]), np.concatenate([goal, self.goals[k]])
+        w = fit(rows, goal, self.sizes[k])
+        back = self.rows[k].take(held)
+        return View(w, calibrate(back.times(w) + w[-1], self.target[held], self.weight[held]))
+
+    def teach(self, k: int, keys: np.ndarray, rows: Rows, goal: float) -> int:
+        """Give view ``k`` documents that the other view is sure of; those it was told of before stay as they are."""
+        new = np.array([i for i, x in enumerate(keys.tolist()) if x not in self.told[k]], np.int64)
+        self.told[k].update(keys[new].tolist())
+        rows = rows.take(new)
+        self.taught[k] = rows if self.taught[k] is None else self.taught[k].then(rows)
+        self.goals[k] = np.concatenate([self.goals[k], np.full(len(new), goal)])
+        return len(new)
+
+    def blended(self, views: tuple[View, View]) -> np.ndarray:
+        held = np.flatnonzero(self.held)
+        return calibrate(np.column_stack([v.logit(r.take(held)) for v, r in zip(views, self.rows, strict=True)]), self.target[held], self.weight[held])
 
 
 @dataclass
 class QualityModel:
+    """What the executors need: how features are made, both views of both targets, and in the end how they combine."""
+
     edges: np.ndarray  # by measure, the inner edges of its bins
+    place: np.ndarray  # by slot, its number among those that tell the classes apart, or -1
     meta_of: dict[str, int]
-    quality: CoTrained
-    toxic: CoTrained
+    views: dict[str, tuple[View, View]] = field(default_factory=dict)
+    blend: dict[str, np.ndarray] = field(default_factory=dict)
+    taught: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
+
+    @property
+    def sizes(self) -> tuple[int, int]:
+        return int(self.place.max(initial=-1)) + 1 + len(MEASURES) * BINS, len(self.meta_of)
 
     def content_rows(self, m: np.ndarray, owner: np.ndarray, slot: np.ndarray) -> Rows:
-        n = m.shape[1]
-        bins = [2 * WORD_SLOTS + i * BINS + np.searchsorted(self.edges[i], m[i], "left") for i in range(len(m))]
+        n, first = m.shape[1], self.sizes[0] - len(MEASURES) * BINS
+        known = self.place[slot]
+        owner, known = owner[known >= 0], known[known >= 0]
+        bins = [first + i * BINS + np.searchsorted(self.edges[i], m[i], "left") for i in range(len(m))]
         row = np.concatenate([owner, np.tile(np.arange(n), len(m))])
-        item = np.concatenate([slot, *bins])
         order = np.argsort(row, kind="stable")
-        return Rows(item[order], np.searchsorted(row[order], np.arange(n + 1)))
+        return Rows(np.concatenate([known, *bins])[order].astype(np.int32), np.searchsorted(row[order], np.arange(n + 1)))
 
     def meta_rows(self, meta: list[list[str]]) -> Rows:
-        return Rows.of([np.array([self.meta_of[x] for x in row if x in self.meta_of], np.int64) for row in meta])
+        return Rows.of([np.array([self.meta_of[x] for x in row if x in self.meta_of], np.int32) for row in meta])
+
+    def features(self, batch: pa.RecordBatch) -> tuple[Rows, Rows]:
+        return self.content_rows(*measures(texts_of(batch.column("text")))), self.meta_rows(metadata(batch))
+
+    def probability(self, name: str, rows: tuple[Rows, Rows]) -> np.ndarray:
+        a, b = (v.logit(r) for v, r in zip(self.views[name], rows, strict=True))
+        return _sigmoid(np.column_stack([a, b, np.ones(len(a))]) @ self.blend[name])
 
     def score(self, batches):
         for batch in slices(batches, "text"):
-            content = self.content_rows(*measures(texts_of(batch.column("text"))))
-            meta = self.meta_rows(metadata(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(self.quality.probability(content, meta)), pa.array(self.toxic.probability(content, meta))], names=["doc_id", "quality_score", "toxic_score"])
+            rows = self.features(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(self.probability(x, rows)) for x in TARGETS)], names=["doc_id", "quality_score", "toxic_score"])
 
     def accepting(self, quality_at: float, toxic_at: float):
         def run(batches):
             for batch in slices(batches, "text"):
-                content = self.content_rows(*measures(texts_of(batch.column("text"))))
-                meta = self.meta_rows(metadata(batch))
-                good = (self.quality.probability(content, meta) >= quality_at) & (self.toxic.probability(content, meta) < toxic_at)
+                rows = self.features(batch)
+                good = (self.probability("quality", rows) >= quality_at) & (self.probability("toxic", rows) < toxic_at)
                 yield batch.filter(pa.array(good))
 
         return run
 
+    def surest(self, sure: float, most: int, labelled: np.ndarray, told: dict[str, list[np.ndarray]]):
+        """By target, view and class, the ``most`` surest different texts of a partition, with their features.
+
+        Those ``labelled``, by ``doc_id``, and those that the other view was ``told`` of, by ``text_key``, are past teaching.
+        """
+
+        def best(held: list[tuple]) -> list[tuple]:
+            by_key = {}
+            for x in sorted(held, key=lambda x: (-x[0], x[1], x[2])):
+                by_key.setdefault(x[1], x)
+            return list(by_key.values())[:most]
+
+        def run(batches):
+            held: dict[int, list[tuple]] = {}
+            for batch in slices(batches, "text"):
+                rows, keys, doc_ids = self.features(batch), batch.column("text_key").to_numpy(), batch.column("doc_id").to_numpy()
+                open_ = ~np.isin(doc_ids, labelled)
+                for t, name in enumerate(TARGETS):
+                    for k in (0, 1):
+                        new = open_ & ~np.isin(keys, told[name][1 - k])
+                        p = _sigmoid(self.views[name][k].logit(rows[k]))
+                        for yes in (0, 1):
+                            q = p if yes else 1 - p
+                            found = np.flatnonzero(new & (q >= sure))
+                            if len(found) > most:  # copies weigh once
+                                found = found[np.unique(keys[found], return_index=True)[1]]
+                                found = found[np.argsort(-q[found], kind="stable")[:most]]
+                            own = held.setdefault(4 * t + 2 * k + yes, [])
+                            own += [(float(q[i]), int(keys[i]), int(doc_ids[i]), *(r.items[r.cuts[i] : r.cuts[i + 1]].tolist() for r in rows)) for i in found]
+                            if len(own) > 4 * most:
+                                own[:] = best(own)
+            out = [(which, *x) for which, own in held.items() for x in best(own)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["which", "q", "text_key", "doc_id", "content", "meta"])
+
+        return run
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", F.col("n_chars").cast("long")).where("doc_id is not null")
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_pool: int = 4000) -> QualityModel | None:
-    """Fit on bounded samples; None without labels. Where a document has several labels, the worse counts."""
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_labelled: int) -> DataFrame:
+    """``doc_id, quality, toxic, weight`` of at most ``most_labelled`` documents: strata of language and classes take turns, by hash.
+
+    ``weight`` is how many labelled documents of its stratum a row stands for. Where a document has several labels, the worse counts.
+    """
     labels = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-    docs = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", F.col("n_chars").cast("long")).where("doc_id is not null")
-    some = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    pool = docs.select("doc_id").distinct().join(labels, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_pool).select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    picked = F.broadcast(some.union(pool))  # at most most_labelled + most_pool rows
-    found = docs.join(picked, "doc_id").mapInArrow(_sample_features, "doc_id long, quality int, toxic int, measures array<double>, slots array<int>, meta array<string>").toArrow().sort_by("doc_id")
-    labelled = pc.is_valid(found["quality"]).combine_chunks().to_numpy(zero_copy_only=False)
-    if not labelled.any():
+    langs = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    strata = labels.join(langs, "doc_id").select("doc_id", "quality", "toxic", F.to_json(F.struct("lang", "quality", "toxic")).alias("stratum"))
+    drawn = strata.withColumn("turn", F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("turn") <= most_labelled)
+    drawn = drawn.orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(most_labelled).select("doc_id", "quality", "toxic", "stratum")
+    taken = drawn.groupBy("stratum").agg(F.count("*").alias("taken"))
+    shares = strata.groupBy("stratum").count().join(taken, "stratum").select("stratum", (F.col("count") / F.col("taken")).alias("weight"))
+    return drawn.join(shares, "stratum").drop("stratum")
+
+
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, rounds: int = 2, per_round: int = 400, sure: float = 0.97) -> QualityModel | None:
+    """Co-train both views; None without labels. Every round scores all documents that aren't in the labelled sample."""
+    docs = _columns(docs)
+    some = reliable(labelled_sample(docs, labels, most_labelled))
+    one = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality", "toxic", "weight").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0
+    made = reliable(one.select("doc_id", "quality", "toxic", "weight", held.alias("held"), "d.*").mapInArrow(_sample_features, "doc_id long, quality int, toxic int, weight double, held boolean, measures array<double>, slots array<int>, meta array<string>"))
+    n, good, bad = made.where("not held").agg(F.count("*"), F.sum("quality"), F.sum("toxic")).first()
+    if not n:
         return None
-    m = np.array(found["measures"].to_pylist(), float).reshape(-1, len(MEASURES)).T
-    meta_of = {x: i for i, x in enumerate(sorted({x for row in found["meta"].to_pylist() for x in row}))}
-    model = QualityModel(np.array([np.quantile(x[labelled], np.linspace(0, 1, BINS + 1)[1:-1]) for x in m]), meta_of, None, None)
-    slots = found["slots"].combine_chunks()
-    owner = np.repeat(np.arange(len(found)), np.diff(slots.offsets.to_numpy()))
-    slot = slots.flatten().to_numpy().astype(np.int64)
-    least = max(3, int(labelled.sum()) // 400)
-    often = np.bincount(slot, minlength=2 * WORD_SLOTS) >= least  # rarer words teach nothing that holds elsewhere
-    content, meta = model.content_rows(m, owner[often[slot]], slot[often[slot]]), model.meta_rows(found["meta"].to_pylist())
-    for name in ("quality", "toxic"):
-        target = np.nan_to_num(np.array(found[name].to_pylist(), float))
-        setattr(model, name, co_train(content, meta, (2 * WORD_SLOTS + len(MEASURES) * BINS, len(meta_of)), target, labelled))
+    # at most one row a slot
+    counts = made.where("not held").select("quality", "toxic", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).toArrow()
+    slot, times = counts["slot"].to_numpy(), counts["n"].to_numpy()
+    chosen = (times >= max(3, n // 400)) & (telling(times, counts["quality"].to_numpy(), (n - good, good)) | telling(times, counts["toxic"].to_numpy(), (n - bad, bad)))
+    place = np.full(2 * WORD_SLOTS, -1, np.int32)
+    place[np.sort(slot[chosen])] = np.arange(chosen.sum())
+
+    def chosen_slots(batches):
+        for batch in batches:
+            rows = Rows.from_arrow(batch.column("slots"))
+            known = place[rows.items]
+            cuts = np.concatenate([[0], np.cumsum(known >= 0)])[rows.cuts]
+            yield batch.set_column(batch.schema.get_field_index("slots"), "slots", pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rows.items[known >= 0], pa.int32())))
+
+    found = made.mapInArrow(chosen_slots, made.schema).toArrow().sort_by("doc_id")
+    slots, doc_ids = Rows.from_arrow(found["slots"]), found["doc_id"].to_numpy()
+    m = found["measures"].combine_chunks().flatten().to_numpy().reshape(-1, len(MEASURES)).T
+    meta = found["meta"].to_pylist()
+    model = QualityModel(np.array([np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1]) for x in m]), place, {x: i for i, x in enumerate(sorted({x for row in meta for x in row}))})
+    rows = model.content_rows(m, np.repeat(np.arange(len(doc_ids)), np.diff(slots.cuts)), slots.items), model.meta_rows(meta)
+    weight = found["weight"].to_numpy()
+    held = found["held"].to_numpy()
+    lessons = {x: Lessons(rows, found[x].to_numpy().astype(float), weight * (len(weight) / weight.sum()), held, model.sizes) for x in TARGETS}
+    del found, slots, meta
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    by_surest = Window.partitionBy("which").orderBy("minus_q", "text_key")
+    for _ in range(rounds):
+        model.views = {x: (y.fitted(0), y.fitted(1)) for x, y in lessons.items()}
+        told = {x: [np.array(sorted(z), np.int64) for z in y.told] for x, y in lessons.items()}
+        seen = keyed.mapInArrow(model.surest(sure, per_round, doc_ids, told), "which int, q double, text_key long, doc_id long, content array<int>, meta array<int>")
+        different = seen.groupBy("which", "text_key").agg(F.min(F.struct((-F.col("q")).alias("minus_q"), "doc_id", "content", "meta")).alias("s")).select("which", "text_key", "s.*")
+        picks = different.withColumn("nth", F.row_number().over(by_surest)).where(F.col("nth") <= per_round).toArrow().sort_by([("which", "ascending"), ("nth", "ascending")])
+        which, keys, pick_rows = picks["which"].to_numpy(), picks["text_key"].to_numpy(), (Rows.from_arrow(picks["content"]), Rows.from_arrow(picks["meta"]))
+        new = 0
+        for t, name in enumerate(TARGETS):
+            count = []
+            for k in (0, 1):  # view k teaches the other
+                own = [np.flatnonzero(which == 4 * t + 2 * k + yes) for yes in (0, 1)]
+                count.append(sum(lessons[name].teach(1 - k, keys[x], pick_rows[1 - k].take(x), float(yes)) for yes, x in enumerate(own)))
+            model.taught.setdefault(name, []).append((count[0], count[1]))
+            new += sum(count)
+        if not new:
+            break
+    model.views = {x: (y.fitted(0), y.fitted(1)) for x, y in lessons.items()}
+    model.blend = {x: y.blended(model.views[x]) for x, y in lessons.items()}
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_pool: int = 4000, quality_at: float = 0.4, toxic_at: float = 0.4) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, quality_at: float = 0.4, toxic_at: float = 0.4) -> DataFrame:
     """Per row of ``docs(doc_id, text, lang, source, n_chars, ...)``: ``doc_id, quality_score, toxic_score, kept``.
 
-    ``kept`` is true where quality reaches ``quality_at`` and toxicity stays below ``toxic_at``. Null texts count as empty, null metadata as a value of its
-    own; values not seen in training say nothing. Rows without ``doc_id`` are left out. Without any usable label every document is kept
-    and its scores are null. Further columns are ignored; an empty table gives an empty table.
+    ``kept`` is true where quality reaches ``quality_at`` and toxicity stays below ``toxic_at``; a score equal to a threshold reaches it.
+    Null texts count as empty, null metadata as a value of its own; values not seen in training say nothing. Rows without ``doc_id`` are
+    left out; rows that repeat are scored each and teach once. A text of any length is scored whole, alone in its batch. Without any
+    usable label every document is kept and its scores are null. Further columns are ignored; an empty table gives an empty table.
     """
-    model = train(docs, labels, most_labelled, most_pool)
-    docs = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", F.col("n_chars").cast("long")).where("doc_id is not null")
+    model = train(docs, labels, most_labelled)
+    docs = _columns(docs)
     if model is None:
         return docs.select("doc_id", F.lit(None).cast("double").alias("quality_score"), F.lit(None).cast("double").alias("toxic_score"), F.lit(True).alias("kept"))
     scored = docs.mapInArrow(model.score, "doc_id long, quality_score double, toxic_score double")
     return scored.withColumn("kept", (F.col("quality_score") >= quality_at) & (F.col("toxic_score") < toxic_at))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_pool: int = 4000, quality_at: float = 0.4, toxic_at: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`score_quality` would keep; decided where they are, without a shuffle."""
-    model = train(docs, labels, most_labelled, most_pool)
+def accepted(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, quality_at: float = 0.4, toxic_at: float = 0.4) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`score_quality` would keep; decided where they are, without a shuffle.
+
+    Rows without ``doc_id`` are judged like any other here.
+    """
+    model = train(docs, labels, most_labelled)
     return docs if model is None else docs.mapInArrow(model.accepting(quality_at, toxic_at), docs.schema)

@@ -203,7 +203,42 @@ def test_quality_learns_and_keeps_all_rows(spark):
     right = [got[i] == (i % 5 != 0 and not (i % 7 == 0 and i % 5)) for i in range(0, 1200, 2)]  # documents without a label
     assert len(got) == 1200 and np.mean(right) > 0.97
     model = quality.train(df, lab)
-    assert model.quality.taught[0][1] > 0  # the source tells junk, so that view taught the other
+    assert model.taught["quality"][0][1] > 0  # the source tells junk, so that view taught the other
+
+
+def test_pseudo_labels_against_brute_force(spark):
+    """One round's selection over four partitions is the surest of all documents, copies once, labelled and told ones out."""
+    rows = [(i, prose(20 + i % 40, 7000 + i // 2 % 150) + (" junk" * (i % 5 == 0)), ["en", "fr", None][i % 3], ["good", "junk"][i % 5 == 0], None if i == 7 else 10 * i) for i in range(400)] + [(400, None, None, None, None), (3, "", "en", "good", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([(i, int(i % 5 != 0), int(i % 10 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = quality.train(df, lab, rounds=1)
+    keyed = df.withColumn("text_key", F.xxhash64("text"))
+    everything = keyed.orderBy("doc_id").toArrow().to_batches()[0]
+    features = model.features(everything)
+    labelled, most, told = np.arange(0, 200, 3), 7, {"quality": [np.array([everything["text_key"][250].as_py()]), np.zeros(0, np.int64)], "toxic": [np.zeros(0, np.int64)] * 2}
+    got = [r for b in keyed.repartition(4).mapInArrow(model.surest(0.6, most, labelled, told), "which int, q double, text_key long, doc_id long, content array<int>, meta array<int>").toArrow().to_batches() for r in b.to_pylist()]
+    for t, name in enumerate(("quality", "toxic")):
+        for k in (0, 1):
+            p = 1 / (1 + np.exp(-model.views[name][k].logit(features[k])))
+            for yes in (0, 1):
+                want = {}
+                for key, doc_id, x in zip(everything["text_key"].to_pylist(), everything["doc_id"].to_pylist(), p if yes else 1 - p, strict=True):
+                    if x >= 0.6 and doc_id not in labelled and key not in told[name][1 - k]:
+                        want[key] = max(want.get(key, 0), x)
+                best = {}
+                for r in got:
+                    if r["which"] == 4 * t + 2 * k + yes:
+                        best[r["text_key"]] = max(best.get(r["text_key"], 0), r["q"])
+                assert sorted(best.values())[::-1][:most] == pytest.approx(sorted(want.values())[::-1][:most])
+    assert features[0].items.max() < model.sizes[0] and all(len(r["meta"]) <= 3 for r in got)
+
+
+def test_rare_strata_are_drawn_whole(spark):
+    rows = [(i, "t", "xx" if i >= 95 else "en", None, None) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = quality.labelled_sample(df, lab, 20).collect()
+    assert len(got) == 20 and {r["doc_id"] for r in got} >= set(range(95, 100)) and sum(r["weight"] for r in got) == pytest.approx(100)
 
 
 def test_quality_edges(docs, spark, empty):
