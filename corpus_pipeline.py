@@ -11,14 +11,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from milpa.llm import decontam, neardup, pieces, quality, substrings
-from milpa.llm._shared import table
+from milpa.llm._shared import shared_folder, table
 from milpa.llm.queries import tokenizer
 
 REPEAT_BYTES, REPEAT_WORDS, EDIT_RATE = 256, 51, 0.05
@@ -53,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns lies as Parquet in the session's shared folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,14 +15,19 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that it outlives a lost executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it; without one nothing is written anywhere."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a temporary one made.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+def reliable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that it outlives a lost executor."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -1,20 +1,21 @@
 """Token ids in compressed binary files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Each block of ``BLOCK`` ids starts from the same state. Per id, order 2 and order 1 each predict one id (the last one seen after the same
-two ids, or one id, with a confidence); order 0 gives the size class of any other id. What is coded first is which prediction held: its
-probabilities come from two contexts, the confidences and the last outcomes, mixed with a weight that moves to the context that
-predicts better. Ids that no prediction holds follow as size class (adaptive) and the bits below (even).
-
-The blocks of a group are coded and decoded side by side, one id of each a step. A file is a list of groups of whole documents; a group
-holds its documents' ids and counts, and its blocks; a block is ``CMR1``, its count of ids, their crc32, the length, and the coded words.
-Documents lie in ascending ``doc_id`` order over files and groups.
+Per id, three orders predict. Order 0 gives every id of the group a probability: ids lie in classes of about equal frequency, the
+probabilities of classes adapt with every id, those inside a class are the group's frequencies. Order 1 and order 2 each predict the id
+last seen after the same one id or the same two, with a confidence. The probabilities are mixed linearly,
+``p(id) = m2 [id = guess2] + m1 [id = guess1] + m0 p0(id)``; the shares ``m1`` and ``m2`` are learned by how sure both guesses are and
+whether they agree. The mixture's cumulated probabilities narrow the range coder's interval once an id. Each block of ``BLOCK`` ids
+begins with fresh tables and shares and the group's frequencies, which are the group's prior.
+
+The blocks of a group are coded and decoded side by side in numpy, one id of each a step. A file is a list of groups of whole documents; a group
+holds its documents' ids and counts, its prior (ids and counts) and its blocks; a block is ``CMR2``, its count of ids, their crc32, the
+length, and the coded words. Documents lie in ascending ``doc_id`` order over files and groups.
 """
 
 from __future__ import annotations
 
 import os
 import struct
-import tempfile
 import uuid
 import zlib
 from functools import cache
@@ -27,200 +28,260 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from milpa.llm._shared import slices, texts_of
+from milpa.llm._shared import shared_folder, slices, texts_of
 from milpa.llm.pieces import gathered
 
-BLOCK, GROUP_IDS, SLOTS, MAGIC, KEPT_WORDS = 2048, 1 << 22, 1024, b"CMR1", 200_000
-WORD, TOP, LOWEST, ALL = 16, np.uint64(32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
-CLASSES, TOTAL = 18, 4096
-GROUPS = "file int, seq int, doc_ids array<long>, doc_tokens array<long>, blocks array<binary>"
+BLOCK, LANES, SLOTS, MAGIC, KEPT_WORDS = 4096, 2048, 1024, b"CMR2", 300_000
+CLASSES, CLASS_BITS, WEIGHT_BITS, LEAST_CLASS, LEAST_INSIDE, RATE, CLASS_RATE = 16, 14, 12, 4, 16, 5, 7
+FULL, CELL_BITS, WORD, LOWEST = 1 << WEIGHT_BITS, 8, np.uint64(16), np.uint64(1 << 40)
+GROUPS = "file int, seq int, doc_ids array<long>, doc_tokens array<long>, prior binary, blocks array<binary>"
+
+
+class Prior:
+    """Order 0 at the start of every block of a group: classes of about equal frequency, and each id's place within its class.
+
+    Ids are known by their rank among the group's ids. A class is ``1 << inside`` wide, of which every id has ``LEAST_INSIDE`` at least.
+    """
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        n, total = len(ids), np.cumsum(counts)
+        self.ids, self.counts = ids, counts
+        kind = np.unique((total - counts) * CLASSES // int(total[-1]), return_inverse=True)[1].astype(np.int64)
+        sizes = np.bincount(kind, minlength=CLASSES)
+        self.inside = max(18, int(2 * LEAST_INSIDE * sizes.max() - 1).bit_length())
+        self.total_bits = CLASS_BITS + self.inside
+        if self.total_bits > 38:
+            raise ValueError(f"{n} different ids in a group are too many")
+        own = np.bincount(kind, weights=counts, minlength=CLASSES).astype(np.int64)
+        before, rank = (np.cumsum(own) - own)[kind], np.arange(n) - (np.cumsum(sizes) - sizes)[kind]
+        room, mass = ((1 << self.inside) - LEAST_INSIDE * sizes)[kind], own[kind]
+        start = (total - counts - before) * room // mass + LEAST_INSIDE * rank
+        stop = (total - before) * room // mass + LEAST_INSIDE * (rank + 1)
+        self.packed = kind << 52 | start << 26 | (stop - start)
+        key = kind << self.inside | start
+        self.cell_start = np.maximum(np.searchsorted(key, np.arange(CLASSES << self.inside - CELL_BITS) << CELL_BITS, "right") - 1, 0).astype(np.int32)
+        self.key = np.concatenate([key, np.full(16, 1 << 62)])
+        spread = (1 << CLASS_BITS) - LEAST_CLASS * CLASSES
+        floor = LEAST_CLASS * np.arange(1, CLASSES + 1)
+        self.edges = (np.cumsum(own) * spread // int(own.sum()) + floor).astype(np.int16)
+        self.floor, self.spread = floor.astype(np.int16)[:, None], np.int16(spread)
+
+    def to_bytes(self) -> bytes:
+        return zlib.compress(np.concatenate([np.diff(self.ids, prepend=0), self.counts]).astype("<u4").tobytes())
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Prior:
+        both = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+        return cls(np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :])
+
+    def find(self, kind: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """The rank whose stretch of a class holds each place: at most 16 ids begin in one cell."""
+        key = kind << self.inside | inside
+        at = self.cell_start.take(key >> CELL_BITS).astype(np.int64)
+        for step in (8, 4, 2, 1):
+            at += step * (self.key.take(at + step) <= key)
+        return at
 
 
 class Coder:
-    """A 48-bit carryless range coder in every lane, emitting 16-bit words; decoding if ``words`` are given."""
-
-    def __init__(self, lanes: int, capacity: int, words: np.ndarray | None = None):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, ALL, np.uint64)
-        self.decoding = words is not None
-        self.words = words if self.decoding else np.zeros((lanes, capacity), np.uint16)
-        self.at, self.every = np.zeros(lanes, np.int64), np.arange(lanes)
-        self.code = np.zeros(lanes, np.uint64)
+    """A range coder in every lane: 64-bit low and range, carries added to words already out, 16-bit words."""
+
+    def __init__(self, words: np.ndarray, bits: int, decoding: bool):
+        """``words`` by number and lane: lanes advance alike, so those at hand lie close together."""
+        lanes = words.shape[1]
+        self.words, self.flat, self.lanes, self.decoding, self.bits = words, words.ravel(), lanes, decoding, np.uint64(bits)
+        self.at = np.arange(lanes)  # where the next word of each lane is in ``flat``
+        self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
+        self.code = np.zeros(lanes, np.uint64)  # low, or when decoding what has been read less low
+        if decoding:
+            for _ in range(4):
+                self.code = self.code << WORD | self.flat[self.at]
+                self.at += lanes
+
+    def target(self, n: int) -> np.ndarray:
+        """Where the code of each lane points, of ``1 << bits``."""
+        code, step = self.code[:n], self.range[:n] >> self.bits
+        out = np.minimum((code.astype(np.float64) / step.astype(np.float64)).astype(np.uint64), np.uint64((1 << int(self.bits)) - 1))
+        out -= (out * step > code).astype(np.uint64)  # the quotient is off by one at most
+        more = ((out + np.uint64(1)) * step <= code) & (out < np.uint64((1 << int(self.bits)) - 1))
+        return (out + more.astype(np.uint64)).view(np.int64)
+
+    def narrow(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
+        code, width = self.code[:n], self.range[:n]
+        step = width >> self.bits
+        add = step * start.view(np.uint64)
+        np.multiply(step, size.view(np.uint64), out=width)
         if self.decoding:
-            for _ in range(3):
-                self.code = self.code << np.uint64(WORD) | self._next(np.arange(lanes))
-
-    def _next(self, lanes: np.ndarray) -> np.ndarray:
-        out = self.words[lanes, np.minimum(self.at[lanes], self.words.shape[1] - 1)]
-        self.at[lanes] += 1
-        return out.astype(np.uint64)
-
-    def target(self, lanes: np.ndarray | slice, total: np.ndarray | int) -> np.ndarray:
-        """Where in ``0 .. total - 1`` the code of each lane points."""
-        total = np.asarray(total, np.uint64)
-        step = self.range[lanes] // total
-        return np.minimum((self.code[lanes] - self.low[lanes] & ALL) // step, total - np.uint64(1)).astype(np.int32)
-
-    def narrow(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
-        step = self.range[lanes] // np.asarray(total, np.uint64)
-        low = self.low[lanes] + step * start.astype(np.uint64)
-        width = step * size.astype(np.uint64)
-        self.low[lanes], self.range[lanes] = low, width
-        if isinstance(lanes, slice):
-            lanes = self.every[lanes]
-        while True:
-            settled = (low ^ (low + width - np.uint64(1))) >> TOP == 0
-            tight = ~settled & (width < LOWEST)
-            out = np.flatnonzero(settled | tight)
-            if not len(out):
-                return
-            lanes, low, width, tight = lanes[out], low[out], width[out], tight[out]
-            if tight.any():
-                width = np.where(tight, (~low + np.uint64(1)) & (LOWEST - np.uint64(1)), width)
+            code -= add
+        else:
+            code += add
+            at = np.flatnonzero(code < add)
+            at = self.at[at] - self.lanes
+            while len(at):  # carry
+                self.flat[at] += np.uint16(1)
+                at = at[self.flat[at] == 0] - self.lanes
+        out = np.flatnonzero(width < LOWEST)
+        while len(out):
+            at, low, wide = self.at[out], code[out], width[out] << WORD
             if self.decoding:
-                self.code[lanes] = (self.code[lanes] << np.uint64(WORD) | self._next(lanes)) & ALL
+                code[out] = low << WORD | self.flat[at]
             else:
-                at = self.at[lanes]
-                self.words[lanes, at] = (low >> TOP).astype(np.uint16)
-                self.at[lanes] = at + 1
-            low, width = low << np.uint64(WORD) & ALL, width << np.uint64(WORD)
-            self.low[lanes], self.range[lanes] = low, width
+                self.flat[at] = (low >> np.uint64(48)).astype(np.uint16)
+                code[out] = low << WORD
+            width[out] = wide
+            self.at[out] = at + self.lanes
+            out = out[wide < LOWEST]
 
     def finish(self) -> None:
-        lanes = np.arange(len(self.low))
-        for shift in (32, 16, 0):
-            self.words[lanes, self.at] = (self.low >> np.uint64(shift)).astype(np.uint16)
-            self.at += 1
+        for shift in (48, 32, 16, 0):
+            self.flat[self.at] = (self.code >> np.uint64(shift)).astype(np.uint16)
+            self.at += self.lanes
 
+    def coded(self) -> list[bytes]:
+        words = np.ascontiguousarray(self.words.T).astype("<u2", copy=False)
+        return [words[i, : n // self.lanes].tobytes() for i, n in enumerate(self.at.tolist())]
 
-#: Confidence after a wrong (first four) and a right prediction.
-_SURER = np.array([0, 0, 0, 1, 1, 2, 3, 3], np.int32)
 
+#: Confidence after a wrong (first four) and a right guess; shares of both guesses at the start, by confidence.
+_SURER = np.array([0, 0, 1, 1, 1, 2, 3, 3], np.int32)
+_SHARE2, _SHARE1 = np.repeat(np.array([40, 900, 2400, 3400]), 8), np.tile(np.repeat(np.array([30, 500, 1300, 2200]), 2), 4)
 
-class Mixer:
-    """The adaptive state of all lanes, and one id of every live lane at a time, coded or decoded.
 
-    A prediction is one number, ``id | confidence << 16``. Both outcome probabilities of a context are in 4096ths: that order 2 holds, and,
-    if not, that order 1 does.
-    """
-
-    def __init__(self, lanes: int):
-        self.guess1, self.guess2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.by_sure = [np.full(lanes * 32, TOTAL // 2, np.int32) for _ in range(2)]
-        self.by_past = [np.full(lanes * 9, TOTAL // 2, np.int32) for _ in range(2)]
-        self.weight = np.full(lanes, 8, np.int32)
-        self.classes = np.ones((lanes, CLASSES), np.int32)
-        self.before1, self.before2, self.past = (np.zeros(lanes, np.int32) for _ in range(3))
-        self.first = [np.arange(lanes, dtype=np.int64) * k for k in (SLOTS, 32, 9)]
-
-    def step(self, coder: Coder, n: int, ids: np.ndarray | None) -> np.ndarray:
-        """Lanes ``0 .. n - 1``; gives their ids, which are ``ids`` when coding."""
-        live = slice(0, n)
-        p1, p2, past, w = self.before1[live], self.before2[live], self.past[live], self.weight[live]
-        at1 = self.first[0][live] + ((p1 * 40503 & 0x7FFFFFFF) >> 3 & SLOTS - 1)
-        at2 = self.first[0][live] + (((p1 * 0x6E3B) ^ (p2 * 0x5EB7)) >> 5 & SLOTS - 1)
-        known1, known2 = self.guess1.take(at1), self.guess2.take(at2)
-        guess1, guess2, sure1, sure2 = known1 & 0xFFFF, known2 & 0xFFFF, known1 >> 16, known2 >> 16
-        context, recent = self.first[1][live] + (sure2 * 8 + sure1 * 2 + (guess1 == guess2)), self.first[2][live] + past
-        a0, a1, b0, b1 = self.by_sure[0].take(context), self.by_sure[1].take(context), self.by_past[0].take(recent), self.by_past[1].take(recent)
-        first = np.minimum(np.maximum(b0 + ((a0 - b0) * w >> 4), 1), TOTAL - 2)
-        rest = TOTAL - first
-        second = np.minimum(np.maximum(rest * (b1 + ((a1 - b1) * w >> 4)) >> 12, 1), rest - 1)
-        if ids is None:
-            t = coder.target(live, TOTAL)
-            hit2 = t < first
-            hit1 = ~hit2 & (t < first + second)
-            out = np.where(hit2, guess2, guess1)
-        else:
-            hit2 = ids == guess2
-            hit1 = ~hit2 & (ids == guess1)
-            out = ids
-        other = ~(hit2 | hit1)
-        coder.narrow(live, np.where(hit2, 0, np.where(hit1, first, first + second)), np.where(hit2, first, np.where(hit1, second, rest - second)), TOTAL)
-        literal = np.flatnonzero(other)
-        if len(literal):
-            out = self._literal(coder, literal, out, ids is None)
-
-        self.weight[live] = np.minimum(np.maximum(w + np.where((a0 > b0) == hit2, 1, -1), 1), 15)
-        goal, goal1, open_ = hit2.astype(np.int32) << 12, hit1.astype(np.int32) << 12, ~hit2
-        self.by_sure[0].put(context, a0 + (goal - a0 >> 4))
-        self.by_past[0].put(recent, b0 + (goal - b0 >> 4))
-        self.by_sure[1].put(context, a1 + (goal1 - a1 >> 4) * open_)
-        self.by_past[1].put(recent, b1 + (goal1 - b1 >> 4) * open_)
-        for table, at, guess, sure in ((self.guess1, at1, guess1, sure1), (self.guess2, at2, guess2, sure2)):
-            right = guess == out
-            table.put(at, np.where(right | (sure > 1), guess, out) | _SURER.take(right * 4 + sure) << 16)
-        self.before2[live], self.past[live] = p1, past % 3 * 3 + np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.before1[live] = out
-        return out
-
-    def _literal(self, coder: Coder, lanes: np.ndarray, out: np.ndarray, decoding: bool) -> np.ndarray:
-        counts = self.classes[lanes]
-        ends = np.cumsum(counts, axis=1)
-        total = ends[:, -1]
-        row = np.arange(len(lanes))
-        if decoding:
-            size = (ends <= coder.target(lanes, total)[:, None]).sum(1)
-        else:
-            value = out[lanes]
-            size = np.frexp(value.astype(np.float32))[1]
-        end, own = ends[row, size], counts[row, size]
-        coder.narrow(lanes, end - own, own, total)
-        counts[row, size] = own + 24
-        grown = np.flatnonzero(total > 1 << 13)
-        if len(grown):
-            counts[grown] = (counts[grown] + 1) >> 1
-        self.classes[lanes] = counts
-        span = np.left_shift(1, np.maximum(size - 1, 0))
-        rest = coder.target(lanes, span) if decoding else value - np.where(size > 0, span, 0)
-        coder.narrow(lanes, rest, np.ones(len(lanes), np.int32), span)
-        if decoding:
-            out = out.copy()
-            out[lanes] = np.where(size > 0, span + rest, 0)
-        return out
-
-
-def pack(ids: np.ndarray) -> list[bytes]:
-    """Blocks of a stream of ids below 65,536; an empty stream has none."""
-    n = -(-len(ids) // BLOCK)
-    if not n:
-        return []
-    table = np.zeros((n, BLOCK), np.int32)
-    table.ravel()[: len(ids)] = ids
-    table = np.ascontiguousarray(table.T)
-    coder, mixer = Coder(n, 3 * min(BLOCK, len(ids)) + 8), Mixer(n)
-    last = len(ids) - (n - 1) * BLOCK
-    for t in range(min(BLOCK, len(ids))):
-        live = n if t < last else n - 1
-        mixer.step(coder, live, table[t, :live])
-    coder.finish()
-    out = []
-    for i in range(n):
-        own = ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4")
-        coded = coder.words[i, : coder.at[i]].astype("<u2").tobytes()
-        out.append(MAGIC + struct.pack("<III", len(own), zlib.crc32(own.tobytes()), len(coded)) + coded)
-    return out
-
-
-def unpack(blocks: list[bytes]) -> np.ndarray:
+class Mixer:
+    """The adaptive state of all lanes, and one id (by rank) of every live lane at a time, coded or decoded."""
+
+    def __init__(self, lanes: int, prior: Prior):
+        self.prior = prior
+        self.guess1, self.guess2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # rank | confidence << 24
+        self.share1, self.share2 = np.tile(_SHARE1, lanes), np.tile(_SHARE2, lanes)
+        self.edges = np.repeat(prior.edges[:, None], lanes, axis=1)  # by class and lane, where the class ends
+        self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.lanes, self.every, self.order = lanes, np.arange(lanes), np.arange(CLASSES, dtype=np.int16)[:, None]
+
+    def _class(self, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each lane's class begins, and how wide it is."""
+        at = kind * self.lanes + self.every[:n]
+        flat = self.edges.ravel()
+        first = flat.take(at - self.lanes).astype(np.int64) * (kind > 0)
+        return first, flat.take(at) - first
+
+    def _order0(self, ranks: np.ndarray, m0: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order-0 share's stretch of each rank within the mixture."""
+        packed = self.prior.packed.take(ranks)
+        first, wide = self._class(packed >> 52, n)
+        low = (first << self.prior.inside) + wide * (packed >> 26 & (1 << 26) - 1)
+        return low * m0 >> WEIGHT_BITS, (low + wide * (packed & (1 << 26) - 1)) * m0 >> WEIGHT_BITS
+
+    def _pointed(self, v: np.ndarray, guess1: np.ndarray, guess2: np.ndarray, m0: np.ndarray, m1: np.ndarray, m2: np.ndarray, n: int) -> np.ndarray:
+        """The ranks at places ``v`` of the mixture: both guesses' shares are taken off what lies above them, the rest is order 0's."""
+        prior = self.prior
+        swap = guess1 < guess2
+        low, high = np.where(swap, guess1, guess2), np.where(swap, guess2, guess1)
+        more, most = np.where(swap, m1, m2), np.where(swap, m2, m1)
+        a, b = self._order0(low, m0, n)
+        c, d = self._order0(high, m0, n)
+        b, c = b + more, c + more
+        d += more + most
+        past_low, past_high = v >= b, v >= d
+        here_low, here_high = (v >= a) & ~past_low, (v >= c) & ~past_high
+        u = ((((v - more * past_low - most * past_high) + 1) * FULL - 1).astype(np.float64) / m0).astype(np.int64)
+        u = np.where(here_low | here_high, 0, u)
+        top = (u >> prior.inside).astype(np.int16)
+        kind = (self.edges[:, :n] <= top).view(np.uint8).sum(0, dtype=np.uint8).astype(np.int64)
+        first, wide = self._class(kind, n)
+        found = prior.find(kind, ((u - (first << prior.inside)).astype(np.float64) / wide).astype(np.int64))
+        return np.where(here_low, low, np.where(here_high, high, found))
+
+    def step(self, coder: Coder, n: int, ranks: np.ndarray | None) -> np.ndarray:
+        """Lanes ``0 .. n - 1``; gives their ranks, which are ``ranks`` when coding."""
+        before1, before2, slot0 = self.before1[:n], self.before2[:n], self.every[:n] * SLOTS
+        at1 = slot0 + (before1 * 40503 >> 3 & SLOTS - 1)
+        at2 = slot0 + ((before1 * 0x6E3B ^ before2 * 0x5EB7) >> 5 & SLOTS - 1)
+        known1, known2 = self.guess1[at1].astype(np.int64), self.guess2[at2].astype(np.int64)
+        guess1, guess2, sure1, sure2 = known1 & 0xFFFFFF, known2 & 0xFFFFFF, known1 >> 24, known2 >> 24
+        context = self.every[:n] * 32 + (sure2 * 8 + sure1 * 2 + (guess1 == guess2))
+        share2, share1 = self.share2.take(context), self.share1.take(context)
+        m2 = np.minimum(share2, FULL - 96)
+        m1 = np.minimum(share1, FULL - 64 - m2)
+        m0 = FULL - m2 - m1
+        m2 <<= self.prior.total_bits - WEIGHT_BITS
+        m1 <<= self.prior.total_bits - WEIGHT_BITS
+        if ranks is None:
+            ranks = self._pointed(coder.target(n), guess1, guess2, m0, m1, m2, n)
+        hit2, hit1 = guess2 == ranks, guess1 == ranks
+        start, stop = self._order0(ranks, m0, n)
+        size = stop - start + m2 * hit2 + m1 * hit1
+        coder.narrow(n, start + m2 * (guess2 < ranks) + m1 * (guess1 < ranks), size)
+        self.share2[context] = share2 + (hit2 * (FULL - 1) - share2 >> RATE)
+        self.share1[context] = share1 + ((hit1 > hit2) * (FULL - 1) - share1 >> RATE)
+        for table, at, guess, sure, hit in ((self.guess1, at1, guess1, sure1, hit1), (self.guess2, at2, guess2, sure2, hit2)):
+            table[at] = np.where(hit | (sure > 1), guess, ranks).astype(np.int32) | _SURER.take(hit * 4 + sure) << 24
+        edges = self.edges[:, :n]
+        goals = (self.order >= (self.prior.packed.take(ranks) >> 52).astype(np.int16)) * self.prior.spread
+        goals += self.prior.floor
+        goals -= edges
+        goals >>= CLASS_RATE
+        edges += goals
+        self.before2[:n] = before1
+        self.before1[:n] = ranks
+        return ranks
+
+
+def pack(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """The prior and the blocks of a stream of ids; an empty stream has none."""
+    if not len(ids):
+        return b"", []
+    if int(ids.max()) < 1 << 20:  # ids of any usual tokenizer: no sorting needed
+        counts = np.bincount(ids)
+        known, ranks = np.flatnonzero(counts), (np.cumsum(counts > 0) - 1).take(ids)
+        counts = counts[known]
+    else:
+        known, ranks, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    prior, out = Prior(known.astype(np.int64), counts), []
+    for a in range(0, len(ids), LANES * BLOCK):
+        own = ranks[a : a + LANES * BLOCK]
+        n, most = -(-len(own) // BLOCK), min(BLOCK, len(own))
+        table = np.zeros((n, BLOCK), np.int64)
+        table.ravel()[: len(own)] = own
+        table = np.ascontiguousarray(table[:, :most].T)
+        coder, mixer, last = Coder(np.zeros((most * 5 // 2 + 16, n), np.uint16), prior.total_bits, False), Mixer(n, prior), len(own) - (n - 1) * BLOCK
+        for t in range(most):
+            live = n if t < last else n - 1
+            mixer.step(coder, live, table[t, :live])
+        coder.finish()
+        for i, coded in enumerate(coder.coded()):
+            plain = ids[a + i * BLOCK : a + min((i + 1) * BLOCK, len(own))].astype("<u4")
+            out.append(MAGIC + struct.pack("<III", len(plain), zlib.crc32(plain.tobytes()), len(coded)) + coded)
+    return prior.to_bytes(), out
+
+
+def unpack(prior: bytes, blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks of one stream; raises if a block is damaged."""
     if not blocks:
         return np.zeros(0, np.int64)
-    heads = [struct.unpack_from("<III", b, 4) for b in blocks]
-    sizes = np.array([h[0] for h in heads])
-    if any(b[:4] != MAGIC or len(b) != 16 + h[2] for b, h in zip(blocks, heads, strict=True)) or (sizes[:-1] < sizes[1:]).any():
-        raise ValueError("damaged block")
-    words = np.zeros((len(blocks), max(h[2] for h in heads) // 2 + 4), np.uint16)
-    for i, b in enumerate(blocks):
-        words[i, : heads[i][2] // 2] = np.frombuffer(b, "<u2", offset=16)
-    coder, mixer, out = Coder(len(blocks), 0, words), Mixer(len(blocks)), np.zeros((int(sizes.max()), len(blocks)), np.int32)
-    for t in range(len(out)):
-        live = int((sizes > t).sum())
-        out[t, :live] = mixer.step(coder, live, None)
-    out = np.ascontiguousarray(out.T)
-    for i, h in enumerate(heads):
-        if zlib.crc32(out[i, : h[0]].astype("<u4").tobytes()) != h[1]:
-            raise ValueError("checksum differs")
-    return out[np.arange(out.shape[1])[None, :] < sizes[:, None]]
+    model, parts = Prior.from_bytes(prior), []
+    for a in range(0, len(blocks), LANES):
+        own = blocks[a : a + LANES]
+        heads = [struct.unpack_from("<III", b, 4) for b in own]
+        sizes = np.array([h[0] for h in heads])
+        if any(b[:4] != MAGIC or len(b) != 16 + h[2] for b, h in zip(own, heads, strict=True)) or (sizes[:-1] < sizes[1:]).any():
+            raise ValueError("damaged block")
+        words = np.zeros((len(own), max(h[2] for h in heads) // 2 + 8), np.uint16)
+        for i, b in enumerate(own):
+            words[i, : heads[i][2] // 2] = np.frombuffer(b, "<u2", offset=16)
+        coder, mixer, out = Coder(np.ascontiguousarray(words.T), model.total_bits, True), Mixer(len(own), model), np.zeros((int(sizes.max()), len(own)), np.int64)
+        for t in range(len(out)):
+            live = int((sizes > t).sum()) if t >= sizes[-1] else len(sizes)
+            try:
+                out[t, :live] = mixer.step(coder, live, None)
+            except IndexError:  # only a damaged block points or reads beyond
+                raise ValueError("damaged block") from None
+        out = model.ids[np.ascontiguousarray(out.T)]
+        for i, h in enumerate(heads):
+            if zlib.crc32(out[i, : h[0]].astype("<u4").tobytes()) != h[1]:
+                raise ValueError("checksum differs")
+        parts.append(out[np.arange(out.shape[1])[None, :] < sizes[:, None]])
+    return np.concatenate(parts)
 
 
 _ODD = "  |[\\t-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] | [\\t-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|^ | $"
@@ -236,6 +297,21 @@ def _tokenizer(path: str):
     return tokenizer, [{}, {}]
 
 
+def _encoded(words: list[str], tokenizer) -> dict[str, bytes]:
+    """Ids of each word. Words of a leading space and no other white space go to the library 64 in a text, a line break after each:
+    its pattern makes the break a token of its own there."""
+    stop, raw, out = tokenizer.token_to_id("\u010a"), [], {}
+    lined = [w for w in words if w[:1] == " " and w.split() == [w[1:]]]
+    texts = ["\n".join(lined[i : i + 64]) + "\n" for i in range(0, len(lined), 64)]
+    flat = np.fromiter((x for e in tokenizer.encode_batch(texts, add_special_tokens=False) for x in e.ids), np.int32)
+    ends = np.flatnonzero(flat == stop)
+    raw = flat.tobytes()
+    out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(lined, np.append(0, ends[:-1] + 1).tolist() if len(ends) else [], ends.tolist(), strict=True))
+    rest = [w for w in words if w not in out]
+    out.update(zip(rest, (np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
+    return out
+
+
 def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by ``end``, and offsets by text.
 
@@ -258,8 +334,7 @@ def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.n
     if len(recent) > KEPT_WORDS:
         known[:] = recent, older = {}, recent
     recent.update((w, older[w]) for w in names if w not in recent and w in older)
-    new = [w for w in names if w not in recent]
-    recent.update(zip(new, (np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+    recent.update(_encoded([w for w in names if w not in recent], tokenizer))
     ids = [recent[w] for w in names]
     sizes = np.where(odd, 0, np.diff(ends))
     flat, cuts = gathered(np.frombuffer(b"".join(ids), np.int32), np.cumsum([0] + [len(x) // 4 for x in ids]), place, np.concatenate([[0], np.cumsum(sizes)]))
@@ -271,9 +346,10 @@ def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.n
 
 def _write(path: str, end: int):
     def group(seq: int, docs: list, counts: list, ids: list) -> pa.RecordBatch:
+        prior, blocks = pack(np.concatenate(ids))
         return pa.RecordBatch.from_pylist(
-            [{"file": TaskContext.get().partitionId(), "seq": seq, "doc_ids": docs, "doc_tokens": counts, "blocks": pack(np.concatenate(ids))}],
-            pa.schema([("file", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("blocks", pa.list_(pa.binary()))]),
+            [{"file": TaskContext.get().partitionId(), "seq": seq, "doc_ids": docs, "doc_tokens": counts, "prior": prior, "blocks": blocks}],
+            pa.schema([("file", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("prior", pa.binary()), ("blocks", pa.list_(pa.binary()))]),
         )
 
     def run(batches):
@@ -283,7 +359,7 @@ def _write(path: str, end: int):
             docs += batch.column("doc_id").to_pylist()
             counts += np.diff(cuts).tolist()
             ids.append(flat)
-            if sum(map(len, ids)) >= GROUP_IDS:
+            if sum(map(len, ids)) >= LANES * BLOCK:
                 yield group(seq, docs, counts, ids)
                 docs, counts, ids, seq = [], [], [], seq + 1
         if docs:
@@ -293,20 +369,23 @@ def _write(path: str, end: int):
 
 
 def write_ids(docs: DataFrame, folder: str, path: str, end: int = 2, file_bytes: int = 32 << 20) -> None:
-    """Encode ``docs(doc_id, text)`` and write the files into ``folder``, documents in ascending order of ``doc_id``, then text.
+    """Encode ``docs(doc_id, text)`` and write the files into ``folder``, documents in ascending order of ``doc_id``, then a hash of the text.
 
-    A null text is empty and has only the end id; rows without ``doc_id`` are left out; repeated rows are written each.
+    A null text is empty and has only the end id; rows without ``doc_id`` are left out; repeated rows are written each, different texts
+    of one ``doc_id`` may lie in several files. A text of any length is encoded whole and lies in one group, whose blocks are coded
+    ``LANES`` at a time. Further columns are ignored; an empty table makes files without groups.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-size // file_bytes), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 21))
-    docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_write(path, end), GROUPS).write.option("compression", "none").parquet(folder)
+    ordered = docs.repartitionByRange(files, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "text").select("doc_id", "text")
+    ordered.mapInArrow(_write(path, end), GROUPS).write.option("compression", "none").parquet(folder)
 
 
 def _digest(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            ids, at, out = unpack(row["blocks"]).astype("<u4"), 0, []
+            ids, at, out = unpack(row["prior"], row["blocks"]).astype("<u4"), 0, []
             for n in row["doc_tokens"]:
                 out.append((at, zlib.crc32(ids[at : at + n].tobytes())))
                 at += n
@@ -322,7 +401,7 @@ def _digest(batches):
 def _texts_ids(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            ids, cuts = unpack(row["blocks"]), np.concatenate([[0], np.cumsum(row["doc_tokens"])])
+            ids, cuts = unpack(row["prior"], row["blocks"]), np.concatenate([[0], np.cumsum(row["doc_tokens"])])
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
 
@@ -334,16 +413,17 @@ def read_ids(groups: DataFrame) -> DataFrame:
 def digests(groups: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32``, decoded from the files; ``start`` counts the ids of all documents before."""
     sizes = groups.select("file", "seq", F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    in_file = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    per_file = sizes.groupBy("file").agg(F.sum("n").alias("n"))  # one row a file
-    over_files = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("a", F.coalesce(F.sum("n").over(in_file), F.lit(0))).join(per_file.select("file", F.coalesce(F.sum("n").over(over_files), F.lit(0)).alias("b")), "file").select("file", "seq", (F.col("a") + F.col("b")).alias("before"))
+    shelf = sizes.withColumn("shelf", F.expr("file div 4096"))  # sums over shelves of files, so that no window holds all files
+    whole = shelf.groupBy("shelf").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("shelf").rowsBetween(Window.unboundedPreceding, -1)  # a row for 4096 files
+    inside = Window.partitionBy("shelf").orderBy("file", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    shelves = whole.select("shelf", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("b"))
+    starts = shelf.withColumn("a", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(shelves, "shelf").select("file", "seq", (F.col("a") + F.col("b")).alias("before"))
     return groups.mapInArrow(_digest, "file int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long").join(starts, ["file", "seq"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def written_digests(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
     """Write ``docs`` into a new folder of the session's shared one, and digest what is read back."""
-    spark = docs.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/ids-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
     write_ids(docs, folder, path, end)
-    return digests(spark.read.schema(GROUPS).parquet(folder))
+    return digests(docs.sparkSession.read.schema(GROUPS).parquet(folder))

@@ -277,26 +277,70 @@ def test_scores_of_nothing(empty):
 
 
 # ---- token files --------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("n", [0, 1, 2, 2047, 2048, 2049, 5000])
+@pytest.mark.parametrize("n", [0, 1, 2, 4095, 4096, 4097, 9000])
 def test_coder_round_trip(n):
     r = np.random.default_rng(n)
-    for ids in (r.integers(0, 65536, n), np.minimum(r.zipf(1.2, n), 50256), np.zeros(n, int), np.tile([3, 1, 4, 1, 5], n)[:n]):
-        assert (tokenbin.unpack(tokenbin.pack(ids.astype(np.int32))) == ids).all()
+    for ids in (r.integers(0, 65536, n), r.integers(0, 1 << 31, n), np.minimum(r.zipf(1.2, n), 50256), np.zeros(n, int), np.tile([3, 1, 4, 1, 5], n)[:n]):
+        assert (tokenbin.unpack(*tokenbin.pack(ids)) == ids).all()
+
+
+def test_more_blocks_than_lanes(monkeypatch):
+    monkeypatch.setattr(tokenbin, "LANES", 3)
+    ids = np.minimum(np.random.default_rng(5).zipf(1.3, 5 * tokenbin.BLOCK + 77), 50256)
+    assert (tokenbin.unpack(*tokenbin.pack(ids)) == ids).all()
 
 
 def test_coder_compresses_and_blocks_stand_alone():
     ids = np.tile(np.random.default_rng(0).integers(0, 50257, 50), 200).astype(np.int32)
-    blocks = tokenbin.pack(ids)
+    prior, blocks = tokenbin.pack(ids)
     assert sum(map(len, blocks)) < len(ids) / 2
-    assert (tokenbin.unpack([blocks[1]]) == ids[tokenbin.BLOCK : 2 * tokenbin.BLOCK]).all()
+    assert (tokenbin.unpack(prior, [blocks[1]]) == ids[tokenbin.BLOCK : 2 * tokenbin.BLOCK]).all()
+
+
+def test_mixture_is_a_distribution_and_follows_all_orders():
+    """Summed over all ids, the stretches of the mixture fill it without gap or overlap, but for classes without ids at its end; guesses get their shares on top of order 0."""
+    ids = np.minimum(np.random.default_rng(3).zipf(1.3, 3000), 300)
+    known, counts = np.unique(ids, return_counts=True)
+    prior = tokenbin.Prior(known, counts)
+    mixer, n = tokenbin.Mixer(len(known), prior), len(known)
+    every = np.arange(n)
+    m1, m2, m0 = np.full(n, 700), np.full(n, 1500), np.full(n, tokenbin.FULL - 2200)
+    up = prior.total_bits - tokenbin.WEIGHT_BITS
+    for g1, g2 in ((5, 2), (2, 5), (7, 7)):
+        start, stop = mixer._order0(every, m0, n)
+        size = stop - start + (m2 << up) * (every == g2) + (m1 << up) * (every == g1)
+        start = start + (m2 << up) * (g2 < every) + (m1 << up) * (g1 < every)
+        assert start[0] == 0 and (start[1:] == start[:-1] + size[:-1]).all() and (size > 0).all()
+        assert 0 <= (1 << prior.total_bits) - (start[-1] + size[-1]) <= tokenbin.CLASSES * tokenbin.LEAST_CLASS << prior.inside  # classes without ids
+        for v in (start, start + size - 1, start + size // 2):
+            assert (mixer._pointed(v, np.full(n, g1), np.full(n, g2), m0, m1 << up, m2 << up, n) == every).all()
+
+
+def test_ids_of_documents_take_fewer_bits_than_deflated():
+    import pyarrow.parquet as pq
+
+    texts = texts_of(pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"])
+    ids, _ = tokenbin.encode_texts(texts, tokenizer("byte_bpe_50k.json"), 2)
+    prior, blocks = tokenbin.pack(ids)
+    assert len(prior) + sum(map(len, blocks)) < 0.95 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+    assert (tokenbin.unpack(prior, blocks) == ids).all()
 
 
 def test_damage_is_found():
-    blocks = tokenbin.pack(np.random.default_rng(0).integers(0, 50257, 100).astype(np.int32))
-    broken = bytearray(blocks[0])
-    broken[40] ^= 8
-    with pytest.raises(ValueError):
-        tokenbin.unpack([bytes(broken)])
+    prior, blocks = tokenbin.pack(np.random.default_rng(0).integers(0, 50257, 100))
+    for at in (40, 60, 100):
+        broken = bytearray(blocks[0])
+        broken[at] ^= 8
+        with pytest.raises(ValueError):
+            tokenbin.unpack(prior, [bytes(broken)])
+
+
+def test_words_coded_together_are_as_alone():
+    _, known = tokenbin._tokenizer(tokenizer("byte_bpe_50k.json"))
+    words = [" " + w for w in ("one", "día", "a\nb", "x\u2028y", "\x1cz", "'s", "1234", "!?", "\u200b", "ab\x00c", "日本語", "😀", "Ċ", "a\u0301")] + ["first", "", " "]
+    lib = tokenbin._tokenizer(tokenizer("byte_bpe_50k.json"))[0]
+    got = tokenbin._encoded(words * 10, lib)
+    assert {w: np.frombuffer(x, np.int32).tolist() for w, x in got.items()} == {w: lib.encode(w, add_special_tokens=False).ids for w in words}
 
 
 def test_token_digests_against_the_library(docs):
