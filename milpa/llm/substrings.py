@@ -13,6 +13,12 @@ Sorting every suffix of a large corpus isn't needed to find these strings, so th
    the cover ranks at the shift at which both suffixes meet the cover. Equal windows end up side by side.
 
 Only one bucket's order is held at a time; contexts come to a task sorted by anchor and are worked off in groups of anchors.
+
+Most repeats are found by counting (2), the rest by suffix order (3). Two contexts count as equal if their anchors' 64-bit hashes and an
+xxh3 hash of all their bytes and their alignment agree; the suffix order compares bytes.
+
+Passages are found in the same passes: the windows are then ``words`` words, white space aside, and contexts that share an anchor
+but not all words are compared window by window.
 """
 
 from __future__ import annotations
@@ -22,13 +28,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from milpa.llm._shared import U64, bytes_of, mix, reliable, slices, texts_of
+from milpa.llm._shared import U64, bytes_of, hashes_of, mix, reliable, slices, texts_of
 
-COVER, BUFFER, BUCKET, GROUP_BYTES, SPANS = 64, 1 << 20, 1 << 16, 8 << 20, "_repeated_spans"
+COVER, BUFFER, BUCKET, GROUP_BYTES, SPANS, PASSAGES = 64, 1 << 20, 1 << 16, 8 << 20, "_repeated_spans", "_passage_bytes"
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -55,55 +62,96 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def contexts(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Contexts of up to ``BUFFER`` bytes that hold the texts between ``ends``: text, first and last window, anchor, two hashes."""
-    k, n = length // 2, len(data)
+def contexts(values: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Contexts of up to ``BUFFER`` units (bytes or words, by their hashes) of the texts between ``ends``: text, first and last window, place and hash of the anchor."""
+    n = len(values)
     if n < length:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U64),)
     t = _powers()
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, U64)
-        np.cumsum(t["byte"][data] * t["up"][:n], out=sums[1:])
-        grams = mix((sums[k:] - sums[:-k]) * t["down"][: n - k + 1])
-        place = np.arange(len(grams), dtype=U64)
-        anchor = (sliding_least((grams & ~U64(BUFFER - 1)) | place, length - k + 1) & U64(BUFFER - 1)).astype(np.int64)
-        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[: n - length + 1]
-        whole = np.arange(n - length + 1) + length <= ends[text + 1]
-        begins = whole.copy()
-        begins[1:] &= ~(whole[:-1] & (anchor[1:] == anchor[:-1]))
-        stops = whole.copy()
-        stops[:-1] &= ~(whole[1:] & (anchor[1:] == anchor[:-1]))
-        first, last = np.flatnonzero(begins), np.flatnonzero(stops)
-        at = anchor[first]
-        content = mix((sums[last + length] - sums[first]) * t["down"][first])
-        content = mix(content ^ mix(((last - first) * (length + 1) + (at - first)).astype(U64) + U64(1)))
-        return text[first], first, last, at, grams[at], content
-
-
-def _find_contexts(length: int):
-    names = ["doc_id", "text_key", "lo", "hi", "off", "anchor", "content"]
+        np.cumsum(values * t["up"][:n], out=sums[1:])
+        grams = mix((sums[gram:] - sums[:-gram]) * t["down"][: n - gram + 1])
+    place = np.arange(len(grams), dtype=U64)
+    anchor = (sliding_least((grams & ~U64(BUFFER - 1)) | place, length - gram + 1) & U64(BUFFER - 1)).astype(np.int64)
+    text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[: n - length + 1]
+    whole = np.arange(n - length + 1) + length <= ends[text + 1]
+    begins = whole.copy()
+    begins[1:] &= ~(whole[:-1] & (anchor[1:] == anchor[:-1]))
+    stops = whole.copy()
+    stops[:-1] &= ~(whole[1:] & (anchor[1:] == anchor[:-1]))
+    first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+    return text[first], first, last, anchor[first], grams[anchor[first]]
+
+
+def _content(raw: bytes, starts: np.ndarray, stops: np.ndarray, off: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A hash of each context's bytes and of where its windows and its anchor lie in them."""
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)), U64, len(starts))
+    return mix(hashed ^ mix((windows << 24 | off).astype(U64) + U64(1)))
+
+
+def word_places(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts begin and stop, in bytes."""
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    return np.flatnonzero(inside & (edge | ~np.roll(inside, 1))), np.flatnonzero(inside[:-1] & (edge[1:] | ~inside[1:])) + 1
+
+
+def _word_hashes(raw: bytes, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    words = pa.array([raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary()).dictionary_encode()
+    return hashes_of(words.dictionary)[words.indices.to_numpy()] if len(first) else np.zeros(0, U64)
+
+
+def _stretches(n: int, ends: np.ndarray, length: int) -> list[tuple[int, int, np.ndarray]]:
+    """Begin, end and inner ends; texts longer than the buffer fall into stretches that share ``length - 1`` units, so that each window is in one."""
+    if n <= BUFFER:
+        return [(0, n, ends)]
+    return [(a, min(n, a + BUFFER), np.array([0, min(n, a + BUFFER) - a])) for a in range(0, max(1, n - length + 1), BUFFER - length + 1)]
+
+
+def _find_contexts(length: int, passage: int | None):
+    names = ["doc_id", "text_key", "lo", "hi", "off", "anchor", "content", "passage"]
+
+    def rows(batch, text, lo, hi, off, anchor, content, passage):
+        own = pa.array(text)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").take(own),
+                batch.column("text_key").take(own),
+                pa.array(lo, pa.int64()),
+                pa.array(hi, pa.int64()),
+                pa.array(off, pa.int32()),
+                pa.array(anchor.view(np.int64)),
+                pa.array(content.view(np.int64)),
+                pa.array(np.full(len(text), passage)),
+            ],
+            names=names,
+        )
 
     def run(batches):
-        for batch in slices(batches, "text", BUFFER // 2):
+        for batch in slices(batches, "text", BUFFER // 2):  # a longer text is a batch of its own
             data, ends = bytes_of(texts_of(batch.column("text")))
-            # a text longer than the buffer is worked in stretches that share length - 1 bytes, so that each window is in one
-            step = BUFFER - length + 1
-            stretches = [(0, data, ends)] if len(data) <= BUFFER else [(a, data[a : a + BUFFER], np.array([0, len(data[a : a + BUFFER])])) for a in range(0, max(1, len(data) - length + 1), step)]
-            for base, part, cuts in stretches:
-                text, first, last, at, anchor, content = contexts(part, cuts, length)
+            raw, values = data.tobytes(), _powers()["byte"]
+            for base, stop, cuts in _stretches(len(data), ends, length):
+                text, first, last, at, anchor = contexts(values[data[base:stop]], cuts, length, length // 2)
+                content = _content(raw, first + base, last + base + length, at - first, last - first)
                 start = base - (cuts[text] if len(text) else 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(text)),
-                        batch.column("text_key").take(pa.array(text)),
-                        pa.array(first + start, pa.int64()),
-                        pa.array(last + start, pa.int64()),
-                        pa.array(at - first, pa.int32()),
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(content.view(np.int64)),
-                    ],
-                    names=names,
-                )
+                yield rows(batch, text, first + start, last + start, at - first, anchor, content, False)
+            if passage:
+                begin, close = word_places(data, ends)
+                hashed, word_ends = _word_hashes(raw, begin, close), np.searchsorted(begin, ends)
+                for base, stop, cuts in _stretches(len(begin), word_ends, passage):
+                    text, first, last, at, anchor = contexts(hashed[base:stop], cuts, passage, max(1, passage // 3))
+                    if not len(text):
+                        continue
+                    # equal words are equal bytes here but for white space, which is left out of the hash
+                    sums = np.zeros(stop - base + 1, U64)
+                    with np.errstate(over="ignore"):
+                        np.cumsum(mix(hashed[base:stop]) * _powers()["up"][: stop - base], out=sums[1:])
+                        content = mix((sums[last + passage] - sums[first]) * _powers()["down"][first] + mix(((last - first) << 24 | (at - first)).astype(U64)))
+                    yield rows(batch, text, begin[first + base] - ends[text], close[last + base + passage - 1] - ends[text], at - first, mix(anchor + U64(1)), content, True)
 
     return run
 
@@ -209,23 +257,63 @@ def repeated_windows(data: np.ndarray, at: np.ndarray, length: int, bucket: int
     return out
 
 
-def _resolve(length: int):
-    def work(rows: pa.Table):
-        data, ends = bytes_of(pc.fill_null(rows["content_bytes"].combine_chunks().cast(pa.large_binary()), b""))
-        windows = np.diff(ends) - length + 1
-        row = np.repeat(np.arange(len(windows)), windows)
-        local = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        hit = repeated_windows(data, ends[:-1][row] + local, length) & rows["single"].combine_chunks().to_numpy(zero_copy_only=False)[row]
-        row, local = row[hit], local[hit]
-        if not len(row):
-            return
-        breaks = np.flatnonzero((row[1:] != row[:-1]) | (local[1:] != local[:-1] + 1))
-        first, last = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(row) - 1]])
-        lo = rows["lo"].to_numpy()[row[first]]
-        yield pa.RecordBatch.from_arrays(
-            [rows[c].combine_chunks().take(pa.array(row[first])) for c in ("doc_id", "text_key")] + [pa.array(lo + local[first]), pa.array(lo + local[last] + length)],
-            names=["doc_id", "text_key", "lo", "stop"],
-        )
+def _runs(row: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of runs of neighbouring windows of one row."""
+    breaks = np.flatnonzero((row[1:] != row[:-1]) | (local[1:] != local[:-1] + 1))
+    return np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(row) - 1]])
+
+
+def _repeated_bytes(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of stretches of bytes in windows that occur again."""
+    data, ends = bytes_of(pc.fill_null(rows["content_bytes"].combine_chunks().cast(pa.large_binary()), b""))
+    windows = np.diff(ends) - length + 1
+    row = np.repeat(np.arange(len(windows)), windows)
+    local = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    hit = repeated_windows(data, ends[:-1][row] + local, length)
+    row, local = row[hit], local[hit]
+    if not len(row):
+        return row, local, local
+    first, last = _runs(row, local)
+    return row[first], local[first], local[last] + length
+
+
+def _repeated_words(rows: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for windows of words."""
+    data, ends = bytes_of(pc.fill_null(rows["content_bytes"].combine_chunks().cast(pa.large_binary()), b""))
+    begin, close = word_places(data, ends)
+    hashed, t, found = _word_hashes(data.tobytes(), begin, close), _powers(), []
+    owner = np.searchsorted(ends, begin, "right") - 1
+    for a in range(0, max(1, len(begin) - words + 1), BUFFER - words + 1):
+        part = hashed[a : a + BUFFER]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, U64)
+            np.cumsum(part * t["up"][: len(part)], out=sums[1:])
+            found.append(mix((sums[words:] - sums[:-words]) * t["down"][: max(0, len(part) - words + 1)]))
+    value = np.concatenate(found)
+    at = np.flatnonzero(owner[: len(value)] == owner[words - 1 : words - 1 + len(value)])
+    _, inverse, times = np.unique(value[at], return_inverse=True, return_counts=True)
+    at = at[times[inverse] > 1]
+    if not len(at):
+        return at, at, at
+    first, last = _runs(owner[at], at)
+    base = ends[owner[at[first]]]
+    return owner[at[first]], begin[at[first]] - base, close[at[last] + words - 1] - base
+
+
+def _resolve(length: int, passage: int | None):
+    def work(table: pa.Table):
+        for words in (False, True) if passage else (False,):
+            rows = table.filter(pc.equal(table["passage"], words))
+            if not rows.num_rows:
+                continue
+            row, start, stop = _repeated_words(rows, passage) if words else _repeated_bytes(rows, length)
+            keep = rows["single"].combine_chunks().to_numpy(zero_copy_only=False)[row]  # those counted as a whole stand for all of them
+            row, start, stop = row[keep], start[keep], stop[keep]
+            lo = rows["lo"].to_numpy()[row]
+            yield pa.RecordBatch.from_arrays(
+                [rows[c].combine_chunks().take(pa.array(row)) for c in ("doc_id", "text_key")] + [pa.array(lo + start), pa.array(lo + stop), pa.array(np.full(len(row), words))],
+                names=["doc_id", "text_key", "lo", "stop", "passage"],
+            )
 
     def run(batches):
         waiting, size = [], 0
@@ -247,18 +335,23 @@ def _resolve(length: int):
 
 
 def _merged(batches):
-    """Maximal runs of each document's covered stretches."""
+    """Maximal runs of each document's covered stretches, and how many bytes its passages cover."""
+
+    def runs(found):
+        out: list[list[int]] = []
+        for lo, stop in sorted(found):
+            if out and lo <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], stop)
+            else:
+                out.append([lo, stop])
+        return out
+
     for batch in batches:
-        runs = []
+        spans, passages = [], []
         for found in batch.column("found").to_pylist():
-            out: list[list[int]] = []
-            for lo, stop in sorted((x["lo"], x["stop"]) for x in found):
-                if out and lo <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], stop)
-                else:
-                    out.append([lo, stop])
-            runs.append([{"lo": a, "stop": b} for a, b in out])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(runs, pa.list_(pa.struct([("lo", pa.int64()), ("stop", pa.int64())])))], names=["doc_id", "text_key", "spans"])
+            spans.append([{"lo": a, "stop": b} for a, b in runs((x["lo"], x["stop"]) for x in found if not x["passage"])])
+            passages.append(sum(b - a for a, b in runs((x["lo"], x["stop"]) for x in found if x["passage"])))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("stop", pa.int64())]))), pa.array(passages, pa.int64())], names=["doc_id", "text_key", "spans", "passage_bytes"])
 
 
 def _short_windows(words: int, length: int):
@@ -267,12 +360,7 @@ def _short_windows(words: int, length: int):
     def run(batches):
         for batch in slices(batches, "text", BUFFER // 2):
             data, ends = bytes_of(texts_of(batch.column("text")))
-            inside = np.zeros(len(data) + 1, bool)
-            inside[:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
-            edge = np.zeros(len(data) + 1, bool)
-            edge[ends] = True
-            first = np.flatnonzero(inside & (edge | ~np.roll(inside, 1)))
-            stop = np.flatnonzero(inside[:-1] & (edge[1:] | ~inside[1:])) + 1
+            first, stop = word_places(data, ends)
             n = max(0, len(first) - words + 1)
             text = np.searchsorted(ends, first, "right") - 1
             found = np.flatnonzero((text[:n] == text[len(first) - n :]) & (stop[len(first) - n :] - first[:n] < length))
@@ -289,37 +377,47 @@ def _short_windows(words: int, length: int):
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds a hash of the text, which tells apart rows that share a ``doc_id`` but not the text."""
-    return docs.withColumn("text_key", F.hash("text"))
+    return docs.withColumn("text_key", F.xxhash64("text"))
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    """Rows of one ``doc_id`` and text; null-safe, so that every join of the texts asks for the same exchange and one is reused."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
-    """``doc_id, text_key, spans``: the maximal runs of bytes that repeated strings of ``length`` bytes cover; documents without are left out.
+def repeated_spans(docs: DataFrame, length: int = 400, words: int | None = None, passage: int | None = None) -> DataFrame:
+    """``doc_id, text_key, spans, passage_bytes``: the maximal runs of bytes that repeated strings of ``length`` bytes cover; documents without any are left out.
 
-    With ``words``, so do repeated strings of that many words between white space that are shorter than ``length`` bytes.
+    With ``words``, repeated strings of that many words between white space that are shorter than ``length`` bytes are spans too. With
+    ``passage``, ``passage_bytes`` counts the bytes of passages of that many words, white space aside, that occur again anywhere.
 
     Takes ``docs(doc_id, text, text_key)`` from :func:`keyed`. Strings that overlap or lie in the same document count; a row that
-    repeats makes all its windows repeated. Null, empty and shorter texts have no spans. ``length`` is an even number of 64 or more.
+    repeats makes all its windows repeated. Null, empty and shorter texts have no spans. ``length`` is an even number of 64 or more. A
+    text longer than 1 MB is worked in stretches that overlap, so that its windows are the same as in one piece.
     """
     if length < COVER or length % 2:
         raise ValueError(f"length must be even and at least {COVER}")
     docs = docs.select(F.col("doc_id").cast("long"), "text", "text_key")
-    found = docs.where(F.octet_length("text") >= length).mapInArrow(_find_contexts(length), "doc_id long, text_key int, lo long, hi long, off int, anchor long, content long")
+    least = min(length, 2 * passage - 1) if passage else length
+    found = docs.where(F.octet_length("text") >= least).mapInArrow(_find_contexts(length, passage), "doc_id long, text_key long, lo long, hi long, off int, anchor long, content long, passage boolean")
     counted = found.groupBy("anchor", "content").agg(F.count("*").alias("n"))
     per_anchor = Window.partitionBy("anchor")  # over counted contexts, not over occurrences
     counted = counted.select("*", F.sum("n").over(per_anchor).alias("times"), F.count("*").over(per_anchor).alias("kinds")).where("times > 1")
-    kept = reliable(found.join(counted, ["anchor", "content"]).select("doc_id", "text_key", "lo", "hi", "anchor", "content", (F.col("n") == 1).alias("single"), (F.col("kinds") > 1).alias("mixed")))
-
-    whole = kept.where("not single").selectExpr("doc_id", "text_key", "lo", f"hi + {length} as stop")
-    one = kept.where("mixed and not single").groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "text_key", "lo", "hi")).alias("o")).selectExpr("o.*", "anchor", "false as single")
-    unsure = kept.where("mixed and single").select("doc_id", "text_key", "lo", "hi", "anchor", "single").union(one)
-    cut = unsure.join(docs, ["doc_id", "text_key"]).select("doc_id", "text_key", "lo", "anchor", "single", F.expr(f"substring(cast(text as binary), cast(lo + 1 as int), cast(hi - lo + {length} as int))").alias("content_bytes"))
-    resolved = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length), "doc_id long, text_key int, lo long, stop long")
+    kept = reliable(found.join(counted, ["anchor", "content"]).select("doc_id", "text_key", "lo", "hi", "passage", "anchor", "content", (F.col("n") == 1).alias("single"), (F.col("kinds") > 1).alias("mixed")))
+
+    stop = F.when(F.col("passage"), F.col("hi")).otherwise(F.col("hi") + length)
+    whole = kept.where("not single").select("doc_id", "text_key", "lo", stop.alias("stop"), "passage")
+    one = kept.where("mixed and not single").groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "text_key", "lo", "hi", "passage")).alias("o")).selectExpr("o.*", "anchor", "false as single")
+    unsure = kept.where("mixed and single").select("doc_id", "text_key", "lo", "hi", "passage", "anchor", "single").union(one).withColumn("stop", stop).alias("u")
+    part = F.expr("substring(cast(text as binary), cast(lo + 1 as int), cast(stop - lo as int))").alias("content_bytes")
+    cut = unsure.join(docs, _same_row(unsure, docs)).select(unsure["doc_id"], unsure["text_key"], "lo", "anchor", "passage", "single", part)
+    resolved = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length, passage), "doc_id long, text_key long, lo long, stop long, passage boolean")
     covered = whole.union(resolved)
     if words:
-        short = docs.where("text is not null").mapInArrow(_short_windows(words, length), "doc_id long, text_key int, lo long, stop long, window long")
+        short = docs.where("text is not null").mapInArrow(_short_windows(words, length), "doc_id long, text_key long, lo long, stop long, window long")
         again = short.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-        covered = covered.union(short.join(again, "window", "left_semi").select("doc_id", "text_key", "lo", "stop"))
-    return covered.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "stop")).alias("found")).mapInArrow(_merged, "doc_id long, text_key int, spans array<struct<lo: long, stop: long>>")
+        covered = covered.union(short.join(again, "window", "left_semi").select("doc_id", "text_key", "lo", "stop", F.lit(False)))
+    return covered.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "stop", "passage")).alias("found")).mapInArrow(_merged, "doc_id long, text_key long, spans array<struct<lo: long, stop: long>>, passage_bytes long")
 
 
 def without_spans(text: str | None, spans: list[dict] | None) -> bytes:
@@ -341,8 +439,9 @@ def _digests(batches):
                 pa.array([a - len(k) for a, k in zip(n.to_pylist(), kept, strict=True)], pa.int64()),
                 pa.array([len(s or []) for s in batch.column(SPANS).to_pylist()], pa.int64()),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
+                pc.fill_null(batch.column(PASSAGES), 0),
             ],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"],
         )
 
 
@@ -368,16 +467,24 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if x == "text" else batch.column(x) for x in names], names=names).filter(pa.array(left, pa.bool_()))
 
 
-def _with_spans(docs: DataFrame, length: int, words: int | None = None) -> DataFrame:
-    """``docs`` with a column ``SPANS``, under a name that no table is likely to have."""
-    texts = keyed(docs.select("doc_id", "text"))
-    spans = repeated_spans(texts, length, words).select(F.col("doc_id").alias("_span_doc"), F.col("text_key").alias("_span_key"), F.col("spans").alias(SPANS))
-    return docs.join(spans, (docs["doc_id"] == F.col("_span_doc")) & (F.hash(docs["text"]) == F.col("_span_key")), "left").drop("_span_doc", "_span_key")
+def _with_spans(docs: DataFrame, length: int, words: int | None = None, passage: int | None = None) -> DataFrame:
+    """``docs`` with columns ``SPANS`` and ``PASSAGES``, under names that no table is likely to have."""
+    key = "_span_key"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    spans = repeated_spans(texts, length, words, passage).select(F.col("doc_id").alias("_span_doc"), F.col("text_key").alias(key), F.col("spans").alias(SPANS), F.col("passage_bytes").alias(PASSAGES))
+    if docs.columns == ["doc_id", "text"]:  # the same exchange as for the texts of contexts
+        return texts.join(spans, texts["doc_id"].eqNullSafe(F.col("_span_doc")) & (texts["text_key"] == F.col(key)), "left").drop("_span_doc", key, "text_key")
+    own = docs.withColumn("_own_key", F.xxhash64("text"))
+    return own.join(spans, own["doc_id"].cast("long").eqNullSafe(F.col("_span_doc")) & (F.col("_own_key") == F.col(key)), "left").drop("_span_doc", key, "_own_key")
+
 
+def removal_digests(docs: DataFrame, length: int = 400, passage: int = 51) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` after all repeated bytes are gone, and ``n_passage_bytes``.
 
-def removal_digests(docs: DataFrame, length: int = 400) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` after all repeated bytes are gone."""
-    return _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), length).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    The last counts the bytes of passages of ``passage`` words that occur again; they are reported, not removed, unless ``length`` bytes repeat.
+    """
+    kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long"
+    return _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), length, None, passage).mapInArrow(_digests, kept)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
@@ -387,4 +494,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, words: int | None = None)
 
     Null texts stay null. A row of which nothing but white space is left is dropped.
     """
-    return _with_spans(docs, length, words).mapInArrow(_texts, docs.schema)
+    return _with_spans(docs, length, words).drop(PASSAGES).mapInArrow(_texts, docs.schema)

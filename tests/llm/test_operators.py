@@ -155,6 +155,45 @@ def test_repeats_against_brute_force(docs, length):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(m), len(re.findall(b"\1+", m)), hashlib.sha256(kept).hexdigest())
 
 
+def brute_passages(texts, words):
+    """Bytes of each text within passages of so many words, white space aside, that occur more than once."""
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)] for b in texts]
+    windows = [[tuple(b[x:y] for x, y in at[i : i + words]) for i in range(len(at) - words + 1)] for b, at in zip(texts, places, strict=True)]
+    count, out = Counter(w for own in windows for w in own), []
+    for b, at, own in zip(texts, places, windows, strict=True):
+        mark = bytearray(len(b))
+        for i, w in enumerate(own):
+            if count[w] > 1:
+                mark[at[i][0] : at[i + words - 1][1]] = b"\1" * (at[i + words - 1][1] - at[i][0])
+        out.append(sum(mark))
+    return out
+
+
+def test_passages_against_brute_force(docs, spark):
+    order = [*range(len(TEXTS)), 6]
+    want = dict(zip(order, brute_passages([(TEXTS[i] or "").encode() for i in order], 51), strict=True))
+    assert {r["doc_id"]: r["n_passage_bytes"] for r in substrings.removal_digests(docs).collect()} == want
+    short = " ".join(f"w{i}" for i in range(60))  # 60 words of under 400 bytes
+    texts = [prose(80, 901) + "\n" + short + " " + prose(70, 902), "x " + short.replace(" ", "  "), short[: short.index(" w50")], prose(40, 903)]
+    texts += [f"{prose(5, 950 + i)} {short} {prose(5, 980 + i)}" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_passage_bytes"] for r in substrings.removal_digests(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_passages([t.encode() for t in texts], 51) and got[1] > 0 == got[2] == got[3]
+
+
+def test_repeats_in_long_texts(spark):
+    """A text of 3 MB, beyond the buffer, that shares stretches with itself and with short ones, across the stretches' borders too."""
+    r = np.random.default_rng(4)
+    noise = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8))
+    a, b, c = noise(900), noise(401), noise(399)
+    long = noise((1 << 20) - 300) + a + noise(1 << 20) + b + noise(900_000) + a + c
+    texts = [long, noise(300) + b, c + noise(10), noise(700)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.removal_digests(df).collect()}
+    want = [long.replace(a, b"").replace(b, b""), texts[1].replace(b, b""), texts[2], texts[3]]
+    assert [got[i] for i in range(4)] == [(len(t) - len(w), n, hashlib.sha256(w).hexdigest()) for t, w, n in zip(texts, want, (3, 1, 0, 0), strict=True)]
+
+
 def test_repeats_keep_characters_whole_and_columns(docs):
     out = substrings.remove_repeats(docs, 64)
     assert out.columns == docs.columns
