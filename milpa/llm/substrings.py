@@ -2,7 +2,7 @@
 
 Sorting every suffix of a large corpus isn't needed to find these strings, so the work is cut down first, without losing any:
 
-1. Every window of ``length`` bytes names an anchor: the position in it whose ``length / 2``-gram hashes lowest (leftmost of equals). The
+1. Every window of ``length`` bytes names an anchor: the position in it whose gram of a third of ``length`` hashes lowest (leftmost of equals). The
    choice depends on the window's bytes alone, so equal windows have equal anchors at equal distance. Consecutive windows with one
    anchor form a *context*. A window can only repeat if its anchor's hash does.
 2. Anchors and contexts are counted. A context that occurs twice or more, bytes and alignment equal, is repeated as a whole; copies
@@ -33,9 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from milpa.llm._shared import U64, bytes_of, hashes_of, mix, reliable, slices, texts_of
+from milpa.llm._shared import U64, bytes_of, hashes_of, mix, slices, texts_of, written
 
 COVER, BUFFER, BUCKET, GROUP_BYTES, SPANS, PASSAGES = 64, 1 << 20, 1 << 16, 8 << 20, "_repeated_spans", "_passage_bytes"
+#: An anchor is found by so many hundredths of a window: fewer make fewer contexts, but more of them that share an anchor and not all bytes.
+GRAM, WORD_GRAM = 32, 20
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -135,7 +137,7 @@ def _find_contexts(length: int, passage: int | None):
             data, ends = bytes_of(texts_of(batch.column("text")))
             raw, values = data.tobytes(), _powers()["byte"]
             for base, stop, cuts in _stretches(len(data), ends, length):
-                text, first, last, at, anchor = contexts(values[data[base:stop]], cuts, length, length // 2)
+                text, first, last, at, anchor = contexts(values[data[base:stop]], cuts, length, length * GRAM // 100)
                 content = _content(raw, first + base, last + base + length, at - first, last - first)
                 start = base - (cuts[text] if len(text) else 0)
                 yield rows(batch, text, first + start, last + start, at - first, anchor, content, False)
@@ -143,7 +145,7 @@ def _find_contexts(length: int, passage: int | None):
                 begin, close = word_places(data, ends)
                 hashed, word_ends = _word_hashes(raw, begin, close), np.searchsorted(begin, ends)
                 for base, stop, cuts in _stretches(len(begin), word_ends, passage):
-                    text, first, last, at, anchor = contexts(hashed[base:stop], cuts, passage, max(1, passage // 3))
+                    text, first, last, at, anchor = contexts(hashed[base:stop], cuts, passage, max(1, passage * WORD_GRAM // 100))
                     if not len(text):
                         continue
                     # equal words are equal bytes here but for white space, which is left out of the hash
@@ -403,7 +405,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, words: int | None = None,
     counted = found.groupBy("anchor", "content").agg(F.count("*").alias("n"))
     per_anchor = Window.partitionBy("anchor")  # over counted contexts, not over occurrences
     counted = counted.select("*", F.sum("n").over(per_anchor).alias("times"), F.count("*").over(per_anchor).alias("kinds")).where("times > 1")
-    kept = reliable(found.join(counted, ["anchor", "content"]).select("doc_id", "text_key", "lo", "hi", "passage", "anchor", "content", (F.col("n") == 1).alias("single"), (F.col("kinds") > 1).alias("mixed")))
+    kept = written(found.join(counted, ["anchor", "content"]).select("doc_id", "text_key", "lo", "hi", "passage", "anchor", "content", (F.col("n") == 1).alias("single"), (F.col("kinds") > 1).alias("mixed")))
 
     stop = F.when(F.col("passage"), F.col("hi")).otherwise(F.col("hi") + length)
     whole = kept.where("not single").select("doc_id", "text_key", "lo", stop.alias("stop"), "passage")
