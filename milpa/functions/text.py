@@ -19,7 +19,7 @@ def _bare(c: str) -> str:
 
 
 # Latin letters whose bare form is one letter, by Unicode's own tables
-_LATIN = {chr(i): _bare(chr(i)) for i in range(0xC0, 0x250) if len(_bare(chr(i))) == 1 and _bare(chr(i)) != chr(i)}
+_LATIN = {chr(i): _bare(chr(i)) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(_bare(chr(i))) == 1 and _bare(chr(i)) != chr(i)}
 
 
 @F.pandas_udf(T.StringType())
@@ -38,8 +38,13 @@ def strip(c: Column) -> Column:
 
 
 def strip_accents(c: Column, full: bool = False) -> Column:
-    """Lower case without accents; null stays null. ``full`` goes beyond Latin letters, in an Arrow batch."""
-    return _strip_any(F.lower(c)) if full else F.translate(F.lower(c), "".join(_LATIN), "".join(_LATIN.values()))
+    """Lower case without accents, whether letters carry them or they stand alone; null stays null.
+
+    ``full`` goes beyond Latin letters, in an Arrow batch.
+    """
+    if full:
+        return _strip_any(F.lower(c))
+    return F.regexp_replace(F.translate(F.lower(c), "".join(_LATIN), "".join(_LATIN.values())), r"\p{Mn}", "")
 
 
 def clean_post(c: Column, phrases: Iterable[str] = lexicons.UI_PHRASES) -> Column:
@@ -93,10 +98,18 @@ def date(c: Column) -> Column:
     return F.when(F.regexp_like(strip(c), F.lit(r"^\d{4}-\d{2}-\d{2}$")), strip(c).try_cast("date"))
 
 
-def canonical_name(c: Column, mapping: Mapping[str, str] = lexicons.CANONICAL_STATES) -> Column:
-    """One look-up; names not in the map pass."""
-    known = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
-    return F.coalesce(F.try_element_at(known, F.trim(c)), F.trim(c))
+def repaired(c: Column) -> Column:
+    """A text whose UTF-8 bytes were read as Latin-1, read rightly; any other text as it is."""
+    garbled = F.regexp_like(c, F.lit(r"[\u00C2-\u00F4][\u0080-\u00BF]")) & F.regexp_like(c, F.lit(r"^[\u0000-\u00FF]*$"))
+    raw = F.encode(F.when(garbled, c), "ISO-8859-1").cast("string")
+    return F.when(garbled & F.is_valid_utf8(raw), raw).otherwise(c)
+
+
+def canonical_name(c: Column, mapping: Mapping[str, str] = lexicons.STATE_NAMES) -> Column:
+    """Garbled names are repaired, others looked up once; names not in the map pass."""
+    known, name = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair)), F.trim(c)
+    right = repaired(name)
+    return F.when(right != name, right).otherwise(F.coalesce(F.try_element_at(known, name), name))
 
 
 def clean_page(c: Column) -> Column:

@@ -104,7 +104,11 @@ def apply_rules(df: DataFrame, rules: Sequence[tuple[str, str, str]], column: st
     return df.withColumn(column, c)
 
 
-def scrub(chunks: DataFrame, headers: Sequence[str] = lexicons.HEADER_LINES, rules: Sequence[tuple[str, str, str]] = (), excluded: Sequence[str] = ()) -> DataFrame:
+#: The default rules of D7: what is taken out of one document.
+RULES = tuple((lexicons.LAW, pattern, "") for pattern in lexicons.LAW_RULES)
+
+
+def scrub(chunks: DataFrame, headers: Sequence[str] = lexicons.HEADER_LINES, rules: Sequence[tuple[str, str, str]] = RULES, excluded: Sequence[str] = ()) -> DataFrame:
     """Without excluded documents, header lines and what rules remove; emptied chunks go, ids stay."""
     out = apply_rules(exclude(chunks, excluded).withColumn("texto", drop_lines(F.col("texto"), headers)), rules)
     return out.withColumn("texto", text.squeeze(F.col("texto"))).where("texto != ''")

@@ -17,7 +17,8 @@ PLACE = ("lugar_detectado", "municipio_alcaldia", "estado", "nivel_ubicacion")
 def seed(spark: SparkSession) -> dict[str, DataFrame]:
     """L1: the fixed dimension rows."""
     rows = lambda key, names: spark.createDataFrame([(i, n) for i, n in enumerate(names, 1)], f"{key} int, nombre string")
-    return {"ambitos_violencia": rows("id_ambito", lexicons.SCOPES), "tipos_violencia": rows("id_tipo_violencia", lexicons.VIOLENCE_TYPES), "tipos_contenido": rows("id_tipo_contenido", lexicons.CONTENT_TYPES)}
+    sources = spark.createDataFrame([(i, *r) for i, r in enumerate(lexicons.SOURCES, 1)], "id_fuente int, nombre string, tipo_fuente string, url string, descripcion string").withColumn("fecha_consulta", F.current_date())
+    return {"fuentes": sources, "ambitos_violencia": rows("id_ambito", lexicons.SCOPES), "tipos_violencia": rows("id_tipo_violencia", lexicons.VIOLENCE_TYPES), "tipos_contenido": rows("id_tipo_contenido", lexicons.CONTENT_TYPES)}
 
 
 def folded(c: Column) -> Column:
@@ -26,7 +27,10 @@ def folded(c: Column) -> Column:
 
 
 def get_or_create(dim: DataFrame, incoming: DataFrame, keys: Sequence[str], key_col: str) -> tuple[DataFrame, DataFrame]:
-    """``(dimension, new rows)``: combinations not yet there, nulls equal, get the next keys in order. Only the new ones are numbered together."""
+    """``(dimension, new rows)``: combinations not yet there, nulls equal, get the next keys in order.
+
+    New rows are numbered within ranges of their order, and ranges by their counts, so that no task holds all of them.
+    """
     known = dim.select(*(F.col(k).alias(f"_{k}") for k in keys))
     fresh = incoming.select(*keys).distinct()
     match = None
@@ -37,22 +41,35 @@ def get_or_create(dim: DataFrame, incoming: DataFrame, keys: Sequence[str], key_
     if any(t == "string" for _, t in fresh.dtypes):  # spellings that are compared as equal are one
         fresh = fresh.groupBy(*(folded(F.col(k)).alias(f"_{k}") if t == "string" else F.col(k).alias(f"_{k}") for k, t in fresh.dtypes)).agg(F.min(F.struct(*keys)).alias("r")).select("r.*")
     top = dim.agg(F.coalesce(F.max(key_col), F.lit(0)).alias("top"))
-    new = fresh.withColumn("_n", F.row_number().over(Window.orderBy(*keys))).join(F.broadcast(top)).withColumn(key_col, (F.col("_n") + F.col("top")).cast(dim.schema[key_col].dataType)).drop("_n", "top")
+    hashed = F.spark_partition_id()
+    ranged = fresh.repartitionByRange(*keys).withColumn("_part", hashed)
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = counts.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    new = ranged.withColumn("_n", place).join(F.broadcast(before), "_part").join(F.broadcast(top)).withColumn(key_col, (F.col("_n") + F.col("_before") + F.col("top")).cast(dim.schema[key_col].dataType)).select(*keys, key_col)
     return dim.unionByName(new, allowMissingColumns=True), new
 
 
+def existing_key(dim: DataFrame, name: str, key_col: str, name_col: str = "nombre") -> int:
+    """L2, strict: the key of a row that must be there; an error if it isn't."""
+    row = dim.where(F.col(name_col) == name).agg(F.min(key_col).alias("k")).first()
+    if row["k"] is None:
+        raise ValueError(f"no {name_col} {name!r} in the dimension")
+    return row["k"]
+
+
 def lookup(fact: DataFrame, dim: DataFrame, name_col: str, key_col: str, dim_name: str = "nombre") -> DataFrame:
     """L3: adds the key of the name, case and accents aside; unknown names give null."""
     d = dim.groupBy(folded(F.col(dim_name)).alias("_name")).agg(F.min(key_col).alias(key_col))
     return fact.join(d, folded(fact[name_col]) == d["_name"], "left").drop("_name")
 
 
-def lookup_null_safe(fact: DataFrame, dim: DataFrame, cols: Sequence[str], key_col: str) -> DataFrame:
-    """L4: adds the key of a combination in which nulls are equal; a null in the last but one column (the state) gives null."""
+def lookup_null_safe(fact: DataFrame, dim: DataFrame, cols: Sequence[str], key_col: str, needed: Sequence[str] = ("estado",)) -> DataFrame:
+    """L4: adds the key of a combination in which nulls are equal; a null in a column of ``needed`` (the state) gives null."""
     d = dim.groupBy(*(F.col(c).alias(f"_{c}") for c in cols)).agg(F.min(key_col).alias(key_col))
     match = None
     for c in cols:
-        one = fact[c].eqNullSafe(d[f"_{c}"])
+        one = fact[c] == d[f"_{c}"] if c in needed else fact[c].eqNullSafe(d[f"_{c}"])
         match = one if match is None else match & one
     return fact.join(d, match, "left").drop(*(f"_{c}" for c in cols))
 
@@ -148,9 +165,9 @@ def guarded_load(chunks: DataFrame, existing: DataFrame, docs: DataFrame, doc_ke
 
 
 def update_attributes(docs: DataFrame, attrs: DataFrame, key: str = "nombre") -> tuple[DataFrame, DataFrame]:
-    """``(documents with new attribute values by composed name, attributes of unknown documents)``."""
+    """``(documents with new attribute values by composed name, attributes of unknown documents)``. Of several values for a name the greatest counts."""
     columns = [c for c in attrs.columns if c != key]
-    a = attrs.select(text.compose(F.col(key)).alias("_k"), *(F.col(c).alias(f"_{c}") for c in columns))
+    a = attrs.groupBy(text.compose(F.col(key)).alias("_k")).agg(*(F.max(c).alias(f"_{c}") for c in columns))
     out = docs.withColumn("_k", text.compose(F.col(key))).join(a, "_k", "left")
     updated = out.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).select(*docs.columns)
     known = docs.select(text.compose(F.col(key)).alias("_k")).distinct()

@@ -101,19 +101,22 @@ def t12_duplicate_key(spark, d):
     return read(spark, d, "documents").select("doc_id", text.duplicate_key(F.col("text")).alias("key"))
 
 
-@query(r"SELECT doc_id, text || CASE WHEN regexp_matches(text, '(?i)\bthat\b') THEN ' (one)' ELSE '' END || CASE WHEN regexp_matches(text, '(?i)\bmit\b') THEN ' (two)' ELSE '' END AS expanded FROM documents WHERE lang = 'en'")
-def t13_expand_acronyms(spark, d):
-    return read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.expand_acronyms(F.col("text"), {"that": "one", "mit": "two"}).alias("expanded"))
+_ENDS = r"(^|$|[^\p{L}\p{N}_])"
 
 
-_ENDS = r"(^|$|[^\p{L}\p{N}_])"
+EXPANDED = rf"SELECT doc_id, text || CASE WHEN regexp_matches(text, '(?i){_ENDS}that{_ENDS}') THEN ' (one)' ELSE '' END || CASE WHEN regexp_matches(text, '(?i){_ENDS}mit{_ENDS}') THEN ' (two)' ELSE '' END AS expanded FROM documents"
 
 
-@query(rf"SELECT doc_id, text || CASE WHEN regexp_matches(text, '(?i){_ENDS}that{_ENDS}') THEN ' (one)' ELSE '' END || CASE WHEN regexp_matches(text, '(?i){_ENDS}mit{_ENDS}') THEN ' (two)' ELSE '' END AS expanded FROM documents")
-def t13_expand_acronyms_all_languages(spark, d):
+@query(EXPANDED)
+def t13_expand_acronyms(spark, d):
     return read(spark, d, "documents").select("doc_id", text.expand_acronyms(F.col("text"), {"that": "one", "mit": "two"}).alias("expanded"))
 
 
+@query(EXPANDED)
+def t13_expand_acronyms_all_languages(spark, d):
+    return t13_expand_acronyms(spark, d)
+
+
 # ---- posts --------------------------------------------------------------------------------------------------------------------
 def dumps(spark: SparkSession, d: str) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
@@ -134,14 +137,17 @@ def p2_fields(spark, d):
     return read(spark, d, "documents").select("doc_id", f["user"].alias("handle"), f["date"].alias("dated"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 7 < 6 THEN 2021 + doc_id % 7 END AS y, CASE doc_id % 3 WHEN 0 THEN 'violencia familiar' WHEN 1 THEN 'violencia sexual' ELSE 'otra' END || CASE WHEN doc_id % 7 = 6 THEN ' 2027' ELSE '' END AS topic FROM documents WHERE doc_id % 7 < 6 OR doc_id % 3 = 2")
+PARSED = "SELECT doc_id, CASE WHEN doc_id % 7 < 6 THEN 2021 + doc_id % 7 END AS y, CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 7 = 6 THEN 'familiar 2027' ELSE 'violencia familiar' END WHEN 1 THEN CASE WHEN doc_id % 7 = 6 THEN 'sexual 2027' ELSE 'violencia sexual' END ELSE 'otra' || CASE WHEN doc_id % 7 = 6 THEN ' 2027' ELSE '' END END AS topic FROM documents"
+
+
+@query(PARSED)
 def p3_parse_name(spark, d):
-    return parsed_names(read(spark, d, "documents").where("doc_id % 7 < 6 or doc_id % 3 = 2"))
+    return parsed_names(read(spark, d, "documents"))
 
 
-@query()
+@query(PARSED)
 def p3_parse_name_all(spark, d):
-    return parsed_names(read(spark, d, "documents"))
+    return p3_parse_name(spark, d)
 
 
 def parsed_names(docs: DataFrame) -> DataFrame:
@@ -292,16 +298,15 @@ def i7_union_files(spark, d):
     return indicators.union_files([first_source(spark, d), second_source(spark, d)]).select("entidad", "anio", "valor", "n_regionkey")
 
 
-@query(f"WITH f AS (SELECT * FROM {F1}), full_ AS (SELECT entidad FROM f GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT anio) FROM f)) SELECT n_regionkey, entidad, anio, NULL::VARCHAR AS categoria, valor FROM f JOIN full_ USING (entidad)")
+@query(f"WITH f AS (SELECT entidad, n_regionkey, anio, valor FROM {F1}), y AS (SELECT DISTINCT anio FROM f), e AS (SELECT DISTINCT n_regionkey, entidad FROM f) SELECT e.n_regionkey, e.entidad, y.anio, NULL::VARCHAR AS categoria, CAST(coalesce(f.valor, 0) AS DOUBLE) AS valor FROM e CROSS JOIN y LEFT JOIN f USING (n_regionkey, entidad, anio)")
 def i8_i10_nested_to_long(spark, d):
     facts = first_source(spark, d)
     years = facts.select(F.col("anio")).distinct().agg(F.array_sort(F.collect_set("anio")).alias("years"))
-    rows = facts.groupBy("n_regionkey", "entidad").agg(F.array_sort(F.collect_list(F.struct("anio", F.format_string("%,.2f", "valor").alias("v")))).alias("c"))
-    rows = rows.join(F.broadcast(years)).where("size(c) = size(years)")
-    tokens = F.concat(F.split("entidad", " "), F.transform("c", lambda x: x["v"]))
+    rows = facts.groupBy("n_regionkey", "entidad").agg(F.map_from_entries(F.collect_list(F.struct("anio", F.format_string("%,.2f", "valor").alias("v")))).alias("c")).join(F.broadcast(years))
+    tokens = F.concat(F.split("entidad", " "), F.transform("years", lambda y: F.coalesce(F.try_element_at("c", y), F.lit("0.00"))))
     tables = rows.groupBy("n_regionkey", "years").agg(F.collect_list(tokens).alias("body"))
     tables = tables.select("n_regionkey", F.concat(F.transform("years", lambda y: F.array(y.cast("string"))), "body").alias("rows"))
-    return indicators.nested_to_long(tables).select("n_regionkey", "entidad", F.col("anio").cast("long").alias("anio"), "categoria", "valor")
+    return indicators.nested_to_long(tables).select("n_regionkey", "entidad", F.col("anio").cast("long").alias("anio"), "categoria", F.col("valor").cast("double").alias("valor"))
 
 
 @query("SELECT s_suppkey, 'Entidad;Valor' AS head, 2 AS n, 'X ' || s_nationkey AS first FROM supplier")
@@ -430,24 +435,24 @@ def r5_sample(spark, d):
 WANTED = {"the of": r"the\s+of", "digits": r"\b\d{1,2}\b", "license": r"License"}
 
 
-@query("SELECT documento, chunk_id, pattern FROM (" + " UNION ALL ".join(f"SELECT documento, chunk_id, '{k}' AS pattern FROM {CHUNKS} WHERE regexp_matches(texto, '(?i){p}')" for k, p in list(WANTED.items())[::2]) + ")")
+@query("SELECT documento, chunk_id, pattern FROM (" + " UNION ALL ".join(f"SELECT documento, chunk_id, '{k}' AS pattern FROM {CHUNKS} WHERE regexp_matches(texto, '(?i){p}')" for k, p in WANTED.items()) + ")")
 def r6_residual(spark, d):
-    return review.residual(chunks(spark, d), {k: p for k, p in list(WANTED.items())[::2]})
+    return review.residual(chunks(spark, d), WANTED)
 
 
-@query("SELECT documento, pattern, times, times > 0 AS ok FROM (" + " UNION ALL ".join(f"SELECT documento, '{k}' AS pattern, len(regexp_extract_all(t, '(?i){p}')) AS times FROM (SELECT documento, string_agg(texto, chr(10) ORDER BY chunk_id) AS t FROM {CHUNKS} WHERE documento = 'src4' GROUP BY 1)" for k, p in list(WANTED.items())[::2]) + ")")
+@query("SELECT documento, pattern, times, times > 0 AS ok FROM (" + " UNION ALL ".join(f"SELECT documento, '{k}' AS pattern, len(regexp_extract_all(t, '(?i){p}')) AS times FROM (SELECT documento, string_agg(texto, chr(10) ORDER BY chunk_id) AS t FROM {CHUNKS} WHERE documento = 'src4' GROUP BY 1)" for k, p in WANTED.items()) + ")")
 def r7_preserved(spark, d):
-    return review.preserved(chunks(spark, d), "src4", {k: p for k, p in list(WANTED.items())[::2]}).withColumn("times", F.col("times").cast("long"))
+    return review.preserved(chunks(spark, d), "src4", WANTED).withColumn("times", F.col("times").cast("long"))
 
 
-@query("SELECT documento, chunk_id, pattern FROM (" + " UNION ALL ".join(f"SELECT documento, chunk_id, '{k}' AS pattern FROM {CHUNKS} WHERE regexp_matches(texto, '(?i){p}')" for k, p in WANTED.items()) + ")")
+@query(SQL["r6_residual"])
 def r6_residual_all_patterns(spark, d):
-    return review.residual(chunks(spark, d), WANTED)
+    return r6_residual(spark, d)
 
 
-@query("SELECT documento, pattern, times, times > 0 AS ok FROM (" + " UNION ALL ".join(f"SELECT documento, '{k}' AS pattern, len(regexp_extract_all(t, '(?i){p}')) AS times FROM (SELECT documento, string_agg(texto, chr(10) ORDER BY chunk_id) AS t FROM {CHUNKS} WHERE documento = 'src4' GROUP BY 1)" for k, p in WANTED.items()) + ")")
+@query(SQL["r7_preserved"])
 def r7_preserved_all_patterns(spark, d):
-    return review.preserved(chunks(spark, d), "src4", WANTED).withColumn("times", F.col("times").cast("long"))
+    return r7_preserved(spark, d)
 
 
 @query(f"SELECT b.documento, b.chunk_id, length({STRIP('b.texto')}) AS before, length({STRIP('a.texto')}) AS after FROM {CHUNKS} b JOIN {SCRUBBED} a USING (documento, chunk_id) WHERE {STRIP('b.texto')} <> {STRIP('a.texto')}")
@@ -645,12 +650,12 @@ def l10_chunk_facts(spark, d):
     return warehouse.chunk_facts(chunks(spark, d), docs).drop("texto")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT source) AS documents FROM documents WHERE source IN ('src1', 'src2')")
+@query("SELECT count(*) AS rows, count(DISTINCT source) AS documents FROM documents")
 def l11_guarded_load(spark, d):
     keyed = chunks(spark, d).withColumn("id_documento", F.substring("documento", 4, 9).cast("int")).select("id_documento", "chunk_id", "texto")
     new = keyed.where("id_documento = 1").drop("id_documento")
-    docs = spark.createDataFrame([(1, 0, False), (2, 0, True)], "id_documento int, total_chunks int, incluido_rag boolean")
-    facts, _ = warehouse.guarded_load(new, keyed.where("id_documento = 2"), docs, 1, new.count())
+    docs = keyed.select("id_documento").distinct().withColumns({"total_chunks": F.lit(0), "incluido_rag": F.lit(False)})
+    facts, _ = warehouse.guarded_load(new, keyed.where("id_documento != 1"), docs, 1, new.count())
     return facts.agg(F.count("*").alias("rows"), F.count_distinct("id_documento").alias("documents"))
 
 

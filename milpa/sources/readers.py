@@ -6,20 +6,25 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NESTED = "tema string, subtema string, indicador string, tabla struct<columnas: array<string>, filas: array<array<string>>>"
 CHUNKS = "documento string, pagina int, chunk_id int, texto string"
 
 
+def file_name() -> Column:
+    """The name of a row's file; Spark gives it in the form that addresses have, a blank as ``%20``."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """``file, text``, one row a file."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(file_name().alias("file"), F.col("value").alias("text"))
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with header and ``archivo_origen``; files that aren't UTF-8 are read as Latin-1, decided file by file."""
+    """CSV with header and ``archivo_origen``; files that aren't UTF-8 are read as Latin-1, decided file by file; an empty folder has no rows."""
     kinds = spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
     by = {True: [], False: []}
     for row in kinds.toLocalIterator():
@@ -29,7 +34,9 @@ def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
         if files:
             reader = spark.read.option("header", True).option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
             df = (reader.schema(schema) if schema else reader).csv(files)
-            parts.append(df.withColumn("archivo_origen", F.col("_metadata.file_name")))
+            parts.append(df.withColumn("archivo_origen", file_name()))
+    if not parts:
+        return spark.createDataFrame([], f"{schema}, archivo_origen string" if schema else "archivo_origen string")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from milpa.functions import text
+from milpa.functions import lexicons, text
 from milpa.operators import documents, indicators, posts, questions, review, search, warehouse
 from milpa.sources import readers, writers
 
@@ -214,3 +214,69 @@ def test_files(spark, tmp_path):
     writers.csv(spark.range(2), str(tmp_path / "o"))
     writers.per_document(spark.createDataFrame([("d", 1)], "documento string, n int"), str(tmp_path / "p"))
     assert (tmp_path / "p/documento=d").is_dir() and next((tmp_path / "o").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbf")
+
+
+def test_accents_on_letters_and_alone(spark):
+    df = spark.createDataFrame([("CAFÉ",), ("cafe\u0301s",), ("Ệ Việt",), (None,), ("İ",)], "t string")
+    assert [r[0] for r in df.select(text.strip_accents(F.col("t"))).collect()] == ["cafe", "cafes", "e viet", None, "i"]
+    assert df.where("t like 'cafe%'").select(text.clean_post(F.col("t"))).first()[0] == "cafes"
+
+
+def test_garbled_names_are_repaired_by_rule(spark):
+    names = ["México", "Köln", "Łódź", "Nuevo León", "São Paulo"]
+    df = spark.createDataFrame([(n.encode().decode("latin-1"), n) for n in names] + [("Coahuila de Zaragoza", "Coahuila"), ("Querétaro ", "Querétaro"), ("Â", "Â"), (None, None)], "given string, want string")
+    assert [r[0] == r[1] for r in df.select(text.canonical_name(F.col("given")), "want").collect()] == [True] * 9
+
+
+def test_places_without_a_state_have_no_key(spark):
+    dim = spark.createDataFrame([("x", None, 1), (None, None, 7)], "municipio_alcaldia string, estado string, k int")
+    fact = spark.createDataFrame([(1, "x", None), (2, None, None)], "i int, municipio_alcaldia string, estado string")
+    assert [r["k"] for r in warehouse.lookup_null_safe(fact, dim, ["municipio_alcaldia", "estado"], "k").collect()] == [None, None]
+
+
+def test_new_keys_run_on_over_many_ranges(spark):
+    dim = spark.createDataFrame([(5, "b0010")], "id int, nombre string")
+    names = spark.range(1000).selectExpr("format_string('b%04d', id) as nombre").repartition(7)
+    out, new = warehouse.get_or_create(dim, names, ["nombre"], "id")
+    got = {r["nombre"]: r["id"] for r in out.collect()}
+    assert len(got) == 1000 and sorted(got.values()) == [5, *range(6, 1005)] and [got[k] for k in sorted(got) if k != "b0010"] == list(range(6, 1005))
+    assert warehouse.existing_key(dim, "b0010", "id") == 5
+    with pytest.raises(ValueError):
+        warehouse.existing_key(dim, "absent", "id")
+
+
+def test_repeated_attribute_names_do_not_multiply_documents(spark):
+    docs = spark.createDataFrame([(1, "café", "old")], "i int, nombre string, url string")
+    attrs = spark.createDataFrame([("café", "a"), ("cafe\u0301", "b"), ("none", "c")], "nombre string, url string")
+    updated, unknown = warehouse.update_attributes(docs, attrs)
+    assert [tuple(r) for r in updated.collect()] == [(1, "café", "b")] and [r["url"] for r in unknown.collect()] == ["c"]
+
+
+def test_rules_of_one_document_hold_by_default(spark):
+    df = spark.createDataFrame([(lexicons.LAW, 0, "Última Reforma DOF 15-01-2026\nArtículo 1\n20 de 88"), ("x", 0, "20 de 88")], "documento string, chunk_id int, texto string")
+    assert {r["documento"]: r["texto"] for r in documents.scrub(df).collect()} == {lexicons.LAW: "Artículo 1", "x": "20 de 88"}
+
+
+def test_seed_rows_of_all_dimensions(spark):
+    assert {k: v.count() for k, v in warehouse.seed(spark).items()} == {"fuentes": 4, "ambitos_violencia": 4, "tipos_violencia": 7, "tipos_contenido": 7}
+
+
+def test_csv_files_of_both_encodings_and_an_empty_folder(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.csv").write_bytes("entidad,anio\nMéxico,2021\n".encode())
+    (tmp_path / "a" / "two.csv").write_bytes("entidad,anio\nYucatán,2016\n".encode("latin-1"))
+    got = {(r["entidad"], r["anio"], r["archivo_origen"]) for r in readers.csv(spark, str(tmp_path / "a"), "entidad string, anio string").collect()}
+    assert got == {("México", "2021", "one.csv"), ("Yucatán", "2016", "two.csv")}
+    (tmp_path / "b").mkdir()
+    assert readers.csv(spark, str(tmp_path / "b"), "entidad string, anio string").count() == 0
+
+
+def test_text_json_and_chunk_files(spark, tmp_path):
+    for name in ("t", "n", "c"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "t" / "violencia sexual 2021.txt").write_text("uno\n\ndos")
+    (tmp_path / "n" / "x.json").write_text('[{"tema": "a", "subtema": "b", "indicador": "c", "tabla": {"columnas": ["x"], "filas": [["1", "2"]]}}]')
+    (tmp_path / "c" / "y.json").write_text('[{"documento": "d", "pagina": 1, "chunk_id": 0, "texto": "t"}]')
+    assert [tuple(r) for r in readers.texts(spark, str(tmp_path / "t")).collect()] == [("violencia sexual 2021.txt", "uno\n\ndos")]
+    assert readers.nested_json(spark, str(tmp_path / "n")).first()["tabla"]["filas"] == [["1", "2"]]
+    assert tuple(readers.chunk_files(spark, str(tmp_path / "c")).first()) == ("d", 1, 0, "t")
