@@ -95,6 +95,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20)
     for batch in batches:
         if not batch.num_rows:
             continue
+        pa.default_memory_pool().release_unused()
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         first = 0
         while first < batch.num_rows:

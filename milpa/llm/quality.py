@@ -358,12 +358,14 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, rounds:
     lessons = {x: Lessons(rows, found[x].to_numpy().astype(float), weight * (len(weight) / weight.sum()), held, model.sizes) for x in TARGETS}
     del found, slots, meta
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    by_surest = Window.partitionBy("which").orderBy("minus_q", "text_key")
+    in_bin = Window.partitionBy("which", F.pmod("text_key", F.lit(64))).orderBy("minus_q", "text_key")
+    by_surest = Window.partitionBy("which").orderBy("minus_q", "text_key")  # over what 64 bins have left
     for _ in range(rounds):
         model.views = {x: (y.fitted(0), y.fitted(1)) for x, y in lessons.items()}
         told = {x: [np.array(sorted(z), np.int64) for z in y.told] for x, y in lessons.items()}
         seen = keyed.mapInArrow(model.surest(sure, per_round, doc_ids, told), "which int, q double, text_key long, doc_id long, content array<int>, meta array<int>")
         different = seen.groupBy("which", "text_key").agg(F.min(F.struct((-F.col("q")).alias("minus_q"), "doc_id", "content", "meta")).alias("s")).select("which", "text_key", "s.*")
+        different = different.withColumn("nth", F.row_number().over(in_bin)).where(F.col("nth") <= per_round)
         picks = different.withColumn("nth", F.row_number().over(by_surest)).where(F.col("nth") <= per_round).toArrow().sort_by([("which", "ascending"), ("nth", "ascending")])
         which, keys, pick_rows = picks["which"].to_numpy(), picks["text_key"].to_numpy(), (Rows.from_arrow(picks["content"]), Rows.from_arrow(picks["meta"]))
         new = 0

@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from milpa.llm._shared import U64, bytes_of, hashes_of, mix, slices, texts_of, written
 
-COVER, BUFFER, BUCKET, GROUP_BYTES, SPANS, PASSAGES = 64, 1 << 20, 1 << 16, 8 << 20, "_repeated_spans", "_passage_bytes"
+COVER, BUFFER, BUCKET, GROUP_BYTES, SPANS, PASSAGES = 64, 1 << 20, 1 << 16, 2 << 20, "_repeated_spans", "_passage_bytes"
 #: An anchor is found by so many hundredths of a window: fewer make fewer contexts, but more of them that share an anchor and not all bytes.
 GRAM, WORD_GRAM = 32, 20
 _tables: dict[str, np.ndarray] = {}
