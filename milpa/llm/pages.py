@@ -17,9 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from milpa.llm._shared import slices
+from milpa.llm._shared import slices, written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|textarea|iframe|svg|title|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+#: Winning paths of all hosts are broadcast up to so many bytes; beyond, pages of one host are dealt to ``SALTS`` tasks.
+BROADCAST_BYTES, SALTS = 64 << 20, 64
+
+#: What may stand in a tag. No part runs beyond the next ``<`` but a short quoted one, so broken markup costs time in proportion to its length.
+_INSIDE = r"""(?:[^<>"'/]|/(?!>)|"[^"<]*+"|'[^'<]*+'|"[^"]{0,2000}+"|'[^']{0,2000}+')*+"""
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<svg\b{_INSIDE}/>|<(script|style|noscript|template|textarea|iframe|svg|title|select|button|object)\b(?:{_INSIDE}/?|[^<>]*+)>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*+)({_INSIDE}/?|[^<>]*+)>|<[!?][^<>]*+>|[^<]+|<",
+    re.S | re.I,
+)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -40,7 +48,9 @@ class Page:
     """Blocks of text in page order, and the containers above them."""
 
     def __init__(self, html: str | None):
-        self.paths, self.parents, self.tags, self.out = ["body"], [-1], ["body"], [False]
+        # a path is a number: its parent's path and its last name, so that deep pages don't hold long texts for every element
+        self.steps: dict[tuple[int, str], int] = {(-1, "body"): 0}
+        self.paths, self.parents, self.tags, self.out = [0], [-1], ["body"], [False]
         self.blocks: list[tuple[int, str, float]] = []  # container or block element, text, share of it in links
         stack, text, linked, in_link = [0], [], 0, 0
         inline: list[tuple[str, int, bool]] = []  # open inline elements: tag, blocks open around it, whether it is left out
@@ -108,7 +118,7 @@ class Page:
                 name += "." + re.sub(r"\d+", "N", first[0].lower())
         parent = stack[-1]
         self.out.append(self.out[parent] or left_out or tag in _OUT or self._named_out(attributes))
-        self.paths.append(f"{self.paths[parent]}>{name}")
+        self.paths.append(self.steps.setdefault((self.paths[parent], name), len(self.steps)))
         self.parents.append(parent)
         self.tags.append(tag)
         stack.append(len(self.tags) - 1)
@@ -133,7 +143,24 @@ class Page:
         if not score:
             return None
         node = max(score, key=lambda n: (score[n], -n))
-        return self.paths[self._widened(node)], score[node]
+        return self.written(self.paths[self._widened(node)]), score[node]
+
+    def written(self, path: int) -> str:
+        """A path as text."""
+        steps, names = list(self.steps), []
+        while path >= 0:
+            path, name = steps[path]
+            names.append(name)
+        return ">".join(reversed(names))
+
+    def path(self, written: str | None) -> int | None:
+        """The path that a text names, if the page has it."""
+        at: int | None = -1
+        for name in (written or "").split(">"):
+            at = self.steps.get((at, name))
+            if at is None:
+                return None
+        return at
 
     def _widened(self, node: int) -> int:
         """The article around ``node``, or the outermost parent up to which all other text is low in links; only what adds text counts."""
@@ -146,7 +173,7 @@ class Page:
         for n, text, link in self.blocks:
             whole[n] += len(text)
             linked[n] += len(text) * link
-        same: dict[tuple[int, str], list[float]] = {}  # text and links of the elements at one path in one parent
+        same: dict[tuple[int, int], list[float]] = {}  # text and links of the elements at one path in one parent
         for n in range(len(self.tags) - 1, 0, -1):
             p = self.parents[n]
             of = same.setdefault((p, self.paths[n]), [0.0, 0.0])
@@ -163,8 +190,9 @@ class Page:
             widest, node = p if more >= 1 else widest, p
         return widest
 
-    def _inside(self, paths: tuple[str, ...]) -> list[bool]:
-        inside = [p in paths for p in self.paths]
+    def _inside(self, paths: tuple[str | None, ...]) -> list[bool]:
+        wanted = {self.path(x) for x in paths}
+        inside = [p in wanted for p in self.paths]
         for n in range(1, len(inside)):
             inside[n] |= inside[self.parents[n]]
         return inside
@@ -197,7 +225,7 @@ def _extract(batches):
             page = Page(html)
             best = page.best()
             own = best and best[0]
-            if path not in page.paths:
+            if page.path(path) is None:
                 path = own
             if own != path and (much := page.unlinked(own) if own else 0) >= _LEAST_OWN and page.unlinked(path) < _LEAST_PART * much:
                 texts.append(page.text(path, own))
@@ -222,4 +250,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     vote and are returned each. Further columns are ignored; an empty table gives an empty table.
     """
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("host", host_of(F.col("url")))
-    return rows.join(host_paths(pages), "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, path string")
+    winners = written(host_paths(pages))
+    if winners.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 32), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(winners), "host", "left")
+    else:  # more hosts than every executor can hold: a hot host's pages are dealt to several tasks
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, path string")

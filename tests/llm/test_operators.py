@@ -519,6 +519,24 @@ def test_main_text_of_nothing(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a x ", '<a "', "<script <", "<div>", "<!x ", "<p title='"])
+def test_broken_and_deep_markup_takes_time_in_proportion(piece):
+    import time
+
+    start = time.process_time()
+    page = pages.Page(piece * (1_000_000 // len(piece)) if piece != "<div>" else piece * 100_000 + "deep text")
+    page.text(*(page.best() or (None,))[:1])
+    assert time.process_time() - start < 20
+
+
+def test_many_hosts_are_joined_by_salt(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.org/{i}", f"<body><div class=m{i % 3}><p>{'text ' * 20}{i}</p></div></body>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, pages.main_text(df).collect()))
+    monkeypatch.setattr(pages, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, pages.main_text(df).collect())) == want and len(want) == 30
+
+
 def test_broken_markup():
     for html in ("<div", "<p>a</div></p>b", "<!-- never ends", "<script>x", "a < b <3 c", "</p>" * 50, "<b><i><p>" * 300 + "deep"):
         page = pages.Page(html)
