@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,10 +18,14 @@ U64 = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it; without one nothing is written anywhere."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that ``spark.checkpoint.dir`` names. Where it is unset, one is made in local mode only, as in tests; a cluster must name it."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
