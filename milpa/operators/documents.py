@@ -78,7 +78,7 @@ def pack_pages(pages: DataFrame, max_chars: int = 1400, overlap: int = 1) -> Dat
 def number_chunks(chunks: DataFrame, min_chars: int = 100) -> DataFrame:
     """Chunks below ``min_chars`` are dropped, the others numbered from 1 by page and place within a document.
 
-    Only counts per page are put in order; texts keep their place.
+    Over a whole document only counts per page are put in order; texts are sorted within their page.
     """
     kept = chunks.where(F.length(F.trim("texto")) >= min_chars).withColumn("in_page", F.row_number().over(Window.partitionBy("documento", "pos").orderBy("chunk_pos")))
     counts = kept.groupBy("documento", "pos").agg(F.count("*").alias("n"))
