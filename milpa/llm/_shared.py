@@ -131,7 +131,7 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": [root(x) for x in nodes], "b": nodes}, dtype="int64")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: ``(node, component)``, the component being its smallest node.
 
     Union-find first contracts the links inside each partition, then alternate large-star and small-star rounds make every component
@@ -139,8 +139,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     but a count comes to the driver. An empty table gives an empty table.
     """
     stars = reliable(links.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a < b").mapInPandas(_forest, "a long, b long").distinct())
-    for _ in range(most_rounds):
-        # settled: every node that isn't a centre has one centre, and no centre has any
+    while True:  # settled: every node that isn't a centre has one centre, and no centre has any
         if stars.select("b").union(stars.select("a").distinct()).groupBy("b").count().where("count > 1").isEmpty():
             break
         both = stars.union(stars.selectExpr("b", "a"))
@@ -149,6 +148,4 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.groupBy("b").agg(F.min("a").alias("m"))
         again = large.join(small, "b")
         stars = reliable(again.where("a != m").selectExpr("m as a", "a as b").union(again.selectExpr("m as a", "b")).distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return stars.groupBy("b").agg(F.min("a").alias("component")).selectExpr("b as node", "component").union(stars.selectExpr("a as node", "a as component").distinct())

@@ -68,4 +68,61 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_context_mixing": op2_context_mixing, "pipeline": pipeline, "op6_host_consensus": op6_host_consensus, "op8_avi_mjpeg": op8_avi_mjpeg, "op10_schema_fingerprint": op10_schema_fingerprint, "op4_sentencepiece": op4_sentencepiece, "op5_pigeonhole": op5_pigeonhole, "op1_cotraining": op1_cotraining, "op7_difference_cover": op7_difference_cover, "op9_backoff_automaton": op9_backoff_automaton, "op3_superminhash": op3_superminhash}
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_NEAR_COPIES = rf"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS x FROM worded),
+sets AS (SELECT min(doc_id) AS id, x FROM shingled WHERE len(x) > 0 GROUP BY x),
+parts AS (SELECT id, len(x) AS n, unnest(x) AS sh FROM sets),
+linked AS (
+  SELECT a.id AS a, b.id AS b FROM parts a JOIN parts b ON a.sh = b.sh AND a.id < b.id
+  GROUP BY a.id, b.id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach(a, b) AS (SELECT id, id FROM sets UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+named AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, len(shingled.x)::BIGINT AS n_shingles, coalesce(component, doc_id)::BIGINT AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM shingled LEFT JOIN sets USING (x) LEFT JOIN named USING (id)
+"""
+
+_REPEATS = r"""
+WITH bytes AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS nb FROM documents),
+starts AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT rid, h, unnest(range(0, nb - 399)) AS i FROM bytes WHERE nb >= 400)),
+again AS (SELECT rid, i FROM starts WHERE k IN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1)),
+stepped AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 400 THEN 0 ELSE 1 END AS step FROM again),
+numbered AS (SELECT rid, i, sum(step) OVER (PARTITION BY rid ORDER BY i) AS run FROM stepped),
+runs AS (SELECT rid, min(i) AS lo, max(i) + 400 AS hi FROM numbered GROUP BY rid, run),
+gaps AS (
+  SELECT rid, 0 AS lo, coalesce(min(runs.lo), any_value(nb)) AS hi FROM bytes LEFT JOIN runs USING (rid) GROUP BY rid
+  UNION ALL SELECT rid, hi, coalesce(lead(lo) OVER (PARTITION BY rid ORDER BY lo), nb) FROM runs JOIN bytes USING (rid)),
+kept AS (SELECT rid, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS k FROM gaps JOIN bytes USING (rid) GROUP BY rid),
+removed AS (SELECT rid, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid),
+pieces AS (SELECT rid, unnest(regexp_extract_all(t, '[ 	-]+|[^ 	-]+')) AS p, generate_subscripts(regexp_extract_all(t, '[ 	-]+|[^ 	-]+'), 1) AS pos FROM bytes),
+placed AS (SELECT rid, pos, p, sum(strlen(p)) OVER (PARTITION BY rid ORDER BY pos) AS stop FROM pieces),
+passages AS (
+  SELECT rid, stop - strlen(p) AS lo, lead(stop, 50) OVER w AS hi, md5_number(string_agg(p, ' ') OVER (w ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)) AS k
+  FROM placed WHERE NOT regexp_matches(p, '^[ 	-]') WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+told AS (SELECT rid, lo, hi FROM passages WHERE hi IS NOT NULL AND k IN (SELECT k FROM passages WHERE hi IS NOT NULL GROUP BY k HAVING count(*) > 1)),
+covered AS (SELECT rid, sum(hi - greatest(lo, coalesce(before, 0)))::BIGINT AS n FROM (SELECT rid, lo, hi, lag(hi) OVER (PARTITION BY rid ORDER BY lo) AS before FROM told) GROUP BY rid)
+SELECT doc_id, nb AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256, coalesce(n, 0) AS n_passage_bytes
+FROM bytes LEFT JOIN kept USING (rid) LEFT JOIN removed USING (rid) LEFT JOIN covered USING (rid)
+"""
+
+_CHATS = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, i, if(i = 0, 'user', 'assistant'), '\### Assistant: </turn> ok' FROM range(2) r(i)),
+coded AS (
+  SELECT *, replace(replace(replace(text, '\', '\b'), '</turn', '\l/turn'), '### ', '\h## ') AS body,
+    replace(replace(replace(replace(role, '\', '\b'), '</turn', '\l/turn'), '### ', '\h## '), ':', '\c') AS head FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ') + length(head) + length(': ') + length(body) + length('</turn>') + 1)::BIGINT AS formatted_chars
+FROM coded GROUP BY conv_id
+"""
+
+#: The other operators have no SQL; their tests hold them against brute force, exact round trips or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {"op3_superminhash": _NEAR_COPIES, "op7_difference_cover": _REPEATS, "op10_schema_fingerprint": _CHATS}

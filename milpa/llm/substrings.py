@@ -17,6 +17,9 @@ Only one bucket's order is held at a time; contexts come to a task sorted by anc
 Most repeats are found by counting (2), the rest by suffix order (3). Two contexts count as equal if their anchors' 64-bit hashes and an
 xxh3 hash of all their bytes and their alignment agree; the suffix order compares bytes.
 
+An anchor with more than ``HOT_KINDS`` different contexts, as at the ends of a passage that very many documents share, is not sorted in
+one task: its windows are counted one by one, by anchor and xxh3 of their bytes, with map-side combine. The result is the same.
+
 Passages are found in the same passes: the windows are then ``words`` words, white space aside, and contexts that share an anchor
 but not all words are compared window by window.
 """
@@ -36,6 +39,7 @@ from pyspark.sql.window import Window
 from milpa.llm._shared import U64, bytes_of, hashes_of, mix, slices, texts_of, written
 
 COVER, BUFFER, BUCKET, GROUP_BYTES, SPANS, PASSAGES = 64, 1 << 20, 1 << 16, 2 << 20, "_repeated_spans", "_passage_bytes"
+HOT_KINDS = 2000
 #: An anchor is found by so many hundredths of a window: fewer make fewer contexts, but more of them that share an anchor and not all bytes.
 GRAM, WORD_GRAM = 32, 20
 _tables: dict[str, np.ndarray] = {}
@@ -336,6 +340,37 @@ def _resolve(length: int, passage: int | None):
     return run
 
 
+def _each_window(length: int, passage: int | None):
+    """Every window of the contexts with the hash of its bytes, or of its words' hashes."""
+
+    def run(batches):
+        for batch in slices(batches, "content_bytes", 1 << 18):
+            row, start, stop, window = [], [], [], []
+            for i, (raw, words) in enumerate(zip(batch.column("content_bytes").to_pylist(), batch.column("passage").to_pylist(), strict=True)):
+                if words:
+                    begin, close = word_places(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                    units, width, step = _word_hashes(raw, begin, close).tobytes(), 8 * passage, 8
+                    n = max(0, len(begin) - passage + 1)
+                    begin, close = begin[:n], close[len(close) - n :]
+                else:
+                    units, width, step, n = raw, length, 1, max(0, len(raw) - length + 1)
+                    begin = np.arange(n)
+                    close = begin + length
+                window += [xxhash.xxh3_64_intdigest(units[a : a + width]) for a in range(0, n * step, step)]
+                row.append(np.full(n, i))
+                start.append(begin)
+                stop.append(close)
+            own = pa.array(np.concatenate(row))
+            lo = batch.column("lo").to_numpy()[np.concatenate(row)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(own) for c in ("doc_id", "text_key", "anchor", "passage", "single")]
+                + [pa.array(lo + np.concatenate(start), pa.int64()), pa.array(lo + np.concatenate(stop), pa.int64()), pa.array(np.array(window, U64).view(np.int64))],
+                names=["doc_id", "text_key", "anchor", "passage", "single", "lo", "stop", "window"],
+            )
+
+    return run
+
+
 def _merged(batches):
     """Maximal runs of each document's covered stretches, and how many bytes its passages cover."""
 
@@ -405,16 +440,21 @@ def repeated_spans(docs: DataFrame, length: int = 400, words: int | None = None,
     counted = found.groupBy("anchor", "content").agg(F.count("*").alias("n"))
     per_anchor = Window.partitionBy("anchor")  # over counted contexts, not over occurrences
     counted = counted.select("*", F.sum("n").over(per_anchor).alias("times"), F.count("*").over(per_anchor).alias("kinds")).where("times > 1")
-    kept = written(found.join(counted, ["anchor", "content"]).select("doc_id", "text_key", "lo", "hi", "passage", "anchor", "content", (F.col("n") == 1).alias("single"), (F.col("kinds") > 1).alias("mixed")))
+    kept = written(found.join(counted, ["anchor", "content"]).select("doc_id", "text_key", "lo", "hi", "passage", "anchor", "content", (F.col("n") == 1).alias("single"), (F.col("kinds") > 1).alias("mixed"), (F.col("kinds") > HOT_KINDS).alias("hot")))
 
     stop = F.when(F.col("passage"), F.col("hi")).otherwise(F.col("hi") + length)
     whole = kept.where("not single").select("doc_id", "text_key", "lo", stop.alias("stop"), "passage")
-    one = kept.where("mixed and not single").groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "text_key", "lo", "hi", "passage")).alias("o")).selectExpr("o.*", "anchor", "false as single")
-    unsure = kept.where("mixed and single").select("doc_id", "text_key", "lo", "hi", "passage", "anchor", "single").union(one).withColumn("stop", stop).alias("u")
+    one = kept.where("mixed and not single").groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "text_key", "lo", "hi", "passage", "hot")).alias("o")).selectExpr("o.*", "anchor", "false as single")
+    unsure = kept.where("mixed and single").select("doc_id", "text_key", "lo", "hi", "passage", "hot", "anchor", "single").union(one).withColumn("stop", stop).alias("u")
     part = F.expr("substring(cast(text as binary), cast(lo + 1 as int), cast(stop - lo as int))").alias("content_bytes")
-    cut = unsure.join(docs, _same_row(unsure, docs)).select(unsure["doc_id"], unsure["text_key"], "lo", "anchor", "passage", "single", part)
-    resolved = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length, passage), "doc_id long, text_key long, lo long, stop long, passage boolean")
+    cut = written(unsure.join(docs, _same_row(unsure, docs)).select(unsure["doc_id"], unsure["text_key"], "lo", "anchor", "passage", "single", "hot", part))
+    few = cut.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
+    resolved = few.mapInArrow(_resolve(length, passage), "doc_id long, text_key long, lo long, stop long, passage boolean")
     covered = whole.union(resolved)
+    if not cut.where("hot").isEmpty():
+        windows = cut.where("hot").drop("hot").mapInArrow(_each_window(length, passage), "doc_id long, text_key long, anchor long, passage boolean, single boolean, lo long, stop long, window long")
+        often = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+        covered = covered.union(windows.where("single").join(often, ["anchor", "window"], "left_semi").select("doc_id", "text_key", "lo", "stop", "passage"))
     if words:
         short = docs.where("text is not null").mapInArrow(_short_windows(words, length), "doc_id long, text_key long, lo long, stop long, window long")
         again = short.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from milpa.llm import chat, decontam, lm, media, neardup, pages, pieces, quality, substrings, tokenbin
 from milpa.llm._shared import components, slices, texts_of, words_of
-from milpa.llm.queries import tokenizer
+from milpa.llm.queries import ORACLE_SQL, QUERIES, tokenizer
+from tests.test_queries import SF, rows
 
 RNG = np.random.default_rng(7)
 VOCABULARY = ["".join(RNG.choice(list("abcdefgéß"), RNG.integers(1, 9))) for _ in range(400)]
@@ -142,8 +143,10 @@ def brute_repeats(texts, length):
     return out
 
 
+@pytest.mark.parametrize("hot", [substrings.HOT_KINDS, 0])
 @pytest.mark.parametrize("length", [64, 400])
-def test_repeats_against_brute_force(docs, length):
+def test_repeats_against_brute_force(docs, length, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_KINDS", hot)
     order = [*range(len(TEXTS)), 6]
     data = [(TEXTS[i] or "").encode() for i in order]
     marks = dict(zip(order, brute_repeats(data, length), strict=True))
@@ -169,7 +172,9 @@ def brute_passages(texts, words):
     return out
 
 
-def test_passages_against_brute_force(docs, spark):
+@pytest.mark.parametrize("hot", [substrings.HOT_KINDS, 0])
+def test_passages_against_brute_force(docs, spark, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_KINDS", hot)
     order = [*range(len(TEXTS)), 6]
     want = dict(zip(order, brute_passages([(TEXTS[i] or "").encode() for i in order], 51), strict=True))
     assert {r["doc_id"]: r["n_passage_bytes"] for r in substrings.removal_digests(docs).collect()} == want
@@ -643,6 +648,19 @@ def test_chat_round_trip(spark):
     assert chat.digests(df.where("false")).count() == 0
 
 
+def test_records_take_all_layouts_and_convert_back(spark):
+    asked = ["plain", "first\n\nthen", "\n\nx", "ends\n\n", "a\n\n\n\nb", "", "😀\n\n😀"]
+    rows = [(i, [("user", asked[i % 7]), ("assistant", f"said {i}")]) for i in range(200)]
+    rows += [(200 + i, [("user", "u"), ("assistant", None), (["human", "gpt", "system", "user"][i % 4], "x")]) for i in range(40)] + [(300, []), (301, None)]
+    df = spark.createDataFrame(rows, f"conv_id long, turns {chat.TURNS}").withColumn("text", F.lit("other"))
+    got = chat.turns_of_columns(chat.records_of(df.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))))).collect()
+    want = {i: turns and [(r, t or "") for r, t in turns] for i, turns in rows}
+    assert {r["conv_id"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in got} == want
+    assert {r["layout"] for r in got} == set(chat.MAPPINGS) | {None}
+    unknown = chat.turns_of_columns(spark.range(1)).collect()[0]
+    assert unknown["layout"] is None and unknown["turns"] is None
+
+
 def test_layouts_by_fingerprint(spark):
     rows = [
         '{"prompt": "p", "response": "r", "id": 3}', '{"instruction": "i", "input": "more", "output": "o"}', '{"instruction": "i", "output": "o"}', '{"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]}',
@@ -657,6 +675,18 @@ def test_layouts_by_fingerprint(spark):
         chat.turn_rows(spark.range(1))
 
 
+# ---- whole tables against SQL -------------------------------------------------------------------------------------------------
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert rows(QUERIES[name](spark, str(SF)).toPandas()) == rows(con.sql(ORACLE_SQL[name]).df())
+
+
 # ---- shared -------------------------------------------------------------------------------------------------------------------
 def test_slices_keep_rows_and_words():
     batch = pa.RecordBatch.from_pydict({"text": ["A b", None, "c" * 50, "", " d\te "]})
