@@ -89,7 +89,10 @@ FROM shingled LEFT JOIN sets USING (x) LEFT JOIN named USING (id)
 
 _REPEATS = r"""
 WITH bytes AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS nb FROM documents),
-starts AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT rid, h, unnest(range(0, nb - 399)) AS i FROM bytes WHERE nb >= 400)),
+blocks AS (SELECT rid, 400 * b AS base, substr(h, 800 * b + 1, 1598) AS p FROM (SELECT rid, h, unnest(range(0, (nb + 399) // 400)) AS b FROM bytes)),
+starts AS MATERIALIZED (
+  SELECT rid, base + j AS i, md5_number(substr(p, 2 * j + 1, 800)) AS k
+  FROM (SELECT rid, base, p, unnest(range(0, length(p) // 2 - 399)) AS j FROM blocks WHERE length(p) >= 800)),
 again AS (SELECT rid, i FROM starts WHERE k IN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1)),
 stepped AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 400 THEN 0 ELSE 1 END AS step FROM again),
 numbered AS (SELECT rid, i, sum(step) OVER (PARTITION BY rid ORDER BY i) AS run FROM stepped),
@@ -99,11 +102,16 @@ gaps AS (
   UNION ALL SELECT rid, hi, coalesce(lead(lo) OVER (PARTITION BY rid ORDER BY lo), nb) FROM runs JOIN bytes USING (rid)),
 kept AS (SELECT rid, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS k FROM gaps JOIN bytes USING (rid) GROUP BY rid),
 removed AS (SELECT rid, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid),
-pieces AS (SELECT rid, unnest(regexp_extract_all(t, '[ 	-]+|[^ 	-]+')) AS p, generate_subscripts(regexp_extract_all(t, '[ 	-]+|[^ 	-]+'), 1) AS pos FROM bytes),
+pieces AS (SELECT rid, unnest(regexp_extract_all(t, '[ 	-
+]+|[^ 	-
+]+')) AS p, generate_subscripts(regexp_extract_all(t, '[ 	-
+]+|[^ 	-
+]+'), 1) AS pos FROM bytes),
 placed AS (SELECT rid, pos, p, sum(strlen(p)) OVER (PARTITION BY rid ORDER BY pos) AS stop FROM pieces),
 passages AS (
   SELECT rid, stop - strlen(p) AS lo, lead(stop, 50) OVER w AS hi, md5_number(string_agg(p, ' ') OVER (w ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)) AS k
-  FROM placed WHERE NOT regexp_matches(p, '^[ 	-]') WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+  FROM placed WHERE NOT regexp_matches(p, '^[ 	-
+]') WINDOW w AS (PARTITION BY rid ORDER BY pos)),
 told AS (SELECT rid, lo, hi FROM passages WHERE hi IS NOT NULL AND k IN (SELECT k FROM passages WHERE hi IS NOT NULL GROUP BY k HAVING count(*) > 1)),
 covered AS (SELECT rid, sum(hi - greatest(lo, coalesce(before, 0)))::BIGINT AS n FROM (SELECT rid, lo, hi, lag(hi) OVER (PARTITION BY rid ORDER BY lo) AS before FROM told) GROUP BY rid)
 SELECT doc_id, nb AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256, coalesce(n, 0) AS n_passage_bytes
