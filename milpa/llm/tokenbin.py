@@ -293,10 +293,21 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
     return tokenizer, [{}, {}]
 
 
+def the_tokenizer(path: str):
+    return _tokenizer(path)[0]
+
+
+@cache
+def special_texts(path: str) -> list[str]:
+    """Texts that have an id of their own wherever they stand."""
+    return sorted(t.content for t in the_tokenizer(path).get_added_tokens_decoder().values())
+
+
 def _encoded(words: list[str], tokenizer) -> dict[str, bytes]:
     """Ids of each word. Words of a leading space and no other white space go to the library 64 in a text, a line break after each:
     its pattern makes the break a token of its own there."""
@@ -312,11 +323,11 @@ def _encoded(words: list[str], tokenizer) -> dict[str, bytes]:
     return out
 
 
-def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each followed by ``end``, and offsets by text.
+def encode_all(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts as the tokenizer gives them, and offsets by text.
 
     The tokenizer's pattern always starts a new token at a single space between other characters, so such texts are cut there and the library encodes
-    each distinct word once; texts with any other white space beside a space are encoded as a whole.
+    each distinct word once; texts with any other white space beside a space, or with a special text, are encoded as a whole.
     """
     tokenizer, known = _tokenizer(path)
     words = pc.split_pattern(texts, " ")
@@ -324,6 +335,8 @@ def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.n
     coded = words.flatten().dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64)
     odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+    for special in special_texts(path):
+        odd = odd | pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
     first = np.zeros(len(codes), bool)
     first[ends[:-1]] = True
     key = codes * 2 + first
@@ -339,9 +352,16 @@ def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.n
     sizes = np.where(odd, 0, np.diff(ends))
     flat, cuts = gathered(np.frombuffer(b"".join(ids), np.int32), np.cumsum([0] + [len(x) // 4 for x in ids]), place, np.concatenate([[0], np.cumsum(sizes)]))
     whole = {int(i): np.array(e.ids, np.int32) for i, e in zip(np.flatnonzero(odd), tokenizer.encode_batch([texts[int(i)].as_py() for i in np.flatnonzero(odd)], add_special_tokens=False), strict=True)}
-    stop = np.array([end], np.int32)
-    parts = [x for i in range(len(texts)) for x in (whole.get(i, flat[cuts[i] : cuts[i + 1]]), stop)]
-    return np.concatenate([*parts, np.zeros(0, np.int32)]), np.cumsum([0] + [len(parts[2 * i]) + 1 for i in range(len(texts))])
+    if not whole:
+        return flat, cuts
+    parts = [whole.get(i, flat[cuts[i] : cuts[i + 1]]) for i in range(len(texts))]
+    return np.concatenate([*parts, np.zeros(0, np.int32)]), np.cumsum([0] + [len(x) for x in parts])
+
+
+def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, each followed by ``end``, and offsets by text."""
+    ids, cuts = encode_all(texts, path)
+    return np.insert(ids, cuts[1:], end), cuts + np.arange(len(cuts))
 
 
 def _write(path: str, end: int):
