@@ -94,8 +94,9 @@ def year(c: Column) -> Column:
 
 
 def date(c: Column) -> Column:
-    """An ISO date, else null."""
-    return F.when(F.regexp_like(strip(c), F.lit(r"^\d{4}-\d{2}-\d{2}$")), strip(c).try_cast("date"))
+    """A date by year, month and day, with or without leading zeros, parted by ``-`` or ``/``, a time of day behind it or not; else null."""
+    day = F.regexp_extract(strip(c), r"^(\d{4}([-/])\d{1,2}\2\d{1,2})([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$", 1)
+    return F.replace(day, F.lit("/"), F.lit("-")).try_cast("date")
 
 
 def repaired(c: Column) -> Column:

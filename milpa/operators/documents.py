@@ -78,12 +78,14 @@ def pack_pages(pages: DataFrame, max_chars: int = 1400, overlap: int = 1) -> Dat
 def number_chunks(chunks: DataFrame, min_chars: int = 100) -> DataFrame:
     """Chunks below ``min_chars`` are dropped, the others numbered from 1 by page and place within a document.
 
-    Over a whole document only counts per page are put in order; texts are sorted within their page.
+    Over a whole document only counts per page are put in order; texts are sorted within their page. Null documents are one, and so are null
+    pages of a document, which come first.
     """
     kept = chunks.where(F.length(F.trim("texto")) >= min_chars).withColumn("in_page", F.row_number().over(Window.partitionBy("documento", "pos").orderBy("chunk_pos")))
     counts = kept.groupBy("documento", "pos").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("documento").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return kept.join(counts.select("documento", "pos", before.alias("before")), ["documento", "pos"]).select("documento", "pagina", (F.col("before") + F.col("in_page")).cast("int").alias("chunk_id"), "texto")
+    counts = counts.select(F.col("documento").alias("_d"), F.col("pos").alias("_p"), before.alias("before"))
+    return kept.join(counts, kept["documento"].eqNullSafe(counts["_d"]) & kept["pos"].eqNullSafe(counts["_p"])).select("documento", "pagina", (F.col("before") + F.col("in_page")).cast("int").alias("chunk_id"), "texto")
 
 
 def exclude(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -115,15 +117,21 @@ def scrub(chunks: DataFrame, headers: Sequence[str] = lexicons.HEADER_LINES, rul
 
 
 def scrub_stats(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per document and in all (null): chunks in, out, modified, emptied; characters before, after, removed."""
-    both = before.select("documento", "chunk_id", F.col("texto").alias("b")).join(after.select("documento", "chunk_id", F.col("texto").alias("a")), ["documento", "chunk_id"], "left")
+    """Per document and in all (``total``): chunks in, out, modified, emptied; characters before, after, removed.
+
+    Only lengths and hashes of texts move. Null documents are one, and so are null ids; a null text counts as empty.
+    """
+    told = lambda df, n: df.select(F.col("documento").alias(f"_d{n}"), F.col("chunk_id").alias(f"_c{n}"), F.coalesce(F.length("texto"), F.lit(0)).alias(f"_n{n}"), F.sha2(text.strip(F.coalesce("texto", F.lit(""))), 256).alias(f"_h{n}"))
+    b, a = told(before, "b").withColumnRenamed("_db", "documento"), told(after, "a")
+    both = b.join(a, b["documento"].eqNullSafe(a["_da"]) & b["_cb"].eqNullSafe(a["_ca"]), "left")
     out = both.rollup("documento").agg(
         F.count("*").alias("chunks_in"),
-        F.count("a").alias("chunks_out"),
-        F.count_if(text.strip(F.col("a")) != text.strip(F.col("b"))).alias("modified"),
-        F.count_if(F.col("a").isNull()).alias("emptied"),
-        F.sum(F.length("b")).alias("chars_before"),
-        F.sum(F.coalesce(F.length("a"), F.lit(0))).alias("chars_after"),
+        F.count("_ha").alias("chunks_out"),
+        F.count_if(F.col("_ha") != F.col("_hb")).alias("modified"),
+        F.count_if(F.col("_ha").isNull()).alias("emptied"),
+        F.sum("_nb").alias("chars_before"),
+        F.sum(F.coalesce("_na", F.lit(0))).alias("chars_after"),
+        (F.grouping("documento") == 1).alias("total"),
     )
     return out.withColumn("chars_removed", F.col("chars_before") - F.col("chars_after"))
 

@@ -75,11 +75,11 @@ def locate(c: Column, user: Column | None = None, places: Mapping[str, tuple] =
     user = F.lit(None).cast("string") if user is None else user
     whole = text.strip_accents(F.concat_ws(" ", c, user))
     order = sorted(places, key=len, reverse=True)
-    table = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(places[k][1]).cast("string").alias("town"), F.lit(places[k][0]).alias("state"), F.lit(places[k][2]).alias("level")) for k in order))
+    place = lambda k: F.struct(F.lit(k).alias("key"), F.lit(places[k][1]).cast("string").alias("town"), F.lit(places[k][0]).alias("state"), F.lit(places[k][2]).alias("level"))
     state, town, level = lexicons.NO_PLACE
     none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(town).cast("string").alias("town"), F.lit(state).alias("state"), F.lit(level).alias("level"))
-    # the text is bound to a variable first; inside the filter it would be worked out anew for every place
-    found = F.transform(F.array(whole), lambda w: F.coalesce(F.try_element_at(F.filter(table, lambda p: F.contains(w, p["key"])), F.lit(1)), none))
+    # the text is bound to a variable first, or it would be worked out anew for every place; the first hit ends the search
+    found = F.transform(F.array(whole), lambda w: F.coalesce(*(F.when(F.contains(w, F.lit(k)), place(k)) for k in order), none))
     return F.element_at(found, 1)
 
 
@@ -139,9 +139,12 @@ def flatten_posts(df: DataFrame, query: str, platform: str = "X") -> DataFrame:
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
-    """Of rows with equal keys (nulls equal) the one with the least ordinal, by aggregation rather than a sort."""
+    """Of rows with equal keys (nulls equal) the one with the least ordinal, by aggregation rather than a sort.
+
+    A null ordinal comes last; among equal ordinals the row of the least hash stays.
+    """
     rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordinal).alias("r"))
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col(ordinal).isNull(), F.col(ordinal), F.xxhash64(*rest))).alias("r"))
     return first.select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest)).select(df.columns)
 
 

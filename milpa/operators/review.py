@@ -34,17 +34,21 @@ def flags(df: DataFrame, short: int = 150, long: int = 1500) -> DataFrame:
 
 
 def duplicates(df: DataFrame) -> DataFrame:
-    """Adds ``is_duplicate``: the same text as an earlier chunk of its document. Found by hash and text of the key, with the first id aggregated."""
+    """Adds ``is_duplicate``: the same text as an earlier chunk of its document, null documents being one. Found by a hash of the key, with the first id
+    aggregated. A null text is no duplicate, a null id comes after none."""
     keyed = df.withColumn("_k", F.sha2(text.duplicate_key(F.col("texto")), 256))
-    first = keyed.groupBy("documento", "_k").agg(F.min("chunk_id").alias("_first"))
-    return keyed.join(first, ["documento", "_k"]).withColumn("is_duplicate", F.col("chunk_id") > F.col("_first")).drop("_k", "_first")
+    first = keyed.where("_k is not null").groupBy(F.col("documento").alias("_d"), F.col("_k").alias("_h")).agg(F.min("chunk_id").alias("_first"))
+    both = keyed.join(first, keyed["documento"].eqNullSafe(first["_d"]) & (keyed["_k"] == first["_h"]), "left")
+    return both.withColumn("is_duplicate", F.coalesce(F.col("chunk_id") > F.col("_first"), F.lit(False))).drop("_k", "_first", "_d", "_h")
 
 
 def strong_problems(df: DataFrame, short: int = 150, long: int = 1500) -> DataFrame:
-    """Per document and in all (null): chunks, those short, long, with control characters or duplicate, and their percent."""
-    bad = duplicates(flags(df, short, long)).withColumn("bad", F.expr("is_short or is_long or has_control or is_duplicate"))
+    """Per document and in all (``total``): chunks, those short, long, with control characters or duplicate, and their percent. A null text has no
+    problem, a null document is one of its own."""
+    bad = duplicates(flags(df, short, long)).withColumn("bad", F.expr("coalesce(is_short or is_long or has_control, false) or is_duplicate"))
     per = bad.groupBy(*KEY).agg(F.max("bad").alias("bad"))
-    return per.rollup("documento").agg(F.count("*").alias("chunks"), F.count_if("bad").alias("problems")).withColumn("percent", F.round(F.try_divide(100 * F.col("problems"), F.col("chunks")), 2))
+    sums = per.rollup("documento").agg(F.count("*").alias("chunks"), F.count_if("bad").alias("problems"), (F.grouping("documento") == 1).alias("total"))
+    return sums.withColumn("percent", F.round(F.try_divide(100 * F.col("problems"), F.col("chunks")), 2))
 
 
 def sample(df: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:

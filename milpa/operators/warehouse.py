@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from milpa.functions import lexicons, text
+from milpa.storage import written
 
 PLACE = ("lugar_detectado", "municipio_alcaldia", "estado", "nivel_ubicacion")
 
@@ -29,7 +30,8 @@ def folded(c: Column) -> Column:
 def get_or_create(dim: DataFrame, incoming: DataFrame, keys: Sequence[str], key_col: str) -> tuple[DataFrame, DataFrame]:
     """``(dimension, new rows)``: combinations not yet there, nulls equal, get the next keys in order.
 
-    New rows are numbered within ranges of their order, and ranges by their counts, so that no task holds all of them.
+    New rows are numbered within ranges of their order, and ranges by their counts, so that no task holds all of them. The ranges are a written
+    table: they are drawn once, whatever is planned, reused or tried again afterwards.
     """
     known = dim.select(*(F.col(k).alias(f"_{k}") for k in keys))
     fresh = incoming.select(*keys).distinct()
@@ -41,8 +43,7 @@ def get_or_create(dim: DataFrame, incoming: DataFrame, keys: Sequence[str], key_
     if any(t == "string" for _, t in fresh.dtypes):  # spellings that are compared as equal are one
         fresh = fresh.groupBy(*(folded(F.col(k)).alias(f"_{k}") if t == "string" else F.col(k).alias(f"_{k}") for k, t in fresh.dtypes)).agg(F.min(F.struct(*keys)).alias("r")).select("r.*")
     top = dim.agg(F.coalesce(F.max(key_col), F.lit(0)).alias("top"))
-    hashed = F.spark_partition_id()
-    ranged = fresh.repartitionByRange(*keys).withColumn("_part", hashed)
+    ranged = written(fresh.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = counts.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
@@ -124,7 +125,8 @@ def indicator_facts(df: DataFrame, kind: str, source_key: int) -> DataFrame:
 def enforce(df: DataFrame, schema: T.StructType | str, allowed: Mapping[str, Sequence[str] | DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(rows that fit, rejects with reasons)``: casts that fail and values outside the allowed ones are reasons.
 
-    Allowed values are a list, or the first column of a table, which is joined.
+    Allowed values are a list, or the first column of a table, which is joined. Reasons are in ``reasons``, or in ``reject_reasons`` where the rows
+    have a column of that name.
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     checks = [F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f"{f.name}: type")) for f in schema.fields]
@@ -137,8 +139,9 @@ def enforce(df: DataFrame, schema: T.StructType | str, allowed: Mapping[str, Seq
         else:
             unknown = ~F.col(c).isin(*values)
         checks.append(F.when(F.col(c).isNotNull() & unknown, F.lit(f"{c}: value")))
-    marked = df.withColumn("reasons", F.array_compact(F.array(*checks))).drop(*joined)
-    return marked.where("size(reasons) = 0").select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields)), marked.where("size(reasons) > 0")
+    told = "reject_reasons" if "reasons" in df.columns else "reasons"
+    marked = df.withColumn(told, F.array_compact(F.array(*checks))).drop(*joined)
+    return marked.where(f"size({told}) = 0").select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields)), marked.where(f"size({told}) > 0")
 
 
 def documents(chunks: DataFrame, source_map: DataFrame) -> tuple[DataFrame, DataFrame]:
