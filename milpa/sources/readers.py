@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import csv as _csv
+import io
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NESTED = "tema string, subtema string, indicador string, tabla struct<columnas: array<string>, filas: array<array<string>>>"
 CHUNKS = "documento string, pagina int, chunk_id int, texto string"
@@ -23,21 +28,33 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(file_name().alias("file"), F.col("value").alias("text"))
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CSV texts to ``archivo_origen, names, cells``, a row for each record; quotes may hold commas, quotes and line breaks."""
+    for batch in batches:
+        for file, body in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            rows = (r for r in _csv.reader(io.StringIO((body or "").removeprefix("\ufeff"), newline="")) if r)
+            names = next(rows, None)
+            while names and (some := list(islice(rows, 10_000))):
+                cells = [[c or None for c in r[: len(names)]] + [None] * (len(names) - len(r)) for r in some]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array([names] * len(some), pa.list_(pa.string())), pa.array(cells, pa.list_(pa.string()))], names=["archivo_origen", "names", "cells"])
+
+
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with header and ``archivo_origen``; files that aren't UTF-8 are read as Latin-1, decided file by file; an empty folder has no rows."""
-    kinds = spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
-    by = {True: [], False: []}
-    for row in kinds.toLocalIterator():
-        by[row["utf8"]].append(row["path"])
-    parts = []
-    for utf8, files in by.items():
-        if files:
-            reader = spark.read.option("header", True).option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
-            df = (reader.schema(schema) if schema else reader).csv(files)
-            parts.append(df.withColumn("archivo_origen", file_name()))
-    if not parts:
-        return spark.createDataFrame([], f"{schema}, archivo_origen string" if schema else "archivo_origen string")
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    """CSV with header and ``archivo_origen``; files that aren't UTF-8 are read as Latin-1, decided file by file; an empty folder has no rows.
+
+    Files are decoded and cut into records where they are read; of their paths the driver sees none. Columns go by name: those of ``schema``, a
+    cell that doesn't fit its type being null, or else all that any file has, as text. Empty cells are null, cells beyond the header are dropped.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path)
+    body = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    rows = raw.select(file_name().alias("file"), body.alias("text")).mapInArrow(_records, "archivo_origen string, names array<string>, cells array<string>")
+    if schema is None:
+        heads = [r[0] for r in rows.select("names").distinct().sort("names").collect()]  # the different headers, not the files
+        fields = [T.StructField(n, T.StringType()) for n in dict.fromkeys(x for h in heads for x in h)]
+    else:
+        fields = T.StructType.fromDDL(schema).fields
+    cell = lambda f: F.try_element_at("cells", F.array_position("names", f.name).cast("int")).try_cast(f.dataType).alias(f.name)
+    return rows.select(*(F.when(F.array_contains("names", f.name), cell(f)).alias(f.name) for f in fields), "archivo_origen")
 
 
 def nested_json(spark: SparkSession, path: str) -> DataFrame:
@@ -106,6 +123,13 @@ def chunk_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNKS).json(path, multiLine=True)
 
 
-def relational(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of a database."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def relational(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a database; with a numeric ``key`` in ``parts`` parallel ranges between its least and greatest value, null keys in the first."""
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if key is None:
+        return reader.option("dbtable", table).load()
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    ends = reader.option("dbtable", f"(SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {table}) ends").load().first()
+    if ends[0] is None:
+        return reader.option("dbtable", table).load()
+    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(int(ends[0])), upperBound=str(int(ends[1]) + 1), numPartitions=str(parts), **options).load()

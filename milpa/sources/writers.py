@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,34 @@ def summary(df: DataFrame) -> DataFrame:
 def relational(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
     """S9."""
     df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+
+
+def relational_swapped(df: DataFrame, url: str, table: str, **options: str) -> None:
+    """S9, all or nothing: rows go into a staged table, in parallel; a single transaction then puts them in the place of the table's.
+
+    A run that breaks off leaves the table as it was; the staged table, of a name of its own, can be dropped. The table must be there.
+    """
+    staged = f"{table}_{uuid.uuid4().hex[:12]}"
+    df.write.format("jdbc").options(url=url, dbtable=staged, **options).mode("errorifexists").save()
+    expected = df.sparkSession.read.format("jdbc").options(url=url, dbtable=staged, **options).load().count()
+    jvm = df.sparkSession._jvm
+    given = jvm.java.util.Properties()
+    for name in {"user", "password"} & options.keys():
+        given.setProperty(name, options[name])
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        dialect = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+        names = ", ".join(dialect.quoteIdentifier(c) for c in df.columns)
+        statement.executeUpdate(f"DELETE FROM {table}")
+        stored = statement.executeUpdate(f"INSERT INTO {table} ({names}) SELECT {names} FROM {staged}")
+        if stored != expected:
+            raise ValueError("not all staged rows were stored")
+        statement.executeUpdate(f"DROP TABLE {staged}")
+        connection.commit()
+    except BaseException:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
