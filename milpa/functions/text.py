@@ -20,6 +20,8 @@ def _bare(c: str) -> str:
 
 # Latin letters whose bare form is one letter, by Unicode's own tables
 _LATIN = {chr(i): _bare(chr(i)) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(_bare(chr(i))) == 1 and _bare(chr(i)) != chr(i)}
+# marks that stand alone
+_MARKS = "".join(chr(i) for i in range(0x300, 0x20000) if unicodedata.category(chr(i)) == "Mn")
 
 
 @F.pandas_udf(T.StringType())
@@ -44,7 +46,9 @@ def strip_accents(c: Column, full: bool = False) -> Column:
     """
     if full:
         return _strip_any(F.lower(c))
-    return F.regexp_replace(F.translate(F.lower(c), "".join(_LATIN), "".join(_LATIN.values())), r"\p{Mn}", "")
+    low = F.lower(c)
+    bare = F.translate(low, "".join(_LATIN) + _MARKS, "".join(_LATIN.values()))  # what has no counterpart is dropped
+    return F.when(F.octet_length(c) == F.char_length(c), low).otherwise(bare)
 
 
 def clean_post(c: Column, phrases: Iterable[str] = lexicons.UI_PHRASES) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +45,52 @@ def any_of(words: Sequence[str]) -> str:
     return "|".join(map(re.escape, words))
 
 
+def plain_word(pattern: str) -> bool:
+    return re.escape(pattern).replace("\\ ", " ") == pattern
+
+
 def found(c: Column, patterns: Sequence[str]) -> Column:
     """Whether any pattern is found: plain words as substrings, which is far quicker than trying them as a pattern at every place."""
-    plain = [p for p in patterns if re.escape(p).replace("\\ ", " ") == p]
+    plain = [p for p in patterns if plain_word(p)]
     rest = [p for p in patterns if p not in plain]
     tests = [F.contains(c, F.lit(p)) for p in plain] + ([F.regexp_like(c, F.lit("|".join(rest)))] if rest else [])
     return reduce(Column.__or__, tests)
 
 
+def first_words(c: Column, lists: Sequence[Sequence[str]]) -> Column:
+    """For each list of words the place, from 0, of the first of them in the list's order that the text holds, null if none: an array.
+
+    All words of all lists lie in one automaton, so a text is read once, however many words there are. A null text holds none.
+    """
+    lists = [list(words) for words in lists]
+
+    @F.pandas_udf("array<int>")
+    def hits(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        places: dict[str, list[tuple[int, int]]] = {}
+        for i, words in enumerate(lists):
+            for rank, word in reversed(list(enumerate(words))):
+                places.setdefault(word, []).append((i, rank))
+        automaton = ahocorasick.Automaton()
+        for word, where in places.items():
+            automaton.add_word(word, where)
+        automaton.make_automaton()
+
+        def one(t: str | None) -> list[int | None]:
+            best: list[int | None] = [None] * len(lists)
+            for where in {id(w): w for _, w in automaton.iter(t or "")}.values() if places else ():
+                for i, rank in where:
+                    if best[i] is None or rank < best[i]:
+                        best[i] = rank
+            return best
+
+        for s in texts:
+            yield s.map(one)
+
+    return hits(c)
+
+
 def flag(c: Column, words: Sequence[str] = lexicons.WOMEN_WORDS) -> Column:
     """P5: ``si`` if any word occurs, else ``incierto``."""
     return F.when(found(c, words), "si").otherwise("incierto")
@@ -65,9 +104,15 @@ def noise(c: Column, words: Sequence[str] = lexicons.SPAM_WORDS, min_len: int =
 
 
 def classify(c: Column, tiers: Mapping[str, Sequence[str]] = lexicons.CONTENT_TIERS, other: str = lexicons.OTHER) -> Column:
-    """The first tier any of whose patterns is found."""
-    kinds = list(tiers.items())
-    return reduce(lambda chain, t: chain.when(found(c, t[1]), t[0]), kinds[1:], F.when(found(c, kinds[0][1]), kinds[0][0])).otherwise(other)
+    """The first tier any of whose patterns is found. The plain words of all tiers are sought at once, then the patterns of the tiers before the one that they give."""
+    split = {k: ([p for p in patterns if plain_word(p)], [p for p in patterns if not plain_word(p)]) for k, patterns in tiers.items()}
+    hits = first_words(c, [words for words, _ in split.values()])
+
+    def chain(h: Column) -> Column:
+        tests = [h[i].isNotNull() | F.regexp_like(c, F.lit("|".join(rest))) if rest else h[i].isNotNull() for i, (_, rest) in enumerate(split.values())]
+        return F.coalesce(*(F.when(test, F.lit(k)) for k, test in zip(split, tests, strict=True)), F.lit(other))
+
+    return F.element_at(F.transform(F.array(hits), chain), 1)  # bound to a variable, or the automaton would run for every tier
 
 
 def locate(c: Column, user: Column | None = None, places: Mapping[str, tuple] = lexicons.PLACES) -> Column:
@@ -75,12 +120,10 @@ def locate(c: Column, user: Column | None = None, places: Mapping[str, tuple] =
     user = F.lit(None).cast("string") if user is None else user
     whole = text.strip_accents(F.concat_ws(" ", c, user))
     order = sorted(places, key=len, reverse=True)
-    place = lambda k: F.struct(F.lit(k).alias("key"), F.lit(places[k][1]).cast("string").alias("town"), F.lit(places[k][0]).alias("state"), F.lit(places[k][2]).alias("level"))
+    row = lambda k: F.struct(F.lit(k).alias("key"), F.lit(places[k][1]).cast("string").alias("town"), F.lit(places[k][0]).alias("state"), F.lit(places[k][2]).alias("level"))
     state, town, level = lexicons.NO_PLACE
     none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(town).cast("string").alias("town"), F.lit(state).alias("state"), F.lit(level).alias("level"))
-    # the text is bound to a variable first, or it would be worked out anew for every place; the first hit ends the search
-    found = F.transform(F.array(whole), lambda w: F.coalesce(*(F.when(F.contains(w, F.lit(k)), place(k)) for k in order), none))
-    return F.element_at(found, 1)
+    return F.coalesce(F.try_element_at(F.array(*map(row, order)), first_words(whole, [order])[0] + 1), none) if order else none
 
 
 def confidence(kind: Column, c: Column, base: Mapping[str, int] = lexicons.CONFIDENCE, strong: Mapping[str, Sequence[str]] = lexicons.STRONG_WORDS) -> Column:

@@ -280,3 +280,16 @@ def test_text_json_and_chunk_files(spark, tmp_path):
     assert [tuple(r) for r in readers.texts(spark, str(tmp_path / "t")).collect()] == [("violencia sexual 2021.txt", "uno\n\ndos")]
     assert readers.nested_json(spark, str(tmp_path / "n")).first()["tabla"]["filas"] == [["1", "2"]]
     assert tuple(readers.chunk_files(spark, str(tmp_path / "c")).first()) == ("d", 1, 0, "t")
+
+
+def test_words_of_all_lists_in_one_pass(spark):
+    lists = [["nuevo leon", "leon", "on"], ["x", "leon"], [], ["ñu", "日本"]]
+    texts = ["nuevo leon", "leones", "x on", "日本ñu", "", None, "o n"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(posts.first_words(F.col("t"), lists)).collect()]
+    assert got == [[next((i for i, w in enumerate(words) if w in (t or "")), None) for words in lists] for t in texts]
+
+
+def test_tiers_without_words_or_patterns(spark):
+    tiers = {"a": ["uno"], "b": [r"\bdos\b"], "c": [], "d": ["tres", r"\d+"]}
+    df = spark.createDataFrame([("uno dos",), ("dos tres",), ("dostres",), ("7",), ("nada",), (None,)], "t string")
+    assert [r[0] for r in df.select(posts.classify(F.col("t"), tiers, "z")).collect()] == ["a", "b", "d", "d", "z", "z"]
