@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 from milpa.llm._shared import slices, texts_of, words_of, written
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: bytes of text that are counted at a time, and cells of a block of (source, term) shares
-SLICE, CELLS = 16 << 20, 1 << 21
+#: bytes of text that are counted at a time, and terms in a block of (source, term) shares, about
+SLICE, TERMS = 16 << 20, 2048
 ROWS = "key string, records binary"
 
 
@@ -221,8 +221,7 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("value"), "item"))
     terms = above.withColumn("rank", place).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
 
-    cells = sizes.groupBy("lang").agg((F.count("*") * F.max("kinds")).alias("n")).agg(F.max("n")).first()[0] or 0
-    blocks = -(-cells // CELLS) or 1
+    blocks = -(-(sizes.agg(F.max("kinds")).first()[0] or 0) // TERMS) or 1
     left = shares.withColumn("block", F.expr(f"pmod(xxhash64(term), {blocks})")).groupBy("lang", "block")
     right = sizes.select("lang", "group", "p0", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).groupBy("lang", "block")
     far = left.cogroup(right).applyInPandas(_apart, "a long, b long, value long").groupBy("a", "b").agg(F.sum("value").alias("value"))

@@ -139,7 +139,7 @@ def concatenated(parts: list[np.ndarray], path: str) -> np.ndarray:
 
 def _short(path: str):
     def run(batches):
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             flat, cuts = encode_all(texts_of(batch.column("text")), path)
             ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((4 * cuts).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat, "<u4"))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
@@ -203,7 +203,7 @@ def encode(docs: DataFrame, path: str, whole: int = WHOLE) -> DataFrame:
 
 def _decoded(path: str):
     def run(batches):
-        for batch in slices(batches, "ids", 4 << 20):
+        for batch in slices(batches, "ids"):
             column = batch.column("ids").fill_null(b"")
             offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
             ids = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].tobytes()

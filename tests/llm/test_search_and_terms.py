@@ -63,7 +63,7 @@ def test_audit_against_brute_force(spark, seed, least, top):
 
 def test_audit_in_many_slices_and_blocks(spark, monkeypatch):
     rows = invented(4, very_long=True)
-    monkeypatch.setattr(divergence, "CELLS", 40)
+    monkeypatch.setattr(divergence, "TERMS", 3)
     assert {tuple(r) for r in divergence.audit(frame(spark, rows).coalesce(1), 20, 50).collect()} == audited(rows, 20, 50)
 
 
