@@ -22,20 +22,28 @@ from milpa.llm._shared import slices, written
 #: Winning paths of all hosts are broadcast up to so many bytes; beyond, pages of one host are dealt to ``SALTS`` tasks.
 BROADCAST_BYTES, SALTS = 64 << 20, 64
 
-#: What may stand in a tag. No part runs beyond the next ``<`` but a short quoted one, so broken markup costs time in proportion to its length.
-_INSIDE = r"""(?:[^<>"'/]|/(?!>)|"[^"<]*+"|'[^'<]*+'|"[^"]{0,2000}+"|'[^']{0,2000}+')*+"""
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<svg\b{_INSIDE}/>|<(script|style|noscript|template|textarea|iframe|svg|title|select|button|object)\b(?:{_INSIDE}/?|[^<>]*+)>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*+)({_INSIDE}/?|[^<>]*+)>|<[!?][^<>]*+>|[^<]+|<",
-    re.S | re.I,
-)
+#: What may stand in a tag whose quoted parts hold no ``<``; no part runs beyond the next one.
+_INSIDE = r"""(?:[^<>"'/]|/(?!>)|"[^"<]*+"|'[^'<]*+')*+/?"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*+)({_INSIDE})>|<[!?][^<>]*+>|[^<]+|<", re.S)
+_NAME, _REST, _STOP = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)"), re.compile(r"[^<>]*+>"), re.compile(r"[<>\"']")
+#: Elements that are left out with all they hold, of which the first are never without an end.
+_SWALLOWS, _LEFT_OUT = frozenset(("script", "style")), frozenset("template textarea iframe svg title select button object".split())
+_SAME = {t: re.compile(rf"</{t}\s*>" if t in _SWALLOWS else rf"<(/?){t}(?![\w:-])[^<>]*+>?", re.I) for t in _SWALLOWS | _LEFT_OUT}
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-_OUT = frozenset("nav header footer aside form menu dialog head figcaption".split())
+_OUT = frozenset("nav header footer aside form menu dialog head".split())
+#: Starts of these end an element of ``_LEFT_OUT`` that has no end of its own.
+_STARTS = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre header footer nav aside form figure address li dt dd tr td th tbody".split())
 _CONTAINER = frozenset("article main section div td body center".split())
-#: Words of classes, ids and roles that mark what isn't the article.
+#: Words of classes, ids and roles that mark what isn't the article; those that do so only where no other word stands with
+#: them; and words for parts, which say nothing themselves.
 _OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments complementary contentinfo cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted sidebar sponsor sponsored subscribe toolbar widget widgets".split()
+)
+_OUT_ALONE = frozenset("byline related recommended search share sharing signup social".split())
+_PARTS = frozenset(
+    "area articles author bar block body bottom box buttons consent container content count element footer group holder icons inner item items left line link links list main meta outer overlay panel posts primary reply right row secondary section slot text thread title top unit wrap wrapper".split()
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A host's path with less than a quarter of the text of the page's own is not trusted alone, if the latter has this many characters.
@@ -44,6 +52,67 @@ _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 _SPACE = re.compile(r"\s+")
 
 
+def _marks_out(name: str) -> bool:
+    """Whether a class, id or role is one of what isn't the article: ``ad-slot``, ``site-header``, ``share-links``, but not ``ad-hoc`` or ``share-price``."""
+    words = [w for w in re.split(r"[^a-z]+", name) if len(w) > 1]
+    said = [w for w in words if w in _OUT_WORDS or w not in _PARTS]
+    return bool(said) and (said[-1] in _OUT_WORDS or all(w in _OUT_WORDS or w in _OUT_ALONE for w in said))
+
+
+def _tag_end(page: str, at: int, ends: dict[int, int]) -> int:
+    """Where the tag ends of which ``at`` is inside, its quoted parts read whole; -1 if it has no end. What was found from a place is kept
+    in ``ends``, so that all tags of a page together read it once."""
+    passed = []
+    while at not in ends:
+        passed.append(at)
+        stop = _STOP.search(page, at)
+        if stop is None or stop[0] == "<":
+            ends[at] = -1
+        elif stop[0] == ">":
+            ends[at] = stop.end()
+        else:
+            close = page.find(stop[0], stop.end()) + 1
+            if not close:
+                ends[at] = -1
+            else:
+                at = close
+    for x in passed:
+        ends[x] = ends[at]
+    return ends[at]
+
+
+def _tokens(page: str):
+    """``text, None, ""`` for texts, ``tag, name, attributes`` for tags; comments, scripts, styles and what else is left out whole are passed over."""
+    at, ends = 0, {}
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        whole, tag, attributes = m[0], m[1], m[2]
+        start, at = at, m.end()
+        if tag is None:
+            if whole == "<" and (name := _NAME.match(page, start)):
+                end = _tag_end(page, name.end(), ends)
+                if end < 0 and (rest := _REST.match(page, name.end())):
+                    end = rest.end()
+                if end > 0:
+                    whole, tag, attributes, at = page[start:end], name[1], page[name.end() : end - 1], end
+            if tag is None:
+                if whole[0] != "<" or whole == "<":
+                    yield whole, None, ""
+                continue
+        tag = tag.lower()
+        if tag in _SAME and whole[1] != "/":
+            if tag == "svg" and _SELF_CLOSED.search(attributes):
+                continue
+            same = _SAME[tag].search(page, at)
+            if tag in _SWALLOWS:
+                at = same.end() if same else len(page)
+                continue
+            if same and same[1]:
+                at = same.end()
+                continue
+        yield whole, tag, attributes
+
+
 class Page:
     """Blocks of text in page order, and the containers above them."""
 
@@ -54,7 +123,7 @@ class Page:
         self.blocks: list[tuple[int, str, float]] = []  # container or block element, text, share of it in links
         stack, text, linked, in_link = [0], [], 0, 0
         inline: list[tuple[str, int, bool]] = []  # open inline elements: tag, blocks open around it, whether it is left out
-        left_out, opened = 0, dict.fromkeys(_INLINE, 0)
+        left_out, opened = 0, dict.fromkeys(_INLINE | _LEFT_OUT, 0)
 
         def close_inline(tag: str | None = None) -> None:
             nonlocal left_out
@@ -65,15 +134,13 @@ class Page:
                 if name == tag:
                     break
 
-        for m in _TOKEN.finditer(html or ""):
-            tag = m[2]
+        for whole, tag, attributes in _tokens(html or ""):
             if tag is None:
-                whole = m[0]
-                if not left_out and (m[1] is None and whole[0] != "<" or whole == "<"):
+                if not left_out:
                     text.append(whole)
                     linked += len(whole) if in_link else 0
                 continue
-            tag, closing = tag.lower(), m[0][1] == "/"
+            closing = whole[1] == "/"
             if tag in _VOID:
                 if tag in ("br", "hr"):
                     text.append(" ")
@@ -85,11 +152,23 @@ class Page:
                     in_link = 0 if closing else 1
                 if closing and opened[tag]:
                     close_inline(tag)
-                elif not closing and not _SELF_CLOSED.search(m[3]):
-                    inline.append((tag, len(stack), self._named_out(m[3])))
+                elif not closing and not _SELF_CLOSED.search(attributes):
+                    inline.append((tag, len(stack), self._named_out(attributes)))
                     opened[tag] += 1
                     left_out += inline[-1][2]
                 continue
+            if tag in _LEFT_OUT and not closing:
+                inline.append((tag, len(stack), True))
+                opened[tag] += 1
+                left_out += 1
+                continue
+            loose = [n for n in _LEFT_OUT if opened[n]] if left_out else []
+            if tag in _LEFT_OUT or loose and not closing:
+                for name in loose if tag in _STARTS else {tag}.intersection(loose):
+                    while opened[name]:
+                        close_inline(name)
+                if tag not in _STARTS:
+                    continue
             self._flush(stack[-1], text, linked)
             text, linked = [], 0
             if closing:
@@ -102,12 +181,12 @@ class Page:
             if self.tags[stack[-1]] == "p" or self.tags[stack[-1]] in _CLOSES.get(tag, ()):
                 stack.pop()
                 close_inline()
-            self._open(tag, m[3], stack, left_out > 0)
+            self._open(tag, attributes, stack, left_out > 0)
         self._flush(stack[-1], text, linked)
 
     @staticmethod
     def _named_out(attributes: str) -> bool:
-        return bool(attributes) and any(w in _OUT_WORDS for a in _ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z]+", (a[2] or a[3] or a[4] or "").lower()))
+        return bool(attributes) and any(_marks_out(name) for a in _ATTRIBUTE.finditer(attributes) for name in (a[2] or a[3] or a[4] or "").lower().split())
 
     def _open(self, tag: str, attributes: str, stack: list[int], left_out: bool) -> None:
         name = tag
@@ -246,6 +325,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of ``pages(page_id, url, html, ...)``: ``page_id, url, text, n_chars, path``.
 
+    What begins like a tag but has no end is text; an element left out that has no end tag of its own ends where the next block, or its parent, does.
+    A very long page is worked whole in one task; of paths with equal votes and scores the last by name wins.
     Null and empty html have an empty text and no path; pages without a url, or with one that names no host, vote together. Repeated rows
     vote and are returned each. Further columns are ignored; an empty table gives an empty table.
     """

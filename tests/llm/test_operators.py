@@ -1,6 +1,7 @@
 """The ten operators on small tables, against brute force where there is no SQL, with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -693,3 +694,84 @@ def test_slices_keep_rows_and_words():
     assert sum(p.num_rows for p in parts) == 5 and len(parts) > 1
     words = [w for p in parts for c, d, _ in [words_of(texts_of(p.column("text")))] for w in d.take(pa.array(c)).to_pylist()]
     assert words == ["a", "b", "c" * 50, "d", "e"]
+
+
+# ---- pages: whole attributes, names and elements without an end -----------------------------------------------------------------
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div data-x="' + "a<b " * 1000 + '">hello</div>', "hello"),
+        ("<div data-x='a>b<c>' title=\"x > y\">hello</div>", "hello"),
+        ('<div data-x="a<b>never closed</div>', '<div data-x="anever closed'),  # no tag, so text
+        ("<p>one</p><button>x<p>two three</p>", "one\ntwo three"),
+        ("<p>a</p><button><div>Save</div></button><p>b</p>", "a\nb"),
+        ("<p>b <select><option>A<option>B<p>two", "b\ntwo"),
+        ("<div><object><b>f</b></div><p>x", "x"),
+        ("<ul><li>a<button>b<li>c</ul>", "a\nc"),
+        ("<title>t<p>x</p>", "x"),
+        ("<p>a <svg><svg><text>q</text></svg>w</svg> z</p>", "a z"),
+        ("<figure><figcaption>a caption</figcaption></figure><p>a <noscript>b</noscript></p>", "a caption\na\nb"),
+        ("<p class=share-price>price rose</p><section class=related-work>work</section><p class=ad-hoc>c</p>", "price rose\nwork\nc"),
+        ("<div class='x ad-slot'>buy</div><div id=site-header>h</div><ol class=comment-list-2><li>c</ol><p class='share-links'>d</p>e", "e"),
+    ],
+)
+def test_what_is_left_out_and_where_it_ends(html, text):
+    assert pages.Page(html).text("body") == text
+
+
+@pytest.mark.parametrize("piece", ['<a "<a""', "<a '\"<b", "<svg><p>", "<select><option>", '<a x="<" ', "<title>", "<object><b>"])
+def test_tags_of_all_kinds_are_read_once(piece):
+    import time
+
+    took = []
+    for size in (50_000, 400_000):
+        start = time.process_time()
+        pages.Page(piece * (size // len(piece))).best()
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * (took[0] + 0.01)
+
+
+def test_plain_markup_against_the_standard_parser():
+    """Random well-formed pages: what an independent parser gives outside the elements left out, block by block."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.now, self.out = [], [], 0
+
+        def cut(self):
+            if joined := " ".join("".join(self.now).split()):
+                self.blocks.append(joined)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("b", "a", "span"):
+                self.cut()
+            self.out += tag in ("nav", "aside", "form", "script") or dict(attrs).get("class") == "ad"
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "span"):
+                self.cut()
+            if tag in ("nav", "aside", "form", "script") or tag == "section":
+                self.out -= 1
+
+        def handle_data(self, data):
+            if not self.out:
+                self.now.append(data)
+
+    rng = random.Random(6)
+
+    def made(depth):
+        if depth == 0:
+            return rng.choice(["word ", " x &amp; y", "&lt;p&gt;", "é 字 ", "a&nbsp;b", "\n \t"])
+        inner = "".join(made(depth - 1) for _ in range(rng.randint(1, 4)))
+        tag = rng.choice(["div", "div", "article", "ul", "b", "span", "nav", "aside", "form", "section", "div title='a > b < c'"])
+        return f"<{tag}{' class=ad' if tag == 'section' else ''}>{inner}</{tag.split()[0]}>"
+
+    for _ in range(300):
+        page, plain = "<script>var a = '<p>';</script>" + made(rng.randint(1, 5)), Plain()
+        plain.feed(page)
+        plain.close()
+        plain.cut()
+        assert pages.Page(page).text("body") == "\n".join(plain.blocks), page
