@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from milpa.functions import lexicons, text
+from milpa.storage import written
 
 PAGE = "--- PÁGINA {} ---"
 _PAGE_RE = r"--- PÁGINA (\d+) ---"
@@ -23,15 +24,45 @@ def page_coverage(pages: DataFrame, column: str = "texto") -> DataFrame:
 
 
 def split_pages(docs: DataFrame) -> DataFrame:
-    """(documento, texto) with page lines to one row a page: ``pos`` from 0 in order, ``pagina``, ``texto``; what stands before the first is dropped."""
+    """(documento, texto) with page lines to one row a page: ``pos`` from 0 in order, ``pagina``, ``texto``; what stands before the first is dropped.
+
+    For documents that fit a cell; ``split_lines`` takes documents of any length.
+    """
     numbers = F.regexp_extract_all("texto", F.lit(_PAGE_RE), 1)
     parts = F.split("texto", _PAGE_RE)
-    zipped = F.arrays_zip(F.transform(numbers, lambda n: n.cast("int")).alias("pagina"), F.slice(parts, F.lit(2), F.size(parts)).alias("texto"))
+    zipped = F.arrays_zip(F.transform(numbers, lambda n: n.try_cast("int")).alias("pagina"), F.slice(parts, F.lit(2), F.size(parts)).alias("texto"))
     return docs.select("documento", F.posexplode(zipped).alias("pos", "p")).select("documento", "pos", F.col("p.pagina").alias("pagina"), text.strip(F.col("p.texto")).alias("texto"))
 
 
+def split_lines(lines: DataFrame) -> DataFrame:
+    """D2 for documents of any length: (documento, linea, texto), each row one line or more, to what ``split_pages`` gives for the rows joined by line breaks.
+
+    Rows are dealt out by ranges of (documento, linea) and written; page lines are counted inside a range and carried on from range to range,
+    so only a page, never a document, meets in one task. Null documents are one, null lines come first, rows of one number are ordered by a hash of
+    their text, a null text is empty; a number beyond an int is null.
+    """
+    t = F.coalesce("texto", F.lit(""))
+    numbers, order = F.regexp_extract_all(t, F.lit(_PAGE_RE), 1), ["linea", "h", "k"]
+    cut = F.transform(F.split(t, _PAGE_RE), lambda x, i: F.struct(i.alias("k"), F.get(numbers, i - 1).try_cast("int").alias("pagina"), x.alias("texto")))
+    ranges = lines.select("documento", "linea", "texto").repartitionByRange("documento", "linea").select("documento", "linea", F.spark_partition_id().alias("part"), F.xxhash64(t).alias("h"), F.inline(cut))
+    ranges = written(ranges)
+    begins = F.count_if(F.col("k") > 0)
+    inside = ranges.withColumn("inside", begins.over(Window.partitionBy("part", "documento").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    counts = ranges.groupBy("part", "documento").agg(begins.alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("documento").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("part").alias("_p"), F.col("documento").alias("_d"), before.alias("before"))
+    placed = inside.join(counts, (inside["part"] == counts["_p"]) & inside["documento"].eqNullSafe(counts["_d"])).withColumn("pos", (F.col("before") + F.col("inside") - 1).cast("int"))
+    held = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "texto"))), lambda x: x["texto"]), "\n")
+    return placed.where("pos >= 0").groupBy("documento", "pos").agg(F.max("pagina").alias("pagina"), text.strip(held).alias("texto"))
+
+
+def mark_pages(pages: DataFrame) -> DataFrame:
+    """D2 back, for documents of any length: (documento, linea, texto), a row a page that begins with its page line. Null numbers are no pages."""
+    return pages.where("pagina is not null").select("documento", F.col("pagina").alias("linea"), F.concat(F.lit("--- PÁGINA "), F.col("pagina").cast("string"), F.lit(" ---\n"), F.coalesce("texto", F.lit(""))).alias("texto"))
+
+
 def join_pages(pages: DataFrame) -> DataFrame:
-    """D2 back: pages by number to one marked text per document."""
+    """D2 back: pages by number to one marked text per document, for documents that fit a cell."""
     one = F.concat(F.lit("--- PÁGINA "), F.col("pagina").cast("string"), F.lit(" ---\n"), F.coalesce("texto", F.lit("")))
     return pages.groupBy("documento").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pagina", one.alias("t")))), lambda x: x["t"]), "\n\n").alias("texto"))
 

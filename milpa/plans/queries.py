@@ -351,7 +351,7 @@ def d1_page_coverage(spark, d):
 
 @query(f"SELECT documento, pagina - 1 AS pos, pagina, {STRIP('texto')} AS texto FROM {PAGES}")
 def d2_split_pages(spark, d):
-    out = documents.split_pages(documents.join_pages(pages(spark, d)))
+    out = documents.split_lines(documents.mark_pages(pages(spark, d)))
     return out.select("documento", F.col("pos").cast("long").alias("pos"), F.col("pagina").cast("long").alias("pagina"), "texto")
 
 

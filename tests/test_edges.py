@@ -293,3 +293,26 @@ def test_tiers_without_words_or_patterns(spark):
     tiers = {"a": ["uno"], "b": [r"\bdos\b"], "c": [], "d": ["tres", r"\d+"]}
     df = spark.createDataFrame([("uno dos",), ("dos tres",), ("dostres",), ("7",), ("nada",), (None,)], "t string")
     assert [r[0] for r in df.select(posts.classify(F.col("t"), tiers, "z")).collect()] == ["a", "b", "d", "d", "z", "z"]
+
+
+def test_pages_of_long_documents_by_lines(spark):
+    """Lines dealt out over ranges give the pages that the whole texts give, markers in the midst of lines, repeats and nulls included."""
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    kinds = ["--- PÁGINA {} ---", "a --- PÁGINA {} --- b--- PÁGINA 7 ---", "text", "two\nlines", "", None, "--- PÁGINA 99999999999 ---", "more text"]
+    for d, n in (("big", 700), ("small", 5), (None, 40), ("none", 1)):
+        for i in range(n):
+            kind = rng.choice(kinds)
+            rows.append((d, i, kind and kind.format(i)))
+    df = spark.createDataFrame(rows, "documento string, linea int, texto string")
+    whole: dict = {}
+    for d, _, t in rows:
+        whole.setdefault(d, []).append(t or "")
+    one = spark.createDataFrame([(d, "\n".join(ts)) for d, ts in whole.items()], "documento string, texto string")
+    told = lambda x: sorted((str(r["documento"]), r["pos"], str(r["pagina"]), r["texto"]) for r in x.collect())
+    assert told(documents.split_lines(df.withColumn("part", F.lit(1)).repartition(5))) == told(documents.split_pages(one))
+    assert documents.split_lines(df.where("false")).count() == 0
+    marked = documents.mark_pages(spark.createDataFrame([("d", 2, "b"), ("d", 1, None), ("d", None, "x")], "documento string, pagina int, texto string"))
+    assert told(documents.split_lines(marked)) == [("d", 0, "1", ""), ("d", 1, "2", "b")]
