@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from milpa.llm._shared import U64, components, hashes_of, mix, reliable, slices, texts_of, words_of
+from milpa.llm._shared import U64, components, hashes_of, mix, reliable, slices, texts_of, words_of, written
 
 PLACES, BANDS = 128, 32
 
@@ -111,8 +111,8 @@ def _full_sets(width: int):
             sets = list(shingle_sets(texts_of(batch.column("text")), width))
             flat = np.concatenate([*sets, np.zeros(0, U64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32()), pa.array(flat))],
-                names=["id", "shingles"],
+                [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32()), pa.array(flat))],
+                names=["set_key", "shingles"],
             )
 
     return run
@@ -131,12 +131,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Takes ``docs(doc_id, text, ...)`` and returns one row per input row: ``doc_id, n_shingles, component_id, kept``; the component is
     named by its smallest ``doc_id`` and only that document is ``kept``. Null, empty and white-space texts have an empty set and are
     linked with nothing. Fewer words than ``width`` are one shingle. Equal sets are linked whatever their size. A ``doc_id`` that
-    occurs in several rows is one document. Rows without a ``doc_id`` are left out. An empty table gives an empty table; further
-    columns are ignored.
+    occurs in several rows is one document: each row has the size of its own set, all its sets are compared, and those that aren't empty
+    are in one component. Rows without a ``doc_id`` are left out. An empty table gives an empty table; further columns are ignored.
+    A long text is hashed whole, alone in its batch.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     signed = reliable(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
-    distinct = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+    filled = signed.where("set_key is not null")
+    # a set is a node of its own, as documents that share a doc_id may have several
+    distinct = filled.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()))
     places = distinct.select("id", "n", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     live = reliable(places.join(shared, "bucket"))
@@ -146,7 +150,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     starred = live.join(middle, "bucket")
     tried = starred.where("id != m").select(F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b")).distinct()
 
-    sets = reliable(docs.join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]))
+    nodes = distinct.select("id", "set_key", "doc").join(live.select("id").distinct(), "id", "left_semi")
+    full = docs.join(nodes.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(width), "set_key binary, shingles array<long>")
+    sets = reliable(full.dropDuplicates(["set_key"]).join(nodes.select("id", "set_key"), "set_key").select("id", "shingles"))
     met = reliable(_met(tried, sets))
     linked = f"100 * both >= {percent} * any"
     links = met.where(linked).select("a", "b")
@@ -169,7 +175,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = x.join(y, "m").where(able).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
     late = _met(more, sets).where(linked).select("a", "b")
 
-    groups = components(links.union(late)).withColumnRenamed("node", "id")
-    named = distinct.select("set_key", "id").join(groups, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+    # the sets of one document
+    several = filled.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).where("one < other").select("doc_id", "one")
+    own = filled.join(several, "doc_id").where("set_key != one").select("one", "set_key").distinct()
+    own = own.join(distinct.selectExpr("set_key as one", "id as a"), "one").join(distinct.selectExpr("set_key", "id as b"), "set_key").select("a", "b")
+
+    groups = components(links.union(late).union(own)).withColumnRenamed("node", "id")
+    named = distinct.select("set_key", "id", "doc").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = named.join(least, "component").select("set_key", "component_id")
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -106,6 +106,37 @@ def test_near_duplicates_of_changed_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: root(i) for i in range(60)}
 
 
+def test_texts_under_one_id_are_one_document(spark):
+    """Random rows in which ids repeat: components over all links of all texts, whichever row comes first."""
+    r = random.Random(3)
+    bases = [prose(40, 900 + k).split() for k in range(12)]
+    rows = []
+    for _ in range(70):
+        w = list(r.choice(bases))
+        for j in r.sample(range(len(w)), r.choice([0, 0, 1, 12])):
+            w[j] = f"n{r.random()}"
+        rows.append((r.randrange(45) - 5, " ".join(w)))
+    rows += [(rows[0][0], None), (None, rows[1][1])]
+    grams = [{tuple(t.split()[j : j + 4]) for j in range(37)} if t else set() for _, t in rows]
+    parent = {i: i for i, t in rows if i is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows[:a]):
+            if None not in (i, j) and grams[a] and grams[b] and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    wanted = sorted((i, len(g), root(i) if g else i) for (i, _), g in zip(rows, grams, strict=True) if i is not None)
+    for order in (rows, rows[::-1]):
+        got = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3), 4).collect()
+        assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == wanted
+        assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).count() == 0
 

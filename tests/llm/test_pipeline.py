@@ -54,3 +54,11 @@ def test_repeats_of_over_fifty_short_words_go(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
     left = {0: "eins é  two", 1: "  \nthree", 2: texts[2], 3: texts[3], 4: " end", 7: texts[7]}
     assert len(passage) < 256 and {i: got[i] for i in left} == {i: (t, len(t)) for i, t in left.items()}
+
+
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, a, "en"), (1, b, "en"), (1, b, "de"), (2, b, "en"), (2, c, None), (3, None, None), (None, c, "en"), (None, c, "en"), (None, None, None)]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t or "")) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(map(str, [(r["doc_id"], r["text"], r["lang"]) for r in got])) == sorted(map(str, [(1, a, "en"), (1, b, "de"), (3, None, None), (None, c, "en"), (None, None, None)]))
