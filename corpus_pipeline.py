@@ -2,7 +2,7 @@
 
 1. ``quality``: a co-trained classifier drops documents that it finds poor or toxic.
 2. ``near_duplicates``: of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest ``doc_id`` stays.
-   Rows without a ``doc_id`` go, and of rows that share one any single row stays, whatever their texts.
+   Different texts under one ``doc_id`` are one document; rows without a ``doc_id`` stay; of equal rows one stays.
 3. ``repeats``: strings of 256 bytes, and of 51 words however short, that occur more than once are cut out; ``n_chars`` follows;
    documents of which nothing is left go.
 4. ``benchmark``: documents in which a test item occurs, up to one edit in twenty characters, go.
@@ -28,8 +28,12 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Without documents that are in the component of one with a smaller ``doc_id``. Different texts under one ``doc_id`` are one document and stay or go
+    together; rows without a ``doc_id`` stay; of rows equal in both the one least in the other columns stays."""
+    gone = neardup.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
+    rest = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").unionByName(docs.where("doc_id is null"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return rest.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", "text", "r.*").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
