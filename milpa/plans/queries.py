@@ -166,7 +166,13 @@ def p4_mentioned_year(spark, d):
 CLEAN = f"(SELECT doc_id, lang, source, {clean_sql('text')} AS c FROM documents)"
 NOISE = f"CASE WHEN length(c) < 25 THEN 'texto_vacio_o_muy_corto' WHEN regexp_matches(c, '{posts.any_of(lexicons.SPAM_WORDS)}') THEN 'spam_o_irrelevante' WHEN c IN ({quoted(lexicons.MEDIA_WORDS)}) THEN 'solo_multimedia' END"
 TIERS = {"estadistica": lexicons.CONTENT_TIERS["estadistica"] + ("therh", r"\bund\b"), **{k: v for k, v in lexicons.CONTENT_TIERS.items() if k != "estadistica"}, "opinion": lexicons.CONTENT_TIERS["opinion"] + (r"\bque\b",)}
-KIND = "CASE " + " ".join(f"WHEN regexp_matches(c, '{'|'.join(v)}') THEN '{k}'" for k, v in TIERS.items()) + " ELSE 'otro' END"
+
+
+def kind_sql(tiers) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(c, '{'|'.join(v)}') THEN '{k}'" for k, v in tiers.items()) + " ELSE 'otro' END"
+
+
+KIND = kind_sql(TIERS)
 CONFIDENT = (
     "CAST(least(CASE kind "
     + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lexicons.CONFIDENCE.items())
@@ -201,7 +207,13 @@ def p7_classify(spark, d):
 
 
 PLACES = {**lexicons.PLACES, "thion": ("North", None, "estado"), "eri": ("East", "Eri", "municipio"), "erith": ("East", "Erith", "municipio")}
-_PLACE_ROWS = ", ".join(f"('{k}', {quoted([v[1]]) if v[1] else 'NULL'}, {quoted([v[0]])}, '{v[2]}')" for k, v in PLACES.items())
+
+
+def place_rows(places) -> str:
+    return ", ".join(f"('{k}', {quoted([v[1]]) if v[1] else 'NULL'}, {quoted([v[0]])}, '{v[2]}')" for k, v in places.items())
+
+
+_PLACE_ROWS = place_rows(PLACES)
 
 
 @query(f"SELECT doc_id, p.key, p.town, coalesce(p.state, 'Nacional') AS state, coalesce(p.level, 'no_detectado') AS level FROM (SELECT doc_id, list_filter([{quoted(sorted(PLACES, key=len, reverse=True))}], lambda k: contains(c || ' ' || source, k))[1] AS k FROM {CLEAN}) LEFT JOIN (VALUES {_PLACE_ROWS}) p(key, town, state, level) ON p.key = k")
@@ -215,7 +227,18 @@ def p9_confidence(spark, d):
     return rated(spark, d).select("doc_id", F.col("score").cast("double").alias("score"))
 
 
-@query()
+_LINES = "string_split(texto_original, chr(10))"
+_CUT = f"(SELECT conv_id, unnest(b) AS texto_original, CAST(generate_subscripts(b, 1) - 1 AS INTEGER) AS pos FROM (SELECT conv_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {STRIP('x')}), lambda x: length(x) > 50) AS b FROM {DUMPS}))"
+_TAKEN = f"(SELECT *, {clean_sql('texto_original')} AS c, {STRIP(f"list_filter({_LINES}, lambda x: starts_with(x, '@'))[-1]")} AS usuario, {STRIP(f"list_filter({_LINES}, lambda x: NOT starts_with(x, '@') AND contains(x, '202'))[-1]")} AS fecha FROM {_CUT})"
+_TOLD = f"(SELECT *, {kind_sql(lexicons.CONTENT_TIERS)} AS kind, {NOISE} AS motivo_basura, list_filter([{quoted(sorted(lexicons.PLACES, key=len, reverse=True))}], lambda k: contains(strip_accents(lower(concat_ws(' ', c, usuario))), k))[1] AS k FROM {_TAKEN})"
+POSTS = f"""SELECT 'violencia familiar ' || (2021 + conv_id % 6) || '.txt' AS archivo_origen, pos, CAST(2021 + conv_id % 6 AS INTEGER) AS anio, 'violencia familiar' AS tipo_violencia_archivo, usuario, fecha, CAST(2021 + conv_id % 6 AS INTEGER) AS anio_publicacion,
+CAST(nullif(regexp_extract(c, '\\b({'|'.join(map(str, lexicons.YEARS))})\\b', 1), '') AS INTEGER) AS anio_mencionado, texto_original, c AS texto_limpio, kind AS tipo_contenido, CAST({CONFIDENT} AS DECIMAL(4,2)) AS nivel_confianza,
+k AS lugar_detectado, p.town AS municipio_alcaldia, coalesce(p.state, 'Nacional') AS estado, coalesce(p.level, 'no_detectado') AS nivel_ubicacion,
+CASE WHEN regexp_matches(c, '{posts.any_of(lexicons.WOMEN_WORDS)}') THEN 'si' ELSE 'incierto' END AS violencia_mujer, CASE WHEN motivo_basura IS NULL THEN 'no' ELSE 'si' END AS es_basura, motivo_basura
+FROM {_TOLD} LEFT JOIN (VALUES {place_rows(lexicons.PLACES)}) p(key, town, state, level) ON p.key = k"""
+
+
+@query(POSTS)
 def p10_clean_posts(spark, d):
     named = dumps(spark, d).withColumn("file", F.concat(F.lit("violencia familiar "), (2021 + F.col("conv_id") % 6).cast("string"), F.lit(".txt")))
     return posts.clean_posts(named)
@@ -634,7 +657,16 @@ def l4_lookup_null_safe(spark, d):
     return warehouse.lookup_null_safe(fact, dim, ["s", "parity"], "k").select("o_orderkey", "k")
 
 
-@query()
+_PLACE = ", ".join(warehouse.PLACE)
+_DIM = "(SELECT generate_subscripts([{0}], 1) AS k, unnest([{0}]) AS n)".format
+_KEYED = f"SELECT row_number() OVER (ORDER BY {', '.join(f'{c} NULLS FIRST' for c in warehouse.PLACE)}) AS k, {_PLACE} FROM (SELECT DISTINCT {_PLACE} FROM posts)"
+
+
+@query(f"""WITH posts AS ({POSTS}), places AS ({_KEYED})
+SELECT 1 AS id_fuente, CAST(a.k AS INTEGER) AS id_ambito, NULL::INTEGER AS id_tipo_violencia, CAST(t.k AS INTEGER) AS id_tipo_contenido, CAST(u.k AS INTEGER) AS id_ubicacion, archivo_origen, anio_publicacion, anio_mencionado, usuario, texto_original, texto_limpio,
+violencia_mujer AS violencia_contra_mujer, es_basura, motivo_basura, nivel_confianza, '{{"tipo_violencia_archivo":"' || tipo_violencia_archivo || '"' || coalesce(',"fecha":' || CAST(to_json(fecha) AS VARCHAR), '') || '}}' AS datos_extra
+FROM posts LEFT JOIN {_DIM(quoted(lexicons.SCOPES))} a ON a.n = tipo_violencia_archivo LEFT JOIN {_DIM(quoted(lexicons.CONTENT_TYPES))} t ON t.n = tipo_contenido
+LEFT JOIN places u ON {' AND '.join(f'u.{c} IS NOT DISTINCT FROM posts.{c}' for c in warehouse.PLACE)}""")
 def l6_post_facts(spark, d):
     cleaned = p10_clean_posts(spark, d)
     seeds = warehouse.seed(spark)
@@ -798,7 +830,7 @@ def n3_screen_statements(spark, d):
 
 @query(r"SELECT CAST(page_id AS VARCHAR) AS file, regexp_extract(url, '^[a-z]+') AS scheme, length(url) AS n FROM pages")
 def s4_html_tables(spark, d):
-    made = F.concat(F.lit("<table><tr><td></td></tr><tr><td> "), F.regexp_extract("url", "^[a-z]+", 0), F.lit("<td></td><td>"), F.length("url").cast("string"), F.lit("</td></tr></table>"))
+    made = F.concat("html", F.lit("<table><tr><td></td></tr><tr><td> "), F.regexp_extract("url", "^[a-z]+", 0), F.lit("<td></td><td>"), F.length("url").cast("string"), F.lit("</td></tr></table>"))
     cells = readers.html_tables(read(spark, d, "pages").select(F.col("page_id").cast("string").alias("file"), made.alias("html")))
     return cells.select("file", F.col("cells")[0].alias("scheme"), F.col("cells")[1].cast("long").alias("n"))
 

@@ -1,10 +1,13 @@
 """Every query with SQL gives what DuckDB gives on the same tables."""
 
+import zlib
 from decimal import Decimal
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from milpa.plans import queries as plans
 
@@ -87,3 +90,52 @@ def test_more_than_a_hundred_event_types_are_allowed(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["event_id"]: (r["a"], r["b"]) for r in plans.QUERIES["l8_enforce"](spark, str(tmp_path)).collect()}
     assert got == {i: ("value: type", None) for i in range(5, 500, 5)} | {1001: (None, "event_type: value")}
+
+
+def packed(page, limit, overlap=1):
+    """Chunks of a page, stated over places: each chunk is a run of paragraphs from ``first`` on, as long as it fits."""
+    paragraphs, out, first, at = [p.strip() for p in page.split("\n") if p.strip()], [], 0, 0
+    cost = lambda a, b: sum(len(p) + 1 for p in paragraphs[a:b])
+    while at < len(paragraphs):
+        if cost(first, at) + len(paragraphs[at]) + 1 <= limit:
+            at += 1
+            continue
+        if first < at:
+            out.append("\n".join(paragraphs[first:at]))
+            first = max(first, at - overlap)
+        if len(paragraphs[at]) > limit:
+            out += [x for i in range(0, len(paragraphs[at]), limit) if (x := paragraphs[at][i : i + limit].strip())]
+            first = at = at + 1
+        else:
+            at += 1
+    return out + (["\n".join(paragraphs[first:])] if first < len(paragraphs) else [])
+
+
+def test_all_pages_are_packed(spark, duck):
+    cleaned = {(r["documento"], r["pagina"]): r["t"] for r in plans.pages(spark, str(SF)).select("documento", "pagina", plans.text.clean_page(F.col("texto")).alias("t")).collect()}
+    got = {(r["documento"], r["pagina"], r["chunk_pos"]): r["texto"] for r in plans.d3_pack_pages(spark, str(SF)).collect()}
+    assert got == {(d, p, i): c for (d, p), t in cleaned.items() for i, c in enumerate(packed(t, 1400))}
+    assert len(cleaned) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0] and any(i for _, _, i in got)
+
+
+def test_samples_of_all_documents(spark):
+    chunks = plans.chunks(spark, str(SF)).withColumn("h", F.xxhash64("documento", "chunk_id", F.lit(42))).collect()
+    by = {}
+    for r in chunks:
+        by.setdefault(r["documento"], []).append((r["h"], r["chunk_id"], r["texto"]))
+    wanted = sorted((d, c, t) for d, rows in by.items() for _, c, t in sorted(rows)[:3])
+    assert sorted((r["documento"], r["chunk_id"], r["texto"]) for r in plans.r5_sample(spark, str(SF)).collect()) == wanted
+    again = plans.review.sample(plans.chunks(spark, str(SF)).repartition(7))
+    assert sorted((r["documento"], r["chunk_id"], r["texto"]) for r in again.collect()) == wanted
+
+
+def test_vectors_of_all_documents(spark):
+    texts = dict(plans.read(spark, str(SF), "documents").select("doc_id", "text").collect())
+    got = {r["id_fragmento"]: r["embedding"] for r in plans.e2_encode(spark, str(SF)).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        v = np.zeros(64)
+        for w in (t or "").lower().split():
+            h = zlib.crc32(w.encode())
+            v[h % 64] += 1 if h >> 31 else -1
+        assert np.allclose(got[i], v / max(np.linalg.norm(v), 1e-12), atol=1e-5)
