@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-Pieces and log scores come from a SentencePiece model file (nothing is trained here). Spaces become the marker U+2581 and a text begins
+Pieces and scores come from a SentencePiece model file (nothing is trained here); a file of merge ranks gives an order of its pieces, from which
+Zipf's law makes log-probabilities. Spaces become the marker U+2581 and a text begins
 with one. A text falls apart into units, a run of markers and the word after it: no piece holds a marker after another character, so the
 best path of a text is that of its units one after another, and each distinct unit of a batch is segmented once. A character that no
 piece covers costs ten less than the worst score and becomes its bytes. A U+2581 that a text itself holds is written as bytes, so decoding
@@ -21,6 +22,8 @@ from milpa.llm._shared import slices, texts_of
 
 MARK, UNKNOWN_COST = "▁", 10.0
 KEPT_UNITS = 400_000
+#: Mandelbrot's shift in Zipf's law
+ZIPF_SHIFT = 2.7
 _UNITS = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -70,6 +73,19 @@ class DoubleArray:
                 x.extend([fill] * len(x))
 
 
+def log_scores(pieces: list[tuple[str, float, str]], shift: float = ZIPF_SHIFT) -> list[tuple[str, float, str]]:
+    """Pieces whose scores are merge ranks (whole numbers all, none above 0) with log-probabilities by their order instead: the ``r``-th best of ``n``
+    has ``1 / (r + shift)`` over the sum of these, pieces of equal score in order of id. Scores that aren't ranks are log-probabilities already and stay.
+    """
+    normal = [i for i, (_, _, kind) in enumerate(pieces) if kind == "normal"]
+    if not normal or any(pieces[i][1] > 0 or pieces[i][1] != int(pieces[i][1]) for i in normal):
+        return pieces
+    odds = 1 / (np.arange(1, len(normal) + 1) + shift)
+    by_rank = sorted(normal, key=lambda i: (-pieces[i][1], i))
+    new = dict(zip(by_rank, np.log(odds / odds.sum()).tolist(), strict=True))
+    return [(p, new.get(i, s), kind) for i, (p, s, kind) in enumerate(pieces)]
+
+
 class Unigram:
     """Pieces with log scores: segmentation of units, and the bytes of every id."""
 
@@ -90,11 +106,12 @@ class Unigram:
 
     @classmethod
     def load(cls, path: str) -> Unigram:
+        """The pieces of a model file. No unigram model is among the public files: theirs have merge ranks, see :func:`log_scores`."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         kind = lambda i: "byte" if sp.is_byte(i) else "other" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "normal"
-        return cls([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())])
+        return cls(log_scores([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]))
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best segmentation of a text without literal markers; of equal paths the one found first, from left to right."""
@@ -198,13 +215,15 @@ def _decode(model: Unigram):
 
 
 def encode(docs: DataFrame, model: Unigram) -> DataFrame:
-    """``docs`` with a column ``ids``, in place of any of that name; null and empty texts have no ids."""
+    """``docs`` with a column ``ids``, in place of any of that name; null and empty texts have no ids. Repeated rows are encoded each, an empty table
+    gives an empty table; of segmentations with equal score the one found first from left to right is taken. A very long text is worked whole in one task.
+    """
     docs = docs.drop("ids")
     return docs.mapInArrow(_encode(model), f"{_ddl(docs)}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: Unigram) -> DataFrame:
-    """Adds ``decoded``, the text of ``ids``; no ids or null give an empty text, ids of control pieces give nothing."""
+    """Adds ``decoded``, the text of ``ids``, in place of any column of that name; no ids or null give an empty text, ids of control pieces give nothing."""
     encoded = encoded.drop("decoded")
     return encoded.mapInArrow(_decode(model), f"{_ddl(encoded)}, decoded string")
 
@@ -222,7 +241,9 @@ def _coded(model: Unigram):
 
 
 def coded(docs: DataFrame, model: Unigram) -> DataFrame:
-    """``docs`` with ``ids`` and ``round_trip``, true where decoding the ids gives the text (null: empty); both steps in one pass."""
+    """``docs`` with ``ids`` and ``round_trip``, in place of any columns of these names, the latter true where decoding the ids gives the text (null: empty);
+    both steps in one pass. For all else see :func:`encode`.
+    """
     docs = docs.drop("ids", "round_trip")
     return docs.mapInArrow(_coded(model), f"{_ddl(docs)}, ids array<int>, round_trip boolean")
 
@@ -232,7 +253,10 @@ def _ddl(df: DataFrame) -> str:
 
 
 def round_trip(docs: DataFrame, model: Unigram) -> DataFrame:
-    """Per document: ``doc_id, n_pieces, n_byte_pieces, ids_hash, round_trip``, the last true where decoding gives the text."""
+    """Per document: ``doc_id, n_pieces, n_byte_pieces, ids_hash, round_trip``, the last true where decoding gives the text.
+
+    One row for every row, also repeated ones and those without a ``doc_id``; further columns are ignored. For all else see :func:`encode`.
+    """
     both = coded(docs.select(F.col("doc_id").cast("long"), "text"), model)
     low, high = min(model.of_byte.values()), max(model.of_byte.values())
     return both.select(

@@ -466,6 +466,35 @@ def test_viterbi_against_all_paths():
         assert got == pytest.approx(best(t)) and b"".join(small.output[i] for i in ids).decode() == t.replace("▁", " ")
 
 
+def test_ranks_become_log_scores(model):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    ids = list(model.trie.value[i] for i in range(len(model.trie.value)) if model.trie.value[i] >= 0)
+    assert sum(np.exp(model.score[i]) for i in ids) == pytest.approx(1)
+    ids.sort(key=lambda i: (-sp.get_score(i), i))
+    assert all(model.score[a] > model.score[b] for a, b in zip(ids[:-1], ids[1:], strict=True))
+    given = [("a", -1.5, "normal"), ("b", -2.0, "normal"), ("<unk>", 0.0, "other")]
+    assert pieces.log_scores(given) == given and pieces.log_scores([]) == []
+    tied = pieces.log_scores([("<unk>", 0.0, "other"), ("a", -3.0, "normal"), ("b", 0.0, "normal"), ("c", -3.0, "normal")], 1.0)
+    assert tied[0] == ("<unk>", 0.0, "other") and [t[1] for t in tied[1:]] == pytest.approx(np.log(np.array([4, 6, 3]) / 13).tolist())
+
+
+def test_best_segmentations_of_all_words(spark, model):
+    """Every distinct word of a table against the best sum over all cuts, stated over characters and a dictionary."""
+    score = {p.decode().replace(" ", "▁"): model.score[i] for i, p in enumerate(model.output) if i > 258}
+    words = {w for r in spark.read.parquet(str(SF.parent / "sf0.001" / "documents.parquet")).select("text").collect() for w in (r["text"] or "").split()[:3000]}
+    longest = max(map(len, score))
+    for w in ["▁" + w for w in sorted(words) if "▁" not in w]:
+        best = [0.0]
+        for end in range(1, len(w) + 1):
+            choices = [best[a] + score[w[a:end]] for a in range(max(0, end - longest), end) if w[a:end] in score]
+            best.append(max(choices + ([best[-1] + model.unknown] if w[end - 1] not in score else [])))
+        got = sum(model.score[i] for i in model.viterbi(w) if i > 258) + model.unknown * sum(c not in score for c in w)
+        assert got == pytest.approx(best[-1]), w
+    assert len(words) > 1000
+
+
 def test_pieces_against_the_library_as_unigram(model):
     import sentencepiece
 
