@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # a bucket's middle: the member whose buckets hold most members, as the minima of a group's common text are the commonest
     central = live.groupBy("id").agg(F.sum("members").alias("weight"))
     middle = live.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("m"))
-    starred = live.join(middle, "bucket")
+    starred = reliable(live.join(middle, "bucket"))
     tried = starred.where("id != m").select(F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b")).distinct()
 
     nodes = distinct.select("id", "set_key", "doc").join(live.select("id").distinct(), "id", "left_semi")
@@ -175,12 +175,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = x.join(y, "m").where(able).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
     late = _met(more, sets).where(linked).select("a", "b")
 
-    # the sets of one document
     several = filled.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).where("one < other").select("doc_id", "one")
-    own = filled.join(several, "doc_id").where("set_key != one").select("one", "set_key").distinct()
-    own = own.join(distinct.selectExpr("set_key as one", "id as a"), "one").join(distinct.selectExpr("set_key", "id as b"), "set_key").select("a", "b")
+    several, linking = reliable(several), links.union(late)
+    if not several.isEmpty():  # the sets of one document
+        own = filled.join(several, "doc_id").where("set_key != one").select("one", "set_key").distinct()
+        own = own.join(distinct.selectExpr("set_key as one", "id as a"), "one").join(distinct.selectExpr("set_key", "id as b"), "set_key").select("a", "b")
+        linking = linking.union(own)
 
-    groups = components(links.union(late).union(own)).withColumnRenamed("node", "id")
+    groups = components(linking).withColumnRenamed("node", "id")
     named = distinct.select("set_key", "id", "doc").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "component").select("set_key", "component_id")
