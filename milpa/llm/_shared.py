@@ -38,7 +38,7 @@ def reliable(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: like :func:`reliable`, but compressed, for many small rows."""
+    """``df`` as a Parquet table in the shared folder, read again: like :func:`reliable`, but compressed, for many small rows, and small parts are read several in a task."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
@@ -135,17 +135,20 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: ``(node, component)``, the component being its smallest node.
 
     Union-find first contracts the links inside each partition, then alternate large-star and small-star rounds make every component
-    a star around its smallest node. A round is two aggregations with map-side combine and two joins; each is checkpointed. Nothing
-    but a count comes to the driver. An empty table gives an empty table.
+    a star around its smallest node. A round is two aggregations with map-side combine and two joins; its stars are written as a table, so
+    that the few that are left are read in few tasks. Nothing but whether there are more to join comes to the driver. An empty table
+    gives an empty table.
     """
-    stars = reliable(links.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a < b").mapInPandas(_forest, "a long, b long").distinct())
+    stars = written(links.selectExpr("least(a, b) as a", "greatest(a, b) as b").where("a < b").mapInPandas(_forest, "a long, b long").distinct())
     while True:  # settled: every node that isn't a centre has one centre, and no centre has any
-        if stars.select("b").union(stars.select("a").distinct()).groupBy("b").count().where("count > 1").isEmpty():
+        ends = stars.selectExpr("inline(array(named_struct('node', b, 'under', 1), named_struct('node', a, 'under', 0)))")
+        if ends.groupBy("node").agg(F.sum("under").alias("centres"), F.min("under").alias("least")).where("centres > 1 or (centres = 1 and least = 0)").isEmpty():
             break
-        both = stars.union(stars.selectExpr("b", "a"))
+        both = stars.selectExpr("inline(array(named_struct('a', a, 'b', b), named_struct('a', b, 'b', a)))")
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a and b > m").selectExpr("m as a", "b").distinct()
         small = large.groupBy("b").agg(F.min("a").alias("m"))
         again = large.join(small, "b")
-        stars = reliable(again.where("a != m").selectExpr("m as a", "a as b").union(again.selectExpr("m as a", "b")).distinct())
+        kept = again.selectExpr("inline(array(named_struct('a', m, 'b', a), named_struct('a', m, 'b', b)))")
+        stars = written(kept.where("a != b").distinct())
     return stars.groupBy("b").agg(F.min("a").alias("component")).selectExpr("b as node", "component").union(stars.selectExpr("a as node", "a as component").distinct())

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from milpa.llm._shared import U64, components, hashes_of, mix, reliable, slices, texts_of, words_of, written
+from milpa.llm._shared import U64, components, hashes_of, mix, slices, texts_of, words_of, written
 
 PLACES, BANDS = 128, 32
 
@@ -136,38 +136,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     A long text is hashed whole, alone in its batch.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    signed = reliable(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    signed = written(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
     filled = signed.where("set_key is not null")
     # a set is a node of its own, as documents that share a doc_id may have several
     distinct = filled.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()))
     places = distinct.select("id", "n", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    live = reliable(places.join(shared, "bucket"))
+    live = written(places.join(shared, "bucket"))
     # a bucket's middle: the member whose buckets hold most members, as the minima of a group's common text are the commonest
     central = live.groupBy("id").agg(F.sum("members").alias("weight"))
     middle = live.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("m"))
-    starred = reliable(live.join(middle, "bucket"))
+    starred = written(live.join(middle, "bucket"))
     tried = starred.where("id != m").select(F.least("id", "m").alias("a"), F.greatest("id", "m").alias("b")).distinct()
 
     nodes = distinct.select("id", "set_key", "doc").join(live.select("id").distinct(), "id", "left_semi")
     full = docs.join(nodes.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(width), "set_key binary, shingles array<long>")
-    sets = reliable(full.dropDuplicates(["set_key"]).join(nodes.select("id", "set_key"), "set_key").select("id", "shingles"))
-    met = reliable(_met(tried, sets))
+    sets = written(full.dropDuplicates(["set_key"]).join(nodes.select("id", "set_key"), "set_key").select("id", "shingles"))
+    met = written(_met(tried, sets))
     linked = f"100 * both >= {percent} * any"
     links = met.where(linked).select("a", "b")
-    first = reliable(components(links))
+    first = written(components(links))
 
     # what is left to try: documents around one middle that are in different components
     around = starred.select("m", "id", "n").distinct().join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = around.groupBy("m").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("m")
-    around = reliable(around.join(mixed, "m", "left_semi").select("m", "id", "n", "component"))
+    around = written(around.join(mixed, "m", "left_semi").select("m", "id", "n", "component"))
     candidates = sets.join(around.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
     common = candidates.groupBy("shingle").agg(F.min("id").alias("one"), F.max("id").alias("other")).where("one < other").select("shingle")
     elsewhere = candidates.join(common, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("s"))
     with_middle = met.selectExpr("a as id", "b as m", "both").union(met.selectExpr("b as id", "a as m", "both"))
     around = around.join(elsewhere, "id").join(with_middle, ["id", "m"], "left").selectExpr("m", "id", "n", "component", "coalesce(both, n) as i", "s - coalesce(both, n) as o")
-    around = reliable(around.where(f"{100 + percent} * (i + o) >= {percent} * (n + n * {percent} / 100)"))
+    around = written(around.where(f"{100 + percent} * (i + o) >= {percent} * (n + n * {percent} / 100)"))
     largest = around.groupBy("m", "component").count().groupBy("m").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     x, y = (around.selectExpr("m", *(f"{c} as {c}{k}" for c in ("id", "n", "component", "i", "o"))) for k in "xy")
     x = x.join(largest, "m").where("componentx != main").drop("main")
@@ -176,14 +176,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     late = _met(more, sets).where(linked).select("a", "b")
 
     several = filled.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).where("one < other").select("doc_id", "one")
-    several, linking = reliable(several), links.union(late)
+    several, linking = written(several), late
     if not several.isEmpty():  # the sets of one document
         own = filled.join(several, "doc_id").where("set_key != one").select("one", "set_key").distinct()
         own = own.join(distinct.selectExpr("set_key as one", "id as a"), "one").join(distinct.selectExpr("set_key", "id as b"), "set_key").select("a", "b")
         linking = linking.union(own)
 
-    groups = components(linking).withColumnRenamed("node", "id")
-    named = distinct.select("set_key", "id", "doc").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = distinct.select("set_key", "id", "doc").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # later links join whole components, so only those are grouped again
+    for end in "ab":
+        linking = linking.join(first.selectExpr(f"node as {end}", f"component as {end}c"), end, "left").withColumn(end, F.coalesce(f"{end}c", end)).drop(f"{end}c")
+    linking = written(linking.where("a != b").distinct())
+    if not linking.isEmpty():
+        above = components(linking).selectExpr("node as component", "component as above")
+        named = named.join(above, "component", "left").withColumn("component", F.coalesce("above", "component")).drop("above")
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "component").select("set_key", "component_id")
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
