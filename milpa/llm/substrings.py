@@ -374,21 +374,26 @@ def _each_window(length: int, passage: int | None):
 def _merged(batches):
     """Maximal runs of each document's covered stretches, and how many bytes its passages cover."""
 
-    def runs(found):
-        out: list[list[int]] = []
-        for lo, stop in sorted(found):
-            if out and lo <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], stop)
-            else:
-                out.append([lo, stop])
-        return out
+    def runs(row, lo, stop):
+        order = np.lexsort((lo, row))
+        row, lo, stop = row[order], lo[order], stop[order]
+        wide = int(stop.max(initial=0)) + 1  # every row has a range of its own
+        reached = np.maximum.accumulate(row * wide + stop)
+        first = np.flatnonzero(np.concatenate([[True], (row * wide + lo)[1:] > reached[:-1]])[: len(row)])
+        last = np.append(first[1:], len(row))[: len(first)] - 1
+        return row[first], lo[first], reached[last] - row[last] * wide
 
     for batch in batches:
-        spans, passages = [], []
-        for found in batch.column("found").to_pylist():
-            spans.append([{"lo": a, "stop": b} for a, b in runs((x["lo"], x["stop"]) for x in found if not x["passage"])])
-            passages.append(sum(b - a for a, b in runs((x["lo"], x["stop"]) for x in found if x["passage"])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("stop", pa.int64())]))), pa.array(passages, pa.int64())], names=["doc_id", "text_key", "spans", "passage_bytes"])
+        found = batch.column("found")
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+        lo, stop, passage = (pc.struct_field(found.flatten(), c).to_numpy(zero_copy_only=False) for c in ("lo", "stop", "passage"))
+        passage = passage.astype(bool)
+        own, first, last = runs(row[~passage], lo[~passage], stop[~passage])
+        ends = pa.array(np.searchsorted(own, np.arange(batch.num_rows + 1)), pa.int32())
+        spans = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["lo", "stop"]))
+        own, first, last = runs(row[passage], lo[passage], stop[passage])
+        covered = np.bincount(own, last - first, batch.num_rows).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), spans, pa.array(covered)], names=["doc_id", "text_key", "spans", "passage_bytes"])
 
 
 def _short_windows(words: int, length: int):
@@ -437,6 +442,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, words: int | None = None,
     docs = docs.select(F.col("doc_id").cast("long"), "text", "text_key")
     least = min(length, 2 * passage - 1) if passage else length
     found = docs.where(F.octet_length("text") >= least).mapInArrow(_find_contexts(length, passage), "doc_id long, text_key long, lo long, hi long, off int, anchor long, content long, passage boolean")
+    found = written(found.drop("off"))  # they are read twice, to count them and to join the counts
     counted = found.groupBy("anchor", "content").agg(F.count("*").alias("n"))
     per_anchor = Window.partitionBy("anchor")  # over counted contexts, not over occurrences
     counted = counted.select("*", F.sum("n").over(per_anchor).alias("times"), F.count("*").over(per_anchor).alias("kinds")).where("times > 1")
