@@ -12,6 +12,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +23,28 @@ from milpa.llm._shared import shared_folder, table
 from milpa.llm.queries import tokenizer
 
 REPEAT_BYTES, REPEAT_WORDS, EDIT_RATE = 256, 51, 0.05
+#: Rows come to Python in Arrow batches of so many bytes at most. Spark's own limit, 10,000 rows, is some 40 MB of usual texts: in each worker, and once
+#: more outside the heap of its executor.
+BATCH_BYTES = "4m"
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` with ``BATCH_BYTES`` set in its session, where it stays, as what a stage returns is computed later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+@in_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that are in the component of one with a smaller ``doc_id``. Different texts under one ``doc_id`` are one document and stay or go
     together; rows without a ``doc_id`` stay; of rows equal in both the one least in the other columns stays."""
@@ -36,14 +54,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rest.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", "text", "r.*").select(docs.columns)
 
 
+@in_small_batches
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs, REPEAT_BYTES, REPEAT_WORDS).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@in_small_batches
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.without_items(docs, table(spark, sf_dir, "benchmark"), EDIT_RATE)
 
 
+@in_small_batches
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = pieces.Unigram.load(tokenizer("piece_bpe_32k.model"))
     return pieces.coded(docs, model).withColumn("n_pieces", F.size("ids").cast("long"))

@@ -62,3 +62,20 @@ def test_repeated_and_missing_ids_lose_no_text(spark):
     docs = spark.createDataFrame([(i, t, x, "s", len(t or "")) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
     assert sorted(map(str, [(r["doc_id"], r["text"], r["lang"]) for r in got])) == sorted(map(str, [(1, a, "en"), (1, b, "de"), (3, None, None), (None, c, "en"), (None, None, None)]))
+
+
+def test_texts_come_to_python_in_small_batches(spark, folder):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
+    long = spark.range(5000).selectExpr("repeat('abcdefgh', 500) as text").coalesce(1)  # 20 MB in one partition
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs, folder)
+        got = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) >= 20_000_000 and max(got) < 5_000_000
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
