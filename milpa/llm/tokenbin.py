@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from pyspark.sql.window import Window
 from milpa.llm._shared import shared_folder, slices, texts_of
 from milpa.llm.pieces import gathered
 
-BLOCK, LANES, SLOTS, MAGIC, KEPT_WORDS = 4096, 2048, 1024, b"CMR2", 300_000
+#: What a step costs depends little on its lanes, so a file's blocks are coded in one go: 32 MB of text have some 3,000.
+BLOCK, LANES, SLOTS, MAGIC, KEPT_WORDS = 4096, 4096, 1024, b"CMR2", 300_000
 CLASSES, CLASS_BITS, WEIGHT_BITS, LEAST_CLASS, LEAST_INSIDE, RATE, CLASS_RATE = 16, 14, 12, 4, 16, 5, 7
 FULL, CELL_BITS, WORD, LOWEST = 1 << WEIGHT_BITS, 8, np.uint64(16), np.uint64(1 << 40)
 GROUPS = "file int, seq int, doc_ids array<long>, doc_tokens array<long>, prior binary, blocks array<binary>"
@@ -143,7 +145,7 @@ class Coder:
 
 
 #: Confidence after a wrong (first four) and a right guess; shares of both guesses at the start, by confidence.
-_SURER = np.array([0, 0, 1, 1, 1, 2, 3, 3], np.int32)
+_SURER = np.array([0, 0, 1, 1, 1, 2, 3, 3]) << 24
 _SHARE2, _SHARE1 = np.repeat(np.array([40, 900, 2400, 3400]), 8), np.tile(np.repeat(np.array([30, 500, 1300, 2200]), 2), 4)
 
 
@@ -157,6 +159,7 @@ class Mixer:
         self.edges = np.repeat(prior.edges[:, None], lanes, axis=1)  # by class and lane, where the class ends
         self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.lanes, self.every, self.order = lanes, np.arange(lanes), np.arange(CLASSES, dtype=np.int16)[:, None]
+        self.slots, self.contexts, self.goals = self.every * SLOTS, self.every * 32, np.empty((CLASSES, lanes), np.int16)
 
     def _class(self, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Where each lane's class begins, and how wide it is."""
@@ -194,12 +197,12 @@ class Mixer:
 
     def step(self, coder: Coder, n: int, ranks: np.ndarray | None) -> np.ndarray:
         """Lanes ``0 .. n - 1``; gives their ranks, which are ``ranks`` when coding."""
-        before1, before2, slot0 = self.before1[:n], self.before2[:n], self.every[:n] * SLOTS
+        before1, before2, slot0 = self.before1[:n], self.before2[:n], self.slots[:n]
         at1 = slot0 + (before1 * 40503 >> 3 & SLOTS - 1)
         at2 = slot0 + ((before1 * 0x6E3B ^ before2 * 0x5EB7) >> 5 & SLOTS - 1)
-        known1, known2 = self.guess1[at1].astype(np.int64), self.guess2[at2].astype(np.int64)
+        known1, known2 = self.guess1.take(at1).astype(np.int64), self.guess2.take(at2).astype(np.int64)
         guess1, guess2, sure1, sure2 = known1 & 0xFFFFFF, known2 & 0xFFFFFF, known1 >> 24, known2 >> 24
-        context = self.every[:n] * 32 + (sure2 * 8 + sure1 * 2 + (guess1 == guess2))
+        context = self.contexts[:n] + (sure2 * 8 + sure1 * 2 + (guess1 == guess2))
         share2, share1 = self.share2.take(context), self.share1.take(context)
         m2 = np.minimum(share2, FULL - 96)
         m1 = np.minimum(share1, FULL - 64 - m2)
@@ -215,9 +218,10 @@ class Mixer:
         self.share2[context] = share2 + (hit2 * (FULL - 1) - share2 >> RATE)
         self.share1[context] = share1 + ((hit1 > hit2) * (FULL - 1) - share1 >> RATE)
         for table, at, guess, sure, hit in ((self.guess1, at1, guess1, sure1, hit1), (self.guess2, at2, guess2, sure2, hit2)):
-            table[at] = np.where(hit | (sure > 1), guess, ranks).astype(np.int32) | _SURER.take(hit * 4 + sure) << 24
+            table[at] = np.where(hit | (sure > 1), guess, ranks) | _SURER.take(sure + 4 * hit)
         edges = self.edges[:, :n]
-        goals = (self.order >= (self.prior.packed.take(ranks) >> 52).astype(np.int16)) * self.prior.spread
+        goals = self.goals[:, :n]
+        np.multiply(self.order >= (self.prior.packed.take(ranks) >> 52).astype(np.int16), self.prior.spread, out=goals)
         goals += self.prior.floor
         goals -= edges
         goals >>= CLASS_RATE
@@ -233,7 +237,7 @@ def pack(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
         return b"", []
     if int(ids.max()) < 1 << 20:  # ids of any usual tokenizer: no sorting needed
         counts = np.bincount(ids)
-        known, ranks = np.flatnonzero(counts), (np.cumsum(counts > 0) - 1).take(ids)
+        known, ranks = np.flatnonzero(counts), (np.cumsum(counts > 0) - 1).astype(np.int32).take(ids)
         counts = counts[known]
     else:
         known, ranks, counts = np.unique(ids, return_inverse=True, return_counts=True)
@@ -241,13 +245,13 @@ def pack(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
     for a in range(0, len(ids), LANES * BLOCK):
         own = ranks[a : a + LANES * BLOCK]
         n, most = -(-len(own) // BLOCK), min(BLOCK, len(own))
-        table = np.zeros((n, BLOCK), np.int64)
+        table = np.zeros((n, BLOCK), np.int32)
         table.ravel()[: len(own)] = own
         table = np.ascontiguousarray(table[:, :most].T)
         coder, mixer, last = Coder(np.zeros((most * 5 // 2 + 16, n), np.uint16), prior.total_bits, False), Mixer(n, prior), len(own) - (n - 1) * BLOCK
         for t in range(most):
             live = n if t < last else n - 1
-            mixer.step(coder, live, table[t, :live])
+            mixer.step(coder, live, table[t, :live].astype(np.int64))
         coder.finish()
         for i, coded in enumerate(coder.coded()):
             plain = ids[a + i * BLOCK : a + min((i + 1) * BLOCK, len(own))].astype("<u4")
@@ -260,6 +264,7 @@ def unpack(prior: bytes, blocks: list[bytes]) -> np.ndarray:
     if not blocks:
         return np.zeros(0, np.int64)
     model, parts = Prior.from_bytes(prior), []
+    known = model.ids.astype("<u4")
     for a in range(0, len(blocks), LANES):
         own = blocks[a : a + LANES]
         heads = [struct.unpack_from("<III", b, 4) for b in own]
@@ -269,19 +274,19 @@ def unpack(prior: bytes, blocks: list[bytes]) -> np.ndarray:
         words = np.zeros((len(own), max(h[2] for h in heads) // 2 + 8), np.uint16)
         for i, b in enumerate(own):
             words[i, : heads[i][2] // 2] = np.frombuffer(b, "<u2", offset=16)
-        coder, mixer, out = Coder(np.ascontiguousarray(words.T), model.total_bits, True), Mixer(len(own), model), np.zeros((int(sizes.max()), len(own)), np.int64)
+        coder, mixer, out = Coder(np.ascontiguousarray(words.T), model.total_bits, True), Mixer(len(own), model), np.zeros((int(sizes.max()), len(own)), np.int32)
         for t in range(len(out)):
             live = int((sizes > t).sum()) if t >= sizes[-1] else len(sizes)
             try:
                 out[t, :live] = mixer.step(coder, live, None)
             except IndexError:  # only a damaged block points or reads beyond
                 raise ValueError("damaged block") from None
-        out = model.ids[np.ascontiguousarray(out.T)]
+        out = known.take(np.ascontiguousarray(out.T))
         for i, h in enumerate(heads):
-            if zlib.crc32(out[i, : h[0]].astype("<u4").tobytes()) != h[1]:
+            if zlib.crc32(out[i, : h[0]].tobytes()) != h[1]:
                 raise ValueError("checksum differs")
         parts.append(out[np.arange(out.shape[1])[None, :] < sizes[:, None]])
-    return np.concatenate(parts)
+    return np.concatenate(parts).astype(np.int64)
 
 
 _ODD = "  |[\\t-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] | [\\t-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|^ | $"
@@ -311,14 +316,14 @@ def special_texts(path: str) -> list[str]:
 def _encoded(words: list[str], tokenizer) -> dict[str, bytes]:
     """Ids of each word. Words of a leading space and no other white space go to the library 64 in a text, a line break after each:
     its pattern makes the break a token of its own there."""
-    stop, raw, out = tokenizer.token_to_id("\u010a"), [], {}
+    stop = tokenizer.token_to_id("\u010a")
     lined = [w for w in words if w[:1] == " " and w.split() == [w[1:]]]
     texts = ["\n".join(lined[i : i + 64]) + "\n" for i in range(0, len(lined), 64)]
-    flat = np.fromiter((x for e in tokenizer.encode_batch(texts, add_special_tokens=False) for x in e.ids), np.int32)
-    ends = np.flatnonzero(flat == stop)
+    flat = np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)), np.int32)
+    ends = 4 * np.flatnonzero(flat == stop)
     raw = flat.tobytes()
-    out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(lined, np.append(0, ends[:-1] + 1).tolist() if len(ends) else [], ends.tolist(), strict=True))
-    rest = [w for w in words if w not in out]
+    out = {w: raw[a:b] for w, a, b in zip(lined, np.append(0, ends[:-1] + 4).tolist() if len(ends) else [], ends.tolist(), strict=True)}
+    rest = [w for w in words if w not in out] if len(out) < len(words) else []
     out.update(zip(rest, (np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
     return out
 
@@ -341,16 +346,17 @@ def encode_all(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     first[ends[:-1]] = True
     key = codes * 2 + first
     present, place = np.unique(key[~np.repeat(odd, np.diff(ends))], return_inverse=True)
-    names = coded.dictionary.take(pa.array(present // 2)).to_pylist() if len(present) else []
-    names = [w if f else " " + w for w, f in zip(names, (present % 2).tolist(), strict=True)]
+    ahead = pa.array([" ", ""], pa.large_string()).take(pa.array(present % 2))
+    names = pc.binary_join_element_wise(ahead, coded.dictionary.take(pa.array(present // 2)), pa.scalar("", pa.large_string())).to_pylist() if len(present) else []
     recent, older = known  # words of two generations, so that frequent ones are kept when the younger is full
     if len(recent) > KEPT_WORDS:
         known[:] = recent, older = {}, recent
-    recent.update((w, older[w]) for w in names if w not in recent and w in older)
-    recent.update(_encoded([w for w in names if w not in recent], tokenizer))
-    ids = [recent[w] for w in names]
+    past = [w for w, x in zip(names, map(recent.get, names), strict=True) if x is None]
+    recent.update((w, x) for w, x in zip(past, map(older.get, past), strict=True) if x is not None)
+    recent.update(_encoded([w for w in past if w not in recent], tokenizer))
+    ids = list(map(recent.__getitem__, names))
     sizes = np.where(odd, 0, np.diff(ends))
-    flat, cuts = gathered(np.frombuffer(b"".join(ids), np.int32), np.cumsum([0] + [len(x) // 4 for x in ids]), place, np.concatenate([[0], np.cumsum(sizes)]))
+    flat, cuts = gathered(np.frombuffer(b"".join(ids), np.int32), np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)]), place, np.concatenate([[0], np.cumsum(sizes)]))
     whole = {int(i): np.array(e.ids, np.int32) for i, e in zip(np.flatnonzero(odd), tokenizer.encode_batch([texts[int(i)].as_py() for i in np.flatnonzero(odd)], add_special_tokens=False), strict=True)}
     if not whole:
         return flat, cuts

@@ -360,6 +360,15 @@ def test_coder_round_trip(n):
         assert (tokenbin.unpack(*tokenbin.pack(ids)) == ids).all()
 
 
+def test_blocks_of_a_file_are_coded_in_one_go(monkeypatch):
+    steps, step = [], tokenbin.Mixer.step
+    monkeypatch.setattr(tokenbin, "BLOCK", 8)
+    monkeypatch.setattr(tokenbin.Mixer, "step", lambda self, coder, n, ranks: steps.append(n) or step(self, coder, n, ranks))
+    ids = np.minimum(np.random.default_rng(6).zipf(1.3, 3000 * 8 - 3), 50256)
+    assert (tokenbin.unpack(*tokenbin.pack(ids)) == ids).all()
+    assert steps == 2 * (5 * [3000] + 3 * [2999])  # coded and decoded
+
+
 def test_more_blocks_than_lanes(monkeypatch):
     monkeypatch.setattr(tokenbin, "LANES", 3)
     ids = np.minimum(np.random.default_rng(5).zipf(1.3, 5 * tokenbin.BLOCK + 77), 50256)
