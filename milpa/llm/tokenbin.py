@@ -8,7 +8,7 @@ whether they agree. The mixture's cumulated probabilities narrow the range coder
 begins with fresh tables and shares and the group's frequencies, which are the group's prior.
 
 The blocks of a group are coded and decoded side by side in numpy, one id of each a step. A file is a list of groups of whole documents; a group
-holds its documents' ids and counts, its prior (ids and counts) and its blocks; a block is ``CMR2``, its count of ids, their crc32, the
+holds its documents' ids and counts, its prior (ids and counts) and its blocks; a block is ``CMR3``, its count of ids, their crc32, the
 length, and the coded words. Documents lie in ascending ``doc_id`` order over files and groups.
 """
 
@@ -19,7 +19,6 @@ import struct
 import uuid
 import zlib
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from milpa.llm._shared import shared_folder, slices, texts_of
+from milpa.llm._shared import bytes_of, shared_folder, slices, texts_of
 from milpa.llm.pieces import gathered
 
 #: What a step costs depends little on its lanes, so a file's blocks are coded in one go: 32 MB of text have some 3,000.
-BLOCK, LANES, SLOTS, MAGIC, KEPT_WORDS = 4096, 4096, 1024, b"CMR2", 300_000
+BLOCK, LANES, SLOTS, MAGIC, KEPT_WORDS, KEPT_LENGTH = 4096, 4096, 1024, b"CMR3", 300_000, 64
 CLASSES, CLASS_BITS, WEIGHT_BITS, LEAST_CLASS, LEAST_INSIDE, RATE, CLASS_RATE = 16, 14, 12, 4, 16, 5, 7
-FULL, CELL_BITS, WORD, LOWEST = 1 << WEIGHT_BITS, 8, np.uint64(16), np.uint64(1 << 40)
+FULL, CELL_BITS, WORD, LOWEST = 1 << WEIGHT_BITS, 4, 16, 1 << 40
 GROUPS = "file int, seq int, doc_ids array<long>, doc_tokens array<long>, prior binary, blocks array<binary>"
 
 
@@ -59,10 +58,11 @@ class Prior:
         room, mass = ((1 << self.inside) - LEAST_INSIDE * sizes)[kind], own[kind]
         start = (total - counts - before) * room // mass + LEAST_INSIDE * rank
         stop = (total - before) * room // mass + LEAST_INSIDE * (rank + 1)
-        self.packed = kind << 52 | start << 26 | (stop - start)
-        key = kind << self.inside | start
-        self.cell_start = np.maximum(np.searchsorted(key, np.arange(CLASSES << self.inside - CELL_BITS) << CELL_BITS, "right") - 1, 0).astype(np.int32)
-        self.key = np.concatenate([key, np.full(16, 1 << 62)])
+        self.packed, self.kind = np.concatenate([kind << 52 | start << 26 | (stop - start), np.full(2 << self.inside - 18, CLASSES << 52)]), kind.astype(np.int16)
+        self.cell_bits = CELL_BITS + self.inside - 18  # a cell is as wide as the least ids, or as few of them as keep the table small
+        cells = np.searchsorted(kind << self.inside | start, np.arange(CLASSES << self.inside - self.cell_bits) << self.cell_bits, "right") - 1
+        self.cell_start = np.maximum(cells, 0).astype(np.uint16 if n <= 1 << 16 else np.int32)
+        self.steps = [1 << i for i in range(self.cell_bits - CELL_BITS, -1, -1)]
         spread = (1 << CLASS_BITS) - LEAST_CLASS * CLASSES
         floor = LEAST_CLASS * np.arange(1, CLASSES + 1)
         self.edges = (np.cumsum(own) * spread // int(own.sum()) + floor).astype(np.int16)
@@ -77,24 +77,24 @@ class Prior:
         return cls(np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :])
 
     def find(self, kind: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """The rank whose stretch of a class holds each place: at most 16 ids begin in one cell."""
-        key = kind << self.inside | inside
-        at = self.cell_start.take(key >> CELL_BITS).astype(np.int64)
-        for step in (8, 4, 2, 1):
-            at += step * (self.key.take(at + step) <= key)
+        """The rank whose stretch of a class holds each place."""
+        at = self.cell_start.take((kind << self.inside | inside) >> self.cell_bits).astype(np.int64)
+        key = kind << 26 | inside
+        for step in self.steps:
+            at += step * (self.packed.take(at + step) >> 26 <= key)
         return at
 
 
 class Coder:
-    """A range coder in every lane: 64-bit low and range, carries added to words already out, 16-bit words."""
+    """A range coder in every lane: 64-bit low, range of at most 62 bits, carries added to words already out, 16-bit words."""
 
     def __init__(self, words: np.ndarray, bits: int, decoding: bool):
         """``words`` by number and lane: lanes advance alike, so those at hand lie close together."""
         lanes = words.shape[1]
-        self.words, self.flat, self.lanes, self.decoding, self.bits = words, words.ravel(), lanes, decoding, np.uint64(bits)
+        self.words, self.flat, self.lanes, self.decoding, self.bits = words, words.ravel(), lanes, decoding, bits
         self.at = np.arange(lanes)  # where the next word of each lane is in ``flat``
-        self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.code = np.zeros(lanes, np.uint64)  # low, or when decoding what has been read less low
+        self.range = np.full(lanes, 1 << 62)
+        self.code = np.zeros(lanes, np.int64)  # low (its bits), or when decoding what has been read less low
         if decoding:
             for _ in range(4):
                 self.code = self.code << WORD | self.flat[self.at]
@@ -103,50 +103,75 @@ class Coder:
     def target(self, n: int) -> np.ndarray:
         """Where the code of each lane points, of ``1 << bits``."""
         code, step = self.code[:n], self.range[:n] >> self.bits
-        out = np.minimum((code.astype(np.float64) / step.astype(np.float64)).astype(np.uint64), np.uint64((1 << int(self.bits)) - 1))
-        out -= (out * step > code).astype(np.uint64)  # the quotient is off by one at most
-        more = ((out + np.uint64(1)) * step <= code) & (out < np.uint64((1 << int(self.bits)) - 1))
-        return (out + more.astype(np.uint64)).view(np.int64)
+        out = (code / step - 2**-12).astype(np.int64)  # off by less than that, so the whole quotient or one less
+        out += (out + 1) * step <= code
+        return np.minimum(out, (1 << self.bits) - 1, out=out)
 
     def narrow(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
-        code, width = self.code[:n], self.range[:n]
+        code, width, at = self.code[:n], self.range[:n], self.at[:n]
         step = width >> self.bits
-        add = step * start.view(np.uint64)
-        np.multiply(step, size.view(np.uint64), out=width)
+        np.multiply(step, size, out=width)
+        step *= start
         if self.decoding:
-            code -= add
+            code -= step
         else:
-            code += add
-            at = np.flatnonzero(code < add)
-            at = self.at[at] - self.lanes
-            while len(at):  # carry
-                self.flat[at] += np.uint16(1)
-                at = at[self.flat[at] == 0] - self.lanes
+            code += step
+            carried = np.flatnonzero(code.view(np.uint64) < step.view(np.uint64))
+            carried = at[carried] - self.lanes
+            while len(carried):
+                self.flat[carried] += np.uint16(1)
+                carried = carried[self.flat[carried] == 0] - self.lanes
+        low = width < LOWEST  # every lane reads or writes its next word, and those whose range is low go past it
+        if self.decoding:
+            word = self.flat.take(at)
+            word *= low
+        else:
+            self.flat[at] = code.view(np.uint16)[3::4]
+        shift = (low.view(np.uint8) << 4).astype(np.int64)
+        width <<= shift
+        code <<= shift
+        if self.decoding:
+            code |= word
+        at += low * self.lanes
         out = np.flatnonzero(width < LOWEST)
-        while len(out):
-            at, low, wide = self.at[out], code[out], width[out] << WORD
+        while len(out):  # rare ids need a second word
+            here, wide = at[out], width[out] << WORD
             if self.decoding:
-                code[out] = low << WORD | self.flat[at]
+                code[out] = code[out] << WORD | self.flat[here]
             else:
-                self.flat[at] = (low >> np.uint64(48)).astype(np.uint16)
-                code[out] = low << WORD
+                self.flat[here] = code.view(np.uint16)[3::4][out]
+                code[out] <<= WORD
             width[out] = wide
-            self.at[out] = at + self.lanes
+            at[out] = here + self.lanes
             out = out[wide < LOWEST]
 
     def finish(self) -> None:
         for shift in (48, 32, 16, 0):
-            self.flat[self.at] = (self.code >> np.uint64(shift)).astype(np.uint16)
+            self.flat[self.at] = (self.code >> shift).astype(np.uint16)
             self.at += self.lanes
 
     def coded(self) -> list[bytes]:
-        words = np.ascontiguousarray(self.words.T).astype("<u2", copy=False)
+        words = turned(self.words[: int(self.at.max()) // self.lanes + 1]).astype("<u2", copy=False)
         return [words[i, : n // self.lanes].tobytes() for i, n in enumerate(self.at.tolist())]
 
 
-#: Confidence after a wrong (first four) and a right guess; shares of both guesses at the start, by confidence.
-_SURER = np.array([0, 0, 1, 1, 1, 2, 3, 3]) << 24
-_SHARE2, _SHARE1 = np.repeat(np.array([40, 900, 2400, 3400]), 8), np.tile(np.repeat(np.array([30, 500, 1300, 2200]), 2), 4)
+def turned(table: np.ndarray) -> np.ndarray:
+    """The transposed table, written some rows at a time, so that what is read stays in the cache."""
+    out = np.empty(table.shape[::-1], table.dtype)
+    for i in range(0, len(out), 32):
+        out[i : i + 32] = table[:, i : i + 32].T
+    return out
+
+
+#: Shares of both guesses at the start, by confidence: that of order 2 above 16 bits.
+_SHARES = np.repeat(np.array([40, 900, 2400, 3400], np.int32), 8) << 16 | np.tile(np.repeat(np.array([30, 500, 1300, 2200], np.int32), 2), 4)
+SURE, GUESS = 1 << 24, (1 << 24) - 1
+
+
+def _learned(known: np.ndarray, guess: np.ndarray, hit: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """What a context knows after ``ranks``: a right guess is surer, up to 3; a wrong one of 2 or 3 stays with 1, another gives way."""
+    right = np.minimum(known + SURE, guess | 3 * SURE)
+    return np.where(hit, right, np.where(known >= 2 * SURE, guess | SURE, ranks))
 
 
 class Mixer:
@@ -155,79 +180,107 @@ class Mixer:
     def __init__(self, lanes: int, prior: Prior):
         self.prior = prior
         self.guess1, self.guess2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # rank | confidence << 24
-        self.share1, self.share2 = np.tile(_SHARE1, lanes), np.tile(_SHARE2, lanes)
-        self.edges = np.repeat(prior.edges[:, None], lanes, axis=1)  # by class and lane, where the class ends
-        self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.shares = np.repeat(_SHARES, lanes)  # by confidences and lane
+        self.edges = np.repeat(np.append(np.int16(0), prior.edges)[:, None], lanes, axis=1)  # by class and lane, where the class begins, and the next one
         self.lanes, self.every, self.order = lanes, np.arange(lanes), np.arange(CLASSES, dtype=np.int16)[:, None]
-        self.slots, self.contexts, self.goals = self.every * SLOTS, self.every * 32, np.empty((CLASSES, lanes), np.int16)
+        self.slots, self.goals, self.most = self.every * SLOTS, np.empty((CLASSES, lanes), np.int16), prior.floor + prior.spread
+        self.at1, self.at2, self.before = self.slots.copy(), self.slots.copy(), np.zeros(lanes, np.int32)  # where the guesses are; the last id's part in the next ``at2``
 
     def _class(self, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Where each lane's class begins, and how wide it is."""
-        at = kind * self.lanes + self.every[:n]
+        at = kind * self.lanes
+        at += self.every[:n]
         flat = self.edges.ravel()
-        first = flat.take(at - self.lanes).astype(np.int64) * (kind > 0)
+        first = flat.take(at).astype(np.int64)
+        at += self.lanes
         return first, flat.take(at) - first
 
     def _order0(self, ranks: np.ndarray, m0: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The order-0 share's stretch of each rank within the mixture."""
         packed = self.prior.packed.take(ranks)
-        first, wide = self._class(packed >> 52, n)
-        low = (first << self.prior.inside) + wide * (packed >> 26 & (1 << 26) - 1)
-        return low * m0 >> WEIGHT_BITS, (low + wide * (packed & (1 << 26) - 1)) * m0 >> WEIGHT_BITS
+        low, wide = self._class(packed >> 52, n)
+        low <<= self.prior.inside
+        low += wide * (packed >> 26 & (1 << 26) - 1)
+        packed &= (1 << 26) - 1
+        packed *= wide
+        packed += low
+        low *= m0
+        low >>= WEIGHT_BITS
+        packed *= m0
+        packed >>= WEIGHT_BITS
+        return low, packed
 
     def _pointed(self, v: np.ndarray, guess1: np.ndarray, guess2: np.ndarray, m0: np.ndarray, m1: np.ndarray, m2: np.ndarray, n: int) -> np.ndarray:
         """The ranks at places ``v`` of the mixture: both guesses' shares are taken off what lies above them, the rest is order 0's."""
         prior = self.prior
-        swap = guess1 < guess2
-        low, high = np.where(swap, guess1, guess2), np.where(swap, guess2, guess1)
-        more, most = np.where(swap, m1, m2), np.where(swap, m2, m1)
-        a, b = self._order0(low, m0, n)
-        c, d = self._order0(high, m0, n)
-        b, c = b + more, c + more
-        d += more + most
-        past_low, past_high = v >= b, v >= d
-        here_low, here_high = (v >= a) & ~past_low, (v >= c) & ~past_high
-        u = ((((v - more * past_low - most * past_high) + 1) * FULL - 1).astype(np.float64) / m0).astype(np.int64)
-        u = np.where(here_low | here_high, 0, u)
-        top = (u >> prior.inside).astype(np.int16)
-        kind = (self.edges[:, :n] <= top).view(np.uint8).sum(0, dtype=np.uint8).astype(np.int64)
+        start1, stop1 = self._order0(guess1, m0, n)
+        start2, stop2 = self._order0(guess2, m0, n)
+        under, over = guess2 < guess1, guess2 > guess1
+        start1 += m2 * under
+        start2 += m1 * over
+        stop1 += m1
+        stop1 += m2 * ~over
+        stop2 += m2
+        stop2 += m1 * ~under
+        past1, past2 = v >= stop1, v >= stop2
+        here1, here2 = (v >= start1) > past1, (v >= start2) > past2
+        u = v - m1 * past1
+        u -= m2 * past2
+        u <<= WEIGHT_BITS
+        u |= FULL - 1
+        u = np.minimum((u / m0).astype(np.int64), (1 << prior.total_bits) - 1)
+        kind = (self.edges[1:, :n] <= (u >> prior.inside).astype(np.int16)).view(np.uint8).sum(0, dtype=np.uint8).astype(np.int64)
         first, wide = self._class(kind, n)
-        found = prior.find(kind, ((u - (first << prior.inside)).astype(np.float64) / wide).astype(np.int64))
-        return np.where(here_low, low, np.where(here_high, high, found))
+        u -= first << prior.inside
+        found = prior.find(kind, (u / wide).astype(np.int64))
+        return np.where(here1, guess1, np.where(here2, guess2, found))
 
     def step(self, coder: Coder, n: int, ranks: np.ndarray | None) -> np.ndarray:
         """Lanes ``0 .. n - 1``; gives their ranks, which are ``ranks`` when coding."""
-        before1, before2, slot0 = self.before1[:n], self.before2[:n], self.slots[:n]
-        at1 = slot0 + (before1 * 40503 >> 3 & SLOTS - 1)
-        at2 = slot0 + ((before1 * 0x6E3B ^ before2 * 0x5EB7) >> 5 & SLOTS - 1)
-        known1, known2 = self.guess1.take(at1).astype(np.int64), self.guess2.take(at2).astype(np.int64)
-        guess1, guess2, sure1, sure2 = known1 & 0xFFFFFF, known2 & 0xFFFFFF, known1 >> 24, known2 >> 24
-        context = self.contexts[:n] + (sure2 * 8 + sure1 * 2 + (guess1 == guess2))
-        share2, share1 = self.share2.take(context), self.share1.take(context)
+        at1, at2 = self.at1[:n], self.at2[:n]
+        known1, known2 = self.guess1.take(at1), self.guess2.take(at2)
+        guess1, guess2 = known1 & GUESS, known2 & GUESS
+        context = known2 >> 21 & 24
+        context |= known1 >> 23 & 6
+        context += guess1 == guess2
+        context = context * np.int64(self.lanes)
+        context += self.every[:n]
+        shares = self.shares.take(context)
+        share2, share1 = shares >> 16, shares & 0xFFFF
         m2 = np.minimum(share2, FULL - 96)
         m1 = np.minimum(share1, FULL - 64 - m2)
-        m0 = FULL - m2 - m1
-        m2 <<= self.prior.total_bits - WEIGHT_BITS
-        m1 <<= self.prior.total_bits - WEIGHT_BITS
+        m0 = (FULL - m2 - m1).astype(np.int64)
+        m2 = m2.astype(np.int64) << self.prior.total_bits - WEIGHT_BITS
+        m1 = m1.astype(np.int64) << self.prior.total_bits - WEIGHT_BITS
         if ranks is None:
             ranks = self._pointed(coder.target(n), guess1, guess2, m0, m1, m2, n)
+        ranks = ranks.astype(np.int32, copy=False)
         hit2, hit1 = guess2 == ranks, guess1 == ranks
-        start, stop = self._order0(ranks, m0, n)
-        size = stop - start + m2 * hit2 + m1 * hit1
-        coder.narrow(n, start + m2 * (guess2 < ranks) + m1 * (guess1 < ranks), size)
-        self.share2[context] = share2 + (hit2 * (FULL - 1) - share2 >> RATE)
-        self.share1[context] = share1 + ((hit1 > hit2) * (FULL - 1) - share1 >> RATE)
-        for table, at, guess, sure, hit in ((self.guess1, at1, guess1, sure1, hit1), (self.guess2, at2, guess2, sure2, hit2)):
-            table[at] = np.where(hit | (sure > 1), guess, ranks) | _SURER.take(sure + 4 * hit)
-        edges = self.edges[:, :n]
-        goals = self.goals[:, :n]
-        np.multiply(self.order >= (self.prior.packed.take(ranks) >> 52).astype(np.int16), self.prior.spread, out=goals)
-        goals += self.prior.floor
+        start, size = self._order0(ranks, m0, n)
+        size -= start
+        size += m2 * hit2
+        size += m1 * hit1
+        start += m2 * (guess2 < ranks)
+        start += m1 * (guess1 < ranks)
+        coder.narrow(n, start, size)
+        share2 += hit2 * np.int32(FULL - 1) - share2 >> RATE
+        share1 += (hit1 > hit2) * np.int32(FULL - 1) - share1 >> RATE
+        share2 <<= 16
+        share2 |= share1
+        self.shares[context] = share2
+        self.guess1[at1] = _learned(known1, guess1, hit1, ranks)
+        self.guess2[at2] = _learned(known2, guess2, hit2, ranks)
+        edges, goals = self.edges[1:, :n], self.goals[:, :n]
+        np.subtract(self.order, self.prior.kind.take(ranks), out=goals)
+        goals >>= 15  # all bits for the ends of classes before the id's
+        goals &= self.prior.spread
+        np.subtract(self.most, goals, out=goals)
         goals -= edges
         goals >>= CLASS_RATE
         edges += goals
-        self.before2[:n] = before1
-        self.before1[:n] = ranks
+        np.add(self.slots[:n], ranks * np.int32(40503) >> 3 & SLOTS - 1, out=at1)
+        np.add(self.slots[:n], (ranks * np.int32(0x6E3B) ^ self.before[:n]) >> 5 & SLOTS - 1, out=at2)
+        np.multiply(ranks, np.int32(0x5EB7), out=self.before[:n])
         return ranks
 
 
@@ -247,11 +300,11 @@ def pack(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
         n, most = -(-len(own) // BLOCK), min(BLOCK, len(own))
         table = np.zeros((n, BLOCK), np.int32)
         table.ravel()[: len(own)] = own
-        table = np.ascontiguousarray(table[:, :most].T)
+        table = turned(table[:, :most])
         coder, mixer, last = Coder(np.zeros((most * 5 // 2 + 16, n), np.uint16), prior.total_bits, False), Mixer(n, prior), len(own) - (n - 1) * BLOCK
         for t in range(most):
             live = n if t < last else n - 1
-            mixer.step(coder, live, table[t, :live].astype(np.int64))
+            mixer.step(coder, live, table[t, :live])
         coder.finish()
         for i, coded in enumerate(coder.coded()):
             plain = ids[a + i * BLOCK : a + min((i + 1) * BLOCK, len(own))].astype("<u4")
@@ -274,14 +327,14 @@ def unpack(prior: bytes, blocks: list[bytes]) -> np.ndarray:
         words = np.zeros((len(own), max(h[2] for h in heads) // 2 + 8), np.uint16)
         for i, b in enumerate(own):
             words[i, : heads[i][2] // 2] = np.frombuffer(b, "<u2", offset=16)
-        coder, mixer, out = Coder(np.ascontiguousarray(words.T), model.total_bits, True), Mixer(len(own), model), np.zeros((int(sizes.max()), len(own)), np.int32)
+        coder, mixer, out = Coder(turned(words), model.total_bits, True), Mixer(len(own), model), np.zeros((int(sizes.max()), len(own)), np.int32)
         for t in range(len(out)):
             live = int((sizes > t).sum()) if t >= sizes[-1] else len(sizes)
             try:
                 out[t, :live] = mixer.step(coder, live, None)
             except IndexError:  # only a damaged block points or reads beyond
                 raise ValueError("damaged block") from None
-        out = known.take(np.ascontiguousarray(out.T))
+        out = known.take(turned(out))
         for i, h in enumerate(heads):
             if zlib.crc32(out[i, : h[0]].tobytes()) != h[1]:
                 raise ValueError("checksum differs")
@@ -289,7 +342,18 @@ def unpack(prior: bytes, blocks: list[bytes]) -> np.ndarray:
     return np.concatenate(parts).astype(np.int64)
 
 
-_ODD = "  |[\\t-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] | [\\t-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|^ | $"
+#: Kinds of bytes: letters, digits, other signs, apostrophe, space, other white space, control characters, parts of characters beyond ASCII.
+_KINDS = (b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', b"'", b" ", b"\t\n\v\f\r", bytes({*range(9), *range(14, 32), 127}))
+_KIND = bytes(next((kind for kind, own in enumerate(_KINDS) if b in own), 7) for b in range(256))
+#: Whether a token always ends between bytes of two kinds, at ``8 * kind + next kind``: before white space, and where letters, digits and other signs meet, but
+#: for an apostrophe before a letter, which may begin a contraction.
+_ENDS = bytes(b != a and (b in (4, 5) and a not in (4, 5, 6) or max(a, b) < 4 and (a, b) not in ((2, 3), (3, 2), (3, 0))) for a in range(8) for b in range(8)) + bytes(192)
+#: The pattern that the cuts go by: GPT-2's.
+_PATTERN = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+#: The tokenizer's character for each byte; a line break stays.
+_SHOWN = np.arange(256, dtype="<u4")
+_SHOWN[[*range(33), *range(127, 161), 173]] = 256 + np.arange(68)
+_SHOWN[10] = 10
 
 
 @cache
@@ -314,54 +378,71 @@ def special_texts(path: str) -> list[str]:
 
 
 def _encoded(words: list[str], tokenizer) -> dict[str, bytes]:
-    """Ids of each word. Words of a leading space and no other white space go to the library 64 in a text, a line break after each:
-    its pattern makes the break a token of its own there."""
-    stop = tokenizer.token_to_id("\u010a")
-    lined = [w for w in words if w[:1] == " " and w.split() == [w[1:]]]
-    texts = ["\n".join(lined[i : i + 64]) + "\n" for i in range(0, len(lined), 64)]
-    flat = np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)), np.int32)
-    ends = 4 * np.flatnonzero(flat == stop)
-    raw = flat.tobytes()
-    out = {w: raw[a:b] for w, a, b in zip(lined, np.append(0, ends[:-1] + 4).tolist() if len(ends) else [], ends.tolist(), strict=True)}
+    """Ids of each word. A word of Latin letters, after a space or not, is one token of the pattern and goes to the library's model; others go through the whole tokenizer."""
+    plain = [w for w in words if w[w[:1] == " " :].isalpha() and (w.isascii() or max(w) < "\u0100")]
+    shown = _SHOWN.take(np.frombuffer("\n".join(plain).encode(), np.uint8)).tobytes().decode("utf-32-le").split("\n") if plain else []
+    tokenize, flat, ends = tokenizer.model.tokenize, [], [0]
+    for w in shown:
+        flat += [t.id for t in tokenize(w)]
+        ends.append(len(flat))
+    raw = np.array(flat, np.int32).tobytes()
+    out = {w: raw[4 * a : 4 * b] for w, a, b in zip(plain, ends, ends[1:], strict=False)}
     rest = [w for w in words if w not in out] if len(out) < len(words) else []
-    out.update(zip(rest, (np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
+    out.update(zip(rest, (np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
     return out
 
 
+def _starts(texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin among the bytes of all texts, and the first word of each text, with the count of all; texts marked ``whole`` are not cut.
+
+    Cuts are places where the pattern ends a token whatever follows: at white space after anything else, where letters, digits and other signs
+    meet, and after a white space that isn't a blank and stands alone. So no word ends with white space that the pattern would divide otherwise.
+    """
+    data, offsets = bytes_of(texts)
+    kind = np.frombuffer(data.tobytes().translate(_KIND), np.uint8)
+    first = np.zeros(len(data) + 1, bool)
+    first[1:-1] = np.frombuffer((kind[:-1] << 3 | kind[1:]).tobytes().translate(_ENDS), bool)
+    beyond = np.flatnonzero(first[2:-1] & (kind[1:-1] == 7)) + 1  # white space beyond ASCII, followed by more
+    last, second, third = data[beyond], data[beyond - 1], data[np.maximum(beyond - 2, 0)]
+    white = (second == 0xC2) & ((last == 0x85) | (last == 0xA0)) | (third == 0xE1) & (second == 0x9A) & (last == 0x80) | (third == 0xE2) & (second == 0x81) & (last == 0x9F)
+    white |= (third == 0xE3) & (second == 0x80) & (last == 0x80) | (third == 0xE2) & (second == 0x80) & ((last <= 0x8A) | (last == 0xA8) | (last == 0xA9) | (last == 0xAF))
+    first[beyond[white] + 1] = False
+    first[offsets] = True
+    lone = np.flatnonzero(kind[:-1] == 5)
+    first[lone[first[lone] & (kind[lone + 1] < 4)] + 1] = True
+    for i in np.flatnonzero(whole):
+        first[offsets[i] + 1 : offsets[i + 1]] = False
+    starts = np.flatnonzero(first)
+    return starts, np.searchsorted(starts, offsets)
+
+
 def encode_all(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts as the tokenizer gives them, and offsets by text.
 
-    The tokenizer's pattern always starts a new token at a single space between other characters, so such texts are cut there and the library encodes
-    each distinct word once; texts with any other white space beside a space, or with a special text, are encoded as a whole.
+    Texts are cut where the tokenizer's pattern always ends a token, and the library encodes each distinct word once. Texts with a special text are encoded
+    as a whole, and so are all texts by a tokenizer of another pattern, or with a normalizer.
     """
     tokenizer, known = _tokenizer(path)
-    words = pc.split_pattern(texts, " ")
-    ends = words.offsets.to_numpy().astype(np.int64)
-    coded = words.flatten().dictionary_encode()
-    codes = coded.indices.to_numpy().astype(np.int64)
-    odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+    whole = np.full(len(texts), tokenizer.normalizer is not None or repr(tokenizer.pre_tokenizer) != _PATTERN)
     for special in special_texts(path):
-        odd = odd | pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
-    first = np.zeros(len(codes), bool)
-    first[ends[:-1]] = True
-    key = codes * 2 + first
-    present, place = np.unique(key[~np.repeat(odd, np.diff(ends))], return_inverse=True)
-    ahead = pa.array([" ", ""], pa.large_string()).take(pa.array(present % 2))
-    names = pc.binary_join_element_wise(ahead, coded.dictionary.take(pa.array(present // 2)), pa.scalar("", pa.large_string())).to_pylist() if len(present) else []
+        whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+    starts, cuts = _starts(texts, whole)
+    coded = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(bytes_of(texts)[0])).dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     recent, older = known  # words of two generations, so that frequent ones are kept when the younger is full
     if len(recent) > KEPT_WORDS:
         known[:] = recent, older = {}, recent
-    past = [w for w, x in zip(names, map(recent.get, names), strict=True) if x is None]
-    recent.update((w, x) for w, x in zip(past, map(older.get, past), strict=True) if x is not None)
-    recent.update(_encoded([w for w in past if w not in recent], tokenizer))
-    ids = list(map(recent.__getitem__, names))
-    sizes = np.where(odd, 0, np.diff(ends))
-    flat, cuts = gathered(np.frombuffer(b"".join(ids), np.int32), np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)]), place, np.concatenate([[0], np.cumsum(sizes)]))
-    whole = {int(i): np.array(e.ids, np.int32) for i, e in zip(np.flatnonzero(odd), tokenizer.encode_batch([texts[int(i)].as_py() for i in np.flatnonzero(odd)], add_special_tokens=False), strict=True)}
-    if not whole:
-        return flat, cuts
-    parts = [whole.get(i, flat[cuts[i] : cuts[i + 1]]) for i in range(len(texts))]
-    return np.concatenate([*parts, np.zeros(0, np.int32)]), np.cumsum([0] + [len(x) for x in parts])
+    ids = list(map(recent.get, names))
+    lost = [i for i, x in enumerate(ids) if x is None]
+    past = [names[i] for i in lost]
+    found = list(map(older.get, past))
+    new = _encoded([w for w, x in zip(past, found, strict=True) if x is None], tokenizer)
+    for i, w, x in zip(lost, past, found, strict=True):
+        ids[i] = x = new[w] if x is None else x
+        if len(w) <= KEPT_LENGTH:
+            recent[w] = x
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    return gathered(np.frombuffer(b"".join(ids), np.int32), np.concatenate([[0], np.cumsum(sizes)]), coded.indices.to_numpy(), cuts)
 
 
 def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -380,7 +461,7 @@ def _write(path: str, end: int):
 
     def run(batches):
         docs, counts, ids, seq = [], [], [], 0
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 16 << 20):
             flat, cuts = encode_texts(texts_of(batch.column("text")), path, end)
             docs += batch.column("doc_id").to_pylist()
             counts += np.diff(cuts).tolist()

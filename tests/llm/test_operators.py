@@ -428,6 +428,35 @@ def test_words_coded_together_are_as_alone():
     assert {w: np.frombuffer(x, np.int32).tolist() for w, x in got.items()} == {w: lib.encode(w, add_special_tokens=False).ids for w in words}
 
 
+def test_words_beside_signs_and_breaks_are_coded_once(monkeypatch):
+    import pyarrow as pa
+
+    path, seen, encoded = tokenizer("byte_bpe_50k.json"), [], tokenbin._encoded
+    monkeypatch.setattr(tokenbin, "_encoded", lambda words, lib: seen.extend(words) or encoded(words, lib))
+    tokenbin._tokenizer(path)[1][:] = [{}, {}]
+    texts = ["uno dos, uno. dos\nuno; (dos) 7uno dos!\nuno", "uno dos: dos"]
+    ids, cuts = tokenbin.encode_all(pa.array(texts, pa.large_string()), path)
+    lib = tokenbin.the_tokenizer(path)
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(seen) == sorted(["uno", " uno", "dos", " dos", ",", ".", ";", "\n", " (", ")", " 7", "!", ":"])
+
+
+def test_cut_texts_have_the_ids_of_whole_ones():
+    import pyarrow as pa
+
+    path, r = tokenizer("byte_bpe_50k.json"), np.random.default_rng(8)
+    signs = [*"aZ' é9,.\n\t\r\u3000\xa0\x85\x1c\0日😀\u0301ºĠ—½à", "'s", "'ll", "  ", "\n\n", " \n", "<|endoftext|>", "à ", "é\n", "\u2003 "]
+    texts = ["".join(signs[i] for i in r.integers(0, len(signs), n)) for n in r.integers(0, 14, 8000)]
+    ids, cuts = tokenbin.encode_all(pa.array(texts, pa.large_string()), path)
+    wanted = [e.ids for e in tokenbin.the_tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == wanted
+
+
+def test_many_different_ids_in_a_group():
+    ids = np.random.default_rng(4).permutation(np.append(np.arange(0, 600_000, 3), np.repeat(np.arange(50), 400)))
+    assert (tokenbin.unpack(*tokenbin.pack(ids)) == ids).all()
+
+
 def test_token_digests_against_the_library(docs):
     from tokenizers import Tokenizer
 
