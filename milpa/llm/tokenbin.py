@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from milpa.llm._shared import bytes_of, shared_folder, slices, texts_of
-from milpa.llm.pieces import gathered
 
 #: What a step costs depends little on its lanes, so a file's blocks are coded in one go: 32 MB of text have some 3,000.
 BLOCK, LANES, SLOTS, MAGIC, KEPT_WORDS, KEPT_LENGTH = 4096, 4096, 1024, b"CMR3", 300_000, 64
@@ -243,7 +242,8 @@ class Mixer:
         context = known2 >> 21 & 24
         context |= known1 >> 23 & 6
         context += guess1 == guess2
-        context = context * np.int64(self.lanes)
+        context = context.astype(np.int64)
+        context *= self.lanes
         context += self.every[:n]
         shares = self.shares.take(context)
         share2, share1 = shares >> 16, shares & 0xFFFF
@@ -278,8 +278,8 @@ class Mixer:
         goals -= edges
         goals >>= CLASS_RATE
         edges += goals
-        np.add(self.slots[:n], ranks * np.int32(40503) >> 3 & SLOTS - 1, out=at1)
-        np.add(self.slots[:n], (ranks * np.int32(0x6E3B) ^ self.before[:n]) >> 5 & SLOTS - 1, out=at2)
+        np.add(self.slots[:n], (ranks * np.int32(40503) >> 3 & SLOTS - 1).astype(np.int64), out=at1)
+        np.add(self.slots[:n], ((ranks * np.int32(0x6E3B) ^ self.before[:n]) >> 5 & SLOTS - 1).astype(np.int64), out=at2)
         np.multiply(ranks, np.int32(0x5EB7), out=self.before[:n])
         return ranks
 
@@ -315,7 +315,7 @@ def pack(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
 def unpack(prior: bytes, blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks of one stream; raises if a block is damaged."""
     if not blocks:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, "<u4")
     model, parts = Prior.from_bytes(prior), []
     known = model.ids.astype("<u4")
     for a in range(0, len(blocks), LANES):
@@ -338,8 +338,8 @@ def unpack(prior: bytes, blocks: list[bytes]) -> np.ndarray:
         for i, h in enumerate(heads):
             if zlib.crc32(out[i, : h[0]].tobytes()) != h[1]:
                 raise ValueError("checksum differs")
-        parts.append(out[np.arange(out.shape[1])[None, :] < sizes[:, None]])
-    return np.concatenate(parts).astype(np.int64)
+        parts.append(out.ravel()[: sizes.sum()] if sizes[0] == sizes[-2:].max() else out[np.arange(out.shape[1])[None, :] < sizes[:, None]])
+    return np.concatenate(parts)
 
 
 #: Kinds of bytes: letters, digits, other signs, apostrophe, space, other white space, control characters, parts of characters beyond ASCII.
@@ -441,8 +441,8 @@ def encode_all(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         ids[i] = x = new[w] if x is None else x
         if len(w) <= KEPT_LENGTH:
             recent[w] = x
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    return gathered(np.frombuffer(b"".join(ids), np.int32), np.concatenate([[0], np.cumsum(sizes)]), coded.indices.to_numpy(), cuts)
+    ids, ends = bytes_of(pa.array(ids, pa.large_binary()).take(coded.indices))
+    return ids.view(np.int32), ends[cuts] // 4
 
 
 def encode_texts(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -492,7 +492,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int = 2, file_bytes:
 def _digest(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            ids, at, out = unpack(row["prior"], row["blocks"]).astype("<u4"), 0, []
+            ids, at, out = unpack(row["prior"], row["blocks"]), 0, []
             for n in row["doc_tokens"]:
                 out.append((at, zlib.crc32(ids[at : at + n].tobytes())))
                 at += n
